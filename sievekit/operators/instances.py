@@ -1,0 +1,24 @@
+"""Instance and sample level: flags, routes, ids, summaries, gate, outliers, quality tier."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sievekit.fixed import CANNOT_GRADE, DEFECT_LABELS, QUALITY_NOTES, SCREENED, THRESHOLDS  # noqa: F401
+from sievekit.functions.rules import Col, c, rnd, safe_percent
+from sievekit.operators.scaling import exact_medians, keyed_join, row_numbers
+
+
+def broken_summary(labels: DataFrame, by: Sequence[str] = ("sample_id",), label: Col = "broken_label") -> DataFrame:
+    """Whole/broken/undetermined counts; the percentage divides by all grains."""
+    out = labels.groupBy(*by).agg(
+        F.count("*").alias("total_count"),
+        *[F.count_if(c(label) == word).alias(f"{word}_count") for word in ("whole", "broken", "undetermined")],
+    )
+    analysed = F.col("whole_count") + F.col("broken_count")
+    return out.withColumn(
+        "broken_percent", F.when(analysed > 0, safe_percent("broken_count", "total_count"))
+    )
