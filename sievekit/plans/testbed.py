@@ -108,3 +108,53 @@ DIMENSIONS_CTE = f"""
 calibrations AS (SELECT {', '.join(CALIBRATION_COLS)} FROM part),
 profiles AS (SELECT {', '.join(PROFILE_COLS)} FROM part WHERE {PROFILE_WHERE}),
 truth AS (SELECT {', '.join(TRUTH_COLS)} FROM part)"""
+
+
+# --- log events -------------------------------------------------------------
+
+EVENT_BASE_COLS = (
+    "event_id AS seq", "ts", "user_id", "event_type", "value",
+    "CAST(replace(replace(props, '{\"k\": ', ''), '}', '') AS INT) AS k",
+)
+EVENT_COLS = (
+    "seq",
+    "ts",
+    """CASE event_type WHEN 'signup' THEN 'request_started' WHEN 'purchase' THEN 'request_finished'
+  WHEN 'error' THEN CASE WHEN value >= 60 THEN 'request_failed' ELSE 'analysis_failed' END
+  WHEN 'click' THEN 'analysis_started'
+  ELSE CASE WHEN k < 70 THEN 'analysis_completed' WHEN k < 85 THEN 'segmentation_completed'
+    ELSE 'geometry_completed' END END AS event""",
+    "CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level",
+    "concat('r-', CAST(user_id AS STRING), '-', CAST(day(ts) % 10 AS STRING)) AS request_id",
+    "concat('j-', CAST(user_id AS STRING), '-', CAST(day(ts) % 10 AS STRING), CASE WHEN k % 5 = 0 THEN 'b' ELSE '' END) AS job_id",
+    "CASE WHEN k % 2 = 0 THEN 'POST' ELSE 'GET' END AS method",
+    "concat('/p', CAST(k % 3 AS STRING)) AS path",
+    "CASE k % 4 WHEN 0 THEN '/analyze' WHEN 1 THEN '/health' WHEN 2 THEN '/export' END AS route",
+    "CASE WHEN k < 90 THEN 200 ELSE 404 END AS status_code",
+    "event_type = 'purchase' AND k <> 50 AS ok",
+    "CAST(floor(value * 10) AS BIGINT) AS duration_ms",
+    "CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN 0 ELSE CAST(floor(value * 7) AS BIGINT) END AS total_processing_ms",
+    "CASE WHEN k % 9 = 0 THEN 'partial' ELSE 'success' END AS status",
+    "k % 8 <> 0 AS rice_detected",
+    "CAST(k AS BIGINT) AS grain_count",
+    "CAST(floor(k / 2) AS BIGINT) AS whole_count",
+    "CAST(k % 7 AS BIGINT) AS broken_count",
+    "CAST(k % 3 AS BIGINT) AS undetermined_count",
+    "CASE WHEN k % 2 = 0 THEN 'profile' ELSE 'sample_derived' END AS reference_source",
+    "CASE WHEN k % 5 = 1 THEN NULL ELSE 'classical' END AS segmentation_method",
+    "concat('img-', CAST(k AS STRING), '.png') AS filename",
+    "CASE k % 3 WHEN 0 THEN 'segmentation' WHEN 1 THEN 'geometry' END AS failed_stage",
+    "CASE k % 5 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'OSError' WHEN 2 THEN 'KeyError' ELSE NULL END AS error_type",
+    "CASE WHEN k % 5 < 3 THEN concat('bad ', CAST(k AS STRING)) END AS error_message",
+    "CASE WHEN k % 3 = 0 THEN user_id END AS process_id",
+    "CASE WHEN k % 2 = 0 THEN value END AS rss_mb",
+)
+EVENTS_CTE = f"""
+event_base AS (SELECT {', '.join(EVENT_BASE_COLS)} FROM events),
+log_events AS (SELECT {', '.join(EVENT_COLS)} FROM event_base),
+ordered_events AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, seq) AS ord FROM log_events)"""
+
+
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr(*EVENT_BASE_COLS).selectExpr(*EVENT_COLS)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
