@@ -26,9 +26,14 @@ def c(value: Col) -> Column:
 
 
 def rnd(value: Col, digits: int = 2) -> Column:
-    """Half-up decimal rounding by arithmetic, the same in every SQL engine."""
+    """Decimal rounding, ties to even, by arithmetic (the same in every SQL engine)."""
     scale = float(10**digits)
-    return F.floor(c(value) * scale + 0.5) / F.lit(scale)
+    return F.rint(c(value) * scale) / F.lit(scale)
+
+
+def fixed(value: Col, digits: int) -> Column:
+    """Text with a fixed number of decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", rnd(c(value).cast("double"), digits))
 
 
 # --- text and time ----------------------------------------------------------
@@ -120,9 +125,9 @@ def safe_percent(part: Col, whole: Col) -> Column:
 def anomaly_reasons(lb: Col, solidity: Col, area: Col) -> Column:
     return F.array_compact(
         F.array(
-            F.when(c(lb) > 10, F.format_string("Extreme L/B ratio: %.2f", c(lb))),
-            F.when(c(solidity) < 0.5, F.format_string("Very low solidity: %.3f", c(solidity))),
-            F.when(c(area) < 20, F.format_string("Very small area: %.0f px", c(area).cast("double"))),
+            F.when(c(lb) > 10, F.concat(F.lit("Extreme L/B ratio: "), fixed(lb, 2))),
+            F.when(c(solidity) < 0.5, F.concat(F.lit("Very low solidity: "), fixed(solidity, 3))),
+            F.when(c(area) < 20, F.concat(F.lit("Very small area: "), fixed(area, 0), F.lit(" px"))),
         )
     )
 
@@ -264,7 +269,7 @@ def calibration_validity(ppmm: Col, markers: Col, mode: Col) -> Column:
             verdict(
                 "invalid",
                 F.format_string(
-                    f"Calibration scale %.2f px/mm is outside sanity bounds [{lo}, {hi}] px/mm.", v
+                    f"Calibration scale %.2f px/mm is outside sanity bounds [{lo}, {hi}] px/mm.", rnd(v)
                 ),
             ),
         )

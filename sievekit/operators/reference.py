@@ -136,7 +136,7 @@ def sample_reference(
             if shaped
             else F.format_string(
                 "Sample grains are uniformly short (%.1f < 85 px) without trusted profile; reference unavailable.",
-                F.col("hi"),
+                rnd("hi", 1),
             )
         )
         reason = (
@@ -149,7 +149,7 @@ def sample_reference(
             .when(
                 F.col("cv") > 0.15,
                 F.format_string(
-                    "Candidate whole-grain population has high length variance (CV=%.2f > 0.15).", F.col("cv")
+                    "Candidate whole-grain population has high length variance (CV=%.2f > 0.15).", rnd("cv")
                 ),
             )
         )
@@ -325,10 +325,10 @@ def classify_fragment(
         )
     reason = F.format_string(
         f"Length ratio %.3f %s threshold {broken:.2f} against %s reference (%.1f)",
-        ratio,
+        rnd(ratio, 3),
         F.when(ratio < broken, "<").otherwise(">="),
         c(source),
-        c(reference),
+        rnd(reference, 1),
     )
     return df.withColumns(
         {

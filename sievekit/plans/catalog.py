@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from sievekit.plans import log_queries, reference_queries  # noqa: F401
+from sievekit.plans import instance_queries, log_queries, reference_queries  # noqa: F401
 from sievekit.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

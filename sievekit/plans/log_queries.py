@@ -8,7 +8,7 @@ from sievekit.functions import rules as R
 from sievekit.operators import logs as L
 from sievekit.plans import testbed as T
 from sievekit.plans.registry import query
-from sievekit.session import scratch_path
+from sievekit.session import checkpointed, scratch_path
 from sievekit.sources import logs as S
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -135,10 +135,10 @@ def last_per_key(spark, sf_dir):
 
 
 def _stats_sql(col: str) -> str:
-    return f"""coalesce(floor(avg({col}) * 100 + 0.5) / 100, 0.0) AS avg_duration_ms,
+    return f"""coalesce(round_even(avg({col}) * 100, 0) / 100, 0.0) AS avg_duration_ms,
   CAST(coalesce(max({col}), 0) AS BIGINT) AS max_duration_ms,
-  coalesce(floor(quantile_cont(CAST({col} AS DOUBLE), 0.5) * 100 + 0.5) / 100, 0.0) AS p50_duration_ms,
-  coalesce(floor(quantile_cont(CAST({col} AS DOUBLE), 0.95) * 100 + 0.5) / 100, 0.0) AS p95_duration_ms"""
+  coalesce(round_even(quantile_cont(CAST({col} AS DOUBLE), 0.5) * 100, 0) / 100, 0.0) AS p50_duration_ms,
+  coalesce(round_even(quantile_cont(CAST({col} AS DOUBLE), 0.95) * 100, 0) / 100, 0.0) AS p95_duration_ms"""
 
 
 ENDPOINTS_SQL = f"""
@@ -146,7 +146,7 @@ endpoint_stats AS (
   SELECT coalesce(nullif(route, ''), '/unknown') AS route, count(*) AS request_count,
     count(*) FILTER (WHERE ok AND status_code BETWEEN 200 AND 399) AS success_count,
     count(*) - count(*) FILTER (WHERE ok AND status_code BETWEEN 200 AND 399) AS failure_count,
-    floor(CAST(count(*) FILTER (WHERE ok AND status_code BETWEEN 200 AND 399) AS DOUBLE) / count(*) * 100 * 100 + 0.5) / 100 AS success_rate,
+    round_even(CAST(count(*) FILTER (WHERE ok AND status_code BETWEEN 200 AND 399) AS DOUBLE) / count(*) * 100 * 100, 0) / 100 AS success_rate,
     {_stats_sql('duration_ms')}
   FROM requests GROUP BY coalesce(nullif(route, ''), '/unknown'))"""
 
@@ -160,7 +160,7 @@ def endpoint_stats(spark, sf_dir):
     "request_overview",
     f"""WITH {REQUESTS_CTE} SELECT count(*) AS total_requests, count(*) FILTER (WHERE ok) AS successful_requests,
   count(*) - count(*) FILTER (WHERE ok) AS failed_requests,
-  floor(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) * 100 * 10 + 0.5) / 10 AS success_rate,
+  round_even(CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) * 100 * 10, 0) / 10 AS success_rate,
   {_stats_sql('duration_ms')} FROM requests""",
 )
 def request_overview(spark, sf_dir):
@@ -205,7 +205,7 @@ def error_summary(spark, sf_dir):
 a AS (SELECT count(*) FILTER (WHERE status = 'failed') AS failed_analyses FROM analyses),
 e AS (SELECT count(*) AS total_errors FROM log_events WHERE event IN ('request_failed', 'analysis_failed'))
 SELECT count(*) FILTER (WHERE NOT ok) AS failed_requests, max(failed_analyses) AS failed_analyses, max(total_errors) AS total_errors,
-  floor(CAST(max(total_errors) AS DOUBLE) / greatest(count(*), 1) * 100 * 10 + 0.5) / 10 AS error_rate
+  round_even(CAST(max(total_errors) AS DOUBLE) / greatest(count(*), 1) * 100 * 10, 0) / 10 AS error_rate
 FROM requests, a, e""",
 )
 def error_rates(spark, sf_dir):
@@ -216,7 +216,7 @@ def error_rates(spark, sf_dir):
 @query(
     "memory_metrics",
     f"""WITH {T.EVENTS_CTE} SELECT count(*) > 0 AS available, arg_max(rss_mb, ord) AS current_mb,
-  floor(avg(rss_mb) * 100 + 0.5) / 100 AS avg_mb, max(rss_mb) AS peak_mb
+  round_even(avg(rss_mb) * 100, 0) / 100 AS avg_mb, max(rss_mb) AS peak_mb
 FROM ordered_events WHERE rss_mb IS NOT NULL AND process_id IS NOT NULL""",
 )
 def memory_metrics(spark, sf_dir):
@@ -270,8 +270,8 @@ def concurrency_curve(spark, sf_dir):
 pairs AS (
   SELECT a.status, coalesce(r.duration_ms, 0) AS api_ms, coalesce(a.duration_ms, 0) AS job_ms
   FROM linked r JOIN analyses a ON r.job_id = a.job_id WHERE r.job_id <> '')
-SELECT status, count(*) AS n, floor(regr_slope(job_ms, api_ms) * 10000 + 0.5) / 10000 AS slope,
-  floor(regr_intercept(job_ms, api_ms) * 10000 + 0.5) / 10000 AS intercept, floor(regr_r2(job_ms, api_ms) * 10000 + 0.5) / 10000 AS r2
+SELECT status, count(*) AS n, round_even(regr_slope(job_ms, api_ms) * 10000, 0) / 10000 AS slope,
+  round_even(regr_intercept(job_ms, api_ms) * 10000, 0) / 10000 AS intercept, round_even(regr_r2(job_ms, api_ms) * 10000, 0) / 10000 AS r2
 FROM pairs GROUP BY status""",
 )
 def api_vs_analysis(spark, sf_dir):
@@ -417,7 +417,8 @@ _GOOD = "seq % 50 <> 0 AND seq % 61 <> 0 AND seq % 71 <> 0"
   duration_ms, duration_ms AS duration_int, error_type FROM log_events WHERE {_GOOD}""",
 )
 def extract_json(spark, sf_dir):
-    parsed = S.parse_events(raw_lines(spark, sf_dir), keep=("seq",)).where("raw IS NOT NULL")
+    lines = checkpointed(raw_lines(spark, sf_dir))  # text at rest, as a log would be
+    parsed = S.parse_events(lines, keep=("seq",)).where("raw IS NOT NULL")
     return parsed.select(
         "seq",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),

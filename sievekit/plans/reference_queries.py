@@ -45,7 +45,7 @@ derived AS (
 
 LENGTHS_ONLY = derived_cte("hi >= 85")
 WITH_SHAPE = derived_cte("med_lb >= 2.2 AND med_solidity >= 0.88")
-R4 = "floor({} * 10000 + 0.5) / 10000"
+R4 = "round_even({} * 10000, 0) / 10000"
 
 LABELLED_CTE = """
 labelled AS (
@@ -79,7 +79,7 @@ SELECT sample_id, count(*) AS total_count,
   count(*) FILTER (WHERE broken_label = 'broken') AS broken_count,
   count(*) FILTER (WHERE broken_label = 'undetermined') AS undetermined_count,
   CASE WHEN count(*) FILTER (WHERE broken_label <> 'undetermined') > 0
-       THEN floor(count(*) FILTER (WHERE broken_label = 'broken') * 1.0::DOUBLE / count(*) * 100 * 100 + 0.5) / 100 END AS broken_percent
+       THEN round_even(count(*) FILTER (WHERE broken_label = 'broken') * 1.0::DOUBLE / count(*) * 100 * 100, 0) / 100 END AS broken_percent
 FROM labelled GROUP BY sample_id""",
 )
 def fragment_summary(spark, sf_dir):
@@ -245,7 +245,7 @@ def calibration_validity(spark, sf_dir):
 @query(
     "manual_scale",
     """SELECT p_partkey AS sample_id, CASE WHEN p_size > 3 AND p_size % 6 > 0
-  THEN floor((p_size - 3) * 10.0 / (p_size % 6) * 10000 + 0.5) / 10000 END AS pixels_per_mm FROM part""",
+  THEN round_even((p_size - 3) * 10.0 / (p_size % 6) * 10000, 0) / 10000 END AS pixels_per_mm FROM part""",
 )
 def manual_scale(spark, sf_dir):
     part = T.table(spark, sf_dir, "part")
@@ -258,8 +258,8 @@ def manual_scale(spark, sf_dir):
 @query(
     "marker_scale",
     """SELECT p_partkey AS sample_id,
-  floor((sqrt((40.0 + p_size) * (40.0 + p_size)) + sqrt(5.0 * 5 + 30 * 30) + sqrt((42.0 + p_size) * (42.0 + p_size) + 9.0 * 9)
-    + sqrt(3.0 * 3 + (30.0 + 9) * (30 + 9))) / 4 / 20 * 10000 + 0.5) / 10000 AS pixels_per_mm
+  round_even((sqrt((40.0 + p_size) * (40.0 + p_size)) + sqrt(5.0 * 5 + 30 * 30) + sqrt((42.0 + p_size) * (42.0 + p_size) + 9.0 * 9)
+    + sqrt(3.0 * 3 + (30.0 + 9) * (30 + 9))) / 4 / 20 * 10000, 0) / 10000 AS pixels_per_mm
 FROM part""",
 )
 def marker_scale(spark, sf_dir):
@@ -294,10 +294,10 @@ def validate_profile(spark, sf_dir):
     """WITH m AS (
   SELECT l_suppkey, 5 + l_quantity * 0.0625 AS len, 1.5 + l_linenumber * 0.125 AS brd FROM lineitem)
 SELECT l_suppkey AS profile, count(*) AS reference_count,
-  floor(avg(len) * 1000 + 0.5) / 1000 AS whole_kernel_length, floor(stddev_pop(len) * 1000 + 0.5) / 1000 AS std_length,
-  floor(stddev_pop(len) / avg(len) * 10000 + 0.5) / 10000 AS cv_length,
-  floor(avg(brd) * 1000 + 0.5) / 1000 AS whole_kernel_breadth,
-  floor(avg(len) / avg(brd) * 1000 + 0.5) / 1000 AS whole_kernel_lb_ratio,
+  round_even(avg(len) * 1000, 0) / 1000 AS whole_kernel_length, round_even(stddev_pop(len) * 1000, 0) / 1000 AS std_length,
+  round_even(stddev_pop(len) / avg(len) * 10000, 0) / 10000 AS cv_length,
+  round_even(avg(brd) * 1000, 0) / 1000 AS whole_kernel_breadth,
+  round_even(avg(len) / avg(brd) * 1000, 0) / 1000 AS whole_kernel_lb_ratio,
   'mm' AS reference_unit, 'Measured' AS data_status, 'Valid' AS message
 FROM m GROUP BY l_suppkey""",
 )

@@ -158,3 +158,81 @@ ordered_events AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, seq) AS
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr(*EVENT_BASE_COLS).selectExpr(*EVENT_COLS)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# --- labels, detections and gate objects ------------------------------------
+
+LABEL_COLS = (
+    "*",
+    "CASE l_suppkey % 5 WHEN 0 THEN 'damaged' WHEN 1 THEN 'slightly_damaged' WHEN 2 THEN 'unavailable' ELSE 'normal' END AS damaged",
+    "CASE l_suppkey % 7 WHEN 0 THEN 'discoloured' WHEN 1 THEN 'undetermined' ELSE 'normal' END AS discoloured",
+    "CASE WHEN p_size % 2 = 0 THEN 'undetermined' WHEN l_suppkey % 6 = 0 THEN 'chalky' ELSE 'not_chalky' END AS chalky",
+    "CASE WHEN l_orderkey % 9 = 0 THEN 'red' ELSE 'not_red' END AS red",
+    "CASE l_orderkey % 4 WHEN 0 THEN 'dehusked' WHEN 1 THEN 'unavailable' ELSE 'not_dehusked' END AS dehusked",
+    "CASE WHEN l_linenumber = 7 THEN 'immature_shrunken' ELSE 'normal' END AS immature",
+    "CASE WHEN l_linenumber = 6 THEN 'sprouted_weevilled' ELSE 'normal' END AS sprouted",
+)
+
+DETECTION_COLS = (
+    "*",
+    "CAST((l_orderkey * 7 + l_suppkey) % 16 AS DOUBLE) / 16 AS conf",
+    "CAST(l_suppkey % 4 AS INT) AS parts",
+    "CASE WHEN l_orderkey % 6 = 0 THEN 0 WHEN l_orderkey % 6 < 4 THEN 1 ELSE 2 END AS category",
+    """CASE l_suppkey % 6 WHEN 0 THEN 'Grain' WHEN 1 THEN 'stone' WHEN 2 THEN 'Organic' ELSE 'thing' END AS class_name""",
+)
+
+# Objects in front of the gate, with the features its score reads.
+GATE_COLS = (
+    "sample_id", "l_orderkey", "l_suppkey", "l_linenumber", "x", "y", "w", "h",
+    "CAST(1 + (l_suppkey % 30) * 0.125 AS DOUBLE) AS aspect_ratio",
+    "CAST((l_orderkey % 40) * 0.015625 AS DOUBLE) AS surface_roughness",
+    "CAST((l_linenumber * 5) % 37 AS DOUBLE) AS chroma",
+    "CAST(10 + (l_suppkey * 7) % 80 AS DOUBLE) AS mean_l_star",
+    "CAST(l_orderkey % 7 - 3 AS DOUBLE) AS mean_a_star",
+    "CAST(l_orderkey % 31 AS DOUBLE) AS mean_b_star",
+    "CAST(CASE WHEN l_suppkey % 17 = 0 THEN 60000 ELSE 100 + l_quantity * 50 END AS DOUBLE) AS area_pixels",
+    "CAST(50 + l_quantity * 3 AS DOUBLE) AS mean_gray",
+    "CAST((l_suppkey * 13) % 256 AS DOUBLE) AS background_gray",
+    "CAST(CASE WHEN l_suppkey % 3 = 0 THEN (l_orderkey % 16) / 16.0 END AS DOUBLE) AS learned",
+    "CAST(l_orderkey % 200 AS DOUBLE) AS r",
+    "CAST(l_suppkey % 180 AS DOUBLE) AS g",
+    "CAST(l_linenumber * 20 AS DOUBLE) AS b",
+)
+LABELS_CTE = f"labels_t AS (SELECT {', '.join(LABEL_COLS)} FROM instances)"
+DETECTIONS_CTE = f"detections AS (SELECT {', '.join(DETECTION_COLS)} FROM instances)"
+GATE_CTE = f"gate_objects AS (SELECT {', '.join(GATE_COLS)} FROM instances)"
+
+
+def detections(spark: SparkSession, sf_dir: str, ids: bool = False) -> DataFrame:
+    return instances(spark, sf_dir, ids).selectExpr(*DETECTION_COLS)
+
+
+def gate_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instances(spark, sf_dir).selectExpr(*GATE_COLS)
+
+
+LIMITS = (
+    # parameter, max percent, assessable, image basis
+    ("broken", 25.0, "true", "count"),
+    ("foreign_matter", 0.5, "true", "count_and_area"),
+    ("damaged_slightly_damaged", 3.0, "true", "count"),
+    ("discoloured", 3.0, "true", "count"),
+    ("chalky", 5.0, "true", "count"),
+    ("red", 3.0, "true", "count"),
+    ("admixture_of_lower_class", 6.0, "true", "count"),
+    ("dehusked", 13.0, "partial", "visual_proxy"),
+)
+
+
+def limits(spark: SparkSession) -> DataFrame:
+    """The long limits table of one standard: grade A, and common without an admixture limit."""
+    rows = [
+        (grade, p, None, None if grade == "common" and p.startswith("admixture") else cap, "weight", ok, basis, "")
+        for grade in ("grade_a", "common")
+        for p, cap, ok, basis in LIMITS
+    ]
+    return spark.createDataFrame(
+        rows,
+        "grade string, parameter string, sub_parameter string, max_percent double, basis string, "
+        "image_assessable string, image_basis string, limitation string",
+    )

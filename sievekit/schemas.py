@@ -40,4 +40,4 @@ PROFILE = (
 BOX = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"
 POINTS = "array<struct<x:double,y:double>>"
 LIMIT = "struct<max_percent:double,basis:string,sub_limits:map<string,struct<max_percent:double,basis:string>>>"
-ASSESSMENT = "struct<image_assessable:string,image_basis:string,limitation:string>"
+ASSESSMENT = "image_assessable string, image_basis string, limitation string"
