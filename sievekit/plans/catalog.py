@@ -1,6 +1,12 @@
 """Importing this module registers every query."""
 
-from sievekit.plans import instance_queries, log_queries, reference_queries  # noqa: F401
+from sievekit.plans import (  # noqa: F401
+    box_queries,
+    instance_queries,
+    log_queries,
+    pixel_queries,
+    reference_queries,
+)
 from sievekit.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -236,3 +236,69 @@ def limits(spark: SparkSession) -> DataFrame:
         "grade string, parameter string, sub_parameter string, max_percent double, basis string, "
         "image_assessable string, image_basis string, limitation string",
     )
+
+
+# --- pixels and contours ----------------------------------------------------
+
+_BYTE = "CAST(greatest(0, least(255, floor((CAST({} AS DOUBLE) + 0.5) * 255))) AS INT)"
+
+
+def _at(engine: str, shift: int) -> str:
+    index = f"(p + {shift}) % 64"
+    return _BYTE.format(f"embedding[{index}]" if engine == "spark" else f"embedding[{index} + 1]")
+
+
+def _pixel_cols(engine: str) -> tuple[str, ...]:
+    return (
+        "CAST(label AS INT) AS sample_id",
+        "vec_id AS instance_id",
+        "CAST(p % 8 AS INT) AS x",
+        "CAST(floor(p / 8) AS INT) AS y",
+        f"{_at(engine, 0)} AS r",
+        f"{_at(engine, 20)} AS g",
+        f"{_at(engine, 41)} AS b",
+    )
+
+
+PIXELS_CTE = f"""
+pixel_base AS (SELECT label, vec_id, embedding, unnest(range(0, 64)) AS p FROM embeddings),
+pixel_raw AS (SELECT {', '.join(_pixel_cols('duckdb'))} FROM pixel_base),
+pixels AS (SELECT *, r >= 110 AS mask, CAST(floor(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE + 0.5) AS INT) AS gray FROM pixel_raw)"""
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8x8 crops, one per vector; the mask is where red is bright enough."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "label", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")
+    )
+    return rows.selectExpr(*_pixel_cols("spark")).withColumn("mask", F.col("r") >= 110)
+
+
+# Directions of the eight vertices of an outline, in order.
+_DIRS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+_DX = "CASE p " + " ".join(f"WHEN {i} THEN {dx}" for i, (dx, _) in enumerate(_DIRS)) + " END"
+_DY = "CASE p " + " ".join(f"WHEN {i} THEN {dy}" for i, (_, dy) in enumerate(_DIRS)) + " END"
+
+
+def _point_cols(engine: str) -> tuple[str, ...]:
+    at = "embedding[p]" if engine == "spark" else "embedding[p + 1]"
+    radius = f"CASE WHEN vec_id % 37 = 0 THEN 1 ELSE 20 + CAST(floor(40 * abs(CAST({at} AS DOUBLE))) AS INT) END"
+    return (
+        "CAST(label AS INT) AS sample_id",
+        "vec_id AS instance_id",
+        "CAST(p AS INT) AS seq",
+        f"CAST(100 + {radius} * {_DX} AS INT) AS x",
+        f"CAST(100 + {radius} * {_DY} AS INT) AS y",
+    )
+
+
+POINTS_CTE = f"""
+point_base AS (SELECT label, vec_id, embedding, unnest(range(0, 8)) AS p FROM embeddings),
+points AS (SELECT {', '.join(_point_cols('duckdb'))} FROM point_base)"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        "label", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("p")
+    )
+    return rows.selectExpr(*_point_cols("spark"))
