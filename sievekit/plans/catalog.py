@@ -2,6 +2,7 @@
 
 from sievekit.plans import (  # noqa: F401
     box_queries,
+    document_queries,
     instance_queries,
     log_queries,
     pixel_queries,
