@@ -212,7 +212,7 @@ def merge_by_iou(
         "origin", F.when(F.col("is_base"), "base").otherwise("extra")
     )
     numbered = row_numbers(
-        rows,
+        checkpointed(rows),
         by,
         [F.col("origin"), F.col(seq)],
         [F.col("origin"), F.floor(F.col(seq) / 65536)],

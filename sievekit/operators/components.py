@@ -58,7 +58,7 @@ def _label_runs(runs: pd.DataFrame) -> np.ndarray:
 def label_components(pixels: DataFrame, by: Sequence[str] = ("sample_id",), limit: int | None = None) -> DataFrame:
     """(by, label, y, x0, x1): every run with the id of its component's first run."""
     by = list(by)
-    runs = foreground_runs(pixels, by)
+    runs = checkpointed(foreground_runs(pixels, by))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema.fields if f.name != "id")
 
     def in_task(part: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def label_components(pixels: DataFrame, by: Sequence[str] = ("sample_id",), limi
         return part.groupBy(*by).applyInPandas(one, f"{schema}, label bigint")
 
     def in_rounds(part: DataFrame) -> DataFrame:
-        return _propagate(checkpointed(part), by).select(*by, "y", "x0", "x1", "label")
+        return _propagate(part, by).select(*by, "y", "x0", "x1", "label")
 
     return by_group_size(runs, by, in_task, in_rounds, limit)
 
@@ -121,6 +121,7 @@ def component_stats(
 
 def component_summary(stats: DataFrame, by: Sequence[str] = ("sample_id",), limit: int | None = None) -> DataFrame:
     """Accepted and rejected counts, and the typical area of the accepted ones."""
+    stats = checkpointed(stats)  # one row per component, read three times below
     counts = stats.groupBy(*by).agg(
         F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected")
     )

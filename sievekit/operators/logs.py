@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sievekit.fixed import FAILURE_EVENTS
 from sievekit.functions.rules import Col, c, ist_label, rnd
 from sievekit.operators.scaling import bucketed_running_sum, exact_percentiles
+from sievekit.session import checkpointed
 
 def read_order() -> Column:
     """Sort key of an event; a missing time sorts before any other."""
@@ -164,6 +165,7 @@ def link_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 def _duration_stats(df: DataFrame, by: Sequence[str], col: str, counts: dict[str, Column], limit: int | None) -> DataFrame:
     """Counts, mean, maximum and exact p50/p95 of whole-millisecond durations."""
     by = list(by)
+    df = checkpointed(df)  # reconstructed rows are few beside the events, and read three times
     base = df.groupBy(*by).agg(
         *[expr.alias(name) for name, expr in counts.items()],
         F.coalesce(rnd(F.avg(col)), F.lit(0.0)).alias("avg_duration_ms"),
@@ -178,7 +180,7 @@ def _duration_stats(df: DataFrame, by: Sequence[str], col: str, counts: dict[str
 
 def endpoint_stats(requests: DataFrame, limit: int | None = None) -> DataFrame:
     """Per route; success needs ``ok`` and a status in [200, 400)."""
-    rows = requests.withColumn("route", F.coalesce(F.nullif(F.col("route"), F.lit("")), F.lit("/unknown")))
+    rows = requests.select("route", "ok", "status_code", "duration_ms").withColumn("route", F.coalesce(F.nullif(F.col("route"), F.lit("")), F.lit("/unknown")))
     good = F.col("ok") & F.col("status_code").between(200, 399)
     out = _duration_stats(
         rows,
@@ -198,7 +200,7 @@ def endpoint_stats(requests: DataFrame, limit: int | None = None) -> DataFrame:
 def request_overview(requests: DataFrame, limit: int | None = None) -> DataFrame:
     """Service totals; here success is ``ok`` alone."""
     out = _duration_stats(
-        requests, [], "duration_ms", {"total_requests": F.count("*"), "successful_requests": F.count_if("ok")}, limit
+        requests.select("ok", "duration_ms"), [], "duration_ms", {"total_requests": F.count("*"), "successful_requests": F.count_if("ok")}, limit
     )
     rate = F.coalesce(F.try_divide(F.col("successful_requests").cast("double"), F.col("total_requests")), F.lit(0.0))
     return out.withColumns(
@@ -211,7 +213,7 @@ def request_overview(requests: DataFrame, limit: int | None = None) -> DataFrame
 
 def analysis_stats(analyses: DataFrame, limit: int | None = None) -> DataFrame:
     out = _duration_stats(
-        analyses,
+        analyses.select("status", "duration_ms"),
         [],
         "duration_ms",
         {"total_analyses": F.count("*"), "successful_analyses": F.count_if(F.col("status") == "success")},

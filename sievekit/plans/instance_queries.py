@@ -617,14 +617,14 @@ def accept_target(spark, sf_dir):
 
 @query(
     "gate_rollup",
-    f"""{INST}, {GATE_CTE} SELECT *, total_detections - target_detections AS foreign_detections,
+    f"""{INST}, {GATE_CTE} SELECT * REPLACE ({r('confidence_mean', 2)} AS confidence_mean), total_detections - target_detections AS foreign_detections,
   {r('target_detections::DOUBLE / total_detections')} AS target_fraction, CASE WHEN total_detections >= 25 THEN 0.05::DOUBLE END AS min_fraction_required,
   CASE WHEN target_detections > 0 THEN 'RICE' ELSE 'NOT_RICE' END AS status,
   CASE WHEN target_detections > 0 AND total_detections >= 25 AND target_detections::DOUBLE / total_detections < 0.05 THEN 'low_object_rice_fraction_warning'
     WHEN target_detections > 0 THEN 'rice_detected' ELSE 'no_rice_class_detections' END AS reason FROM rollup_t""",
 )
 def gate_rollup(spark, sf_dir):
-    return I.gate_rollup(gated(spark, sf_dir))
+    return I.gate_rollup(gated(spark, sf_dir)).withColumn("confidence_mean", R.rnd("confidence_mean"))
 
 
 @query(
@@ -681,14 +681,13 @@ SELECT sample_id, {r('min(p)')} AS lowest, {r('max(p)')} AS highest, {r('avg(p)'
 def logistic_score(spark, sf_dir):
     rows = T.gate_objects(spark, sf_dir).withColumn("background_gap_ratio", P.background_gap())
     rows = rows.select("sample_id", P.logistic_score(GATE_FEATURES, **_MODEL).alias("p"))
+    # The class list belongs to the model, not to the rows: one row, resolved once.
     names = F.array(F.lit("Normal"), F.lit("positive"))
-    rows = rows.withColumn(
-        "d",
-        P.threshold_classify(
-            F.array(1.0 - F.col("p"), "p"),
-            P.class_index(names, "sprouted_weevilled"),
-            P.class_index(names, "normal"),
-        ),
+    model = spark.range(1).select(
+        P.class_index(names, "sprouted_weevilled").alias("pos"), P.class_index(names, "normal").alias("neg")
+    )
+    rows = rows.join(F.broadcast(model)).withColumn(
+        "d", P.threshold_classify(F.array(1.0 - F.col("p"), "p"), "pos", "neg")
     )
     return rows.groupBy("sample_id").agg(
         R.rnd(F.min("p"), 4).alias("lowest"),

@@ -418,7 +418,7 @@ _GOOD = "seq % 50 <> 0 AND seq % 61 <> 0 AND seq % 71 <> 0"
 )
 def extract_json(spark, sf_dir):
     lines = checkpointed(raw_lines(spark, sf_dir))  # text at rest, as a log would be
-    parsed = S.parse_events(lines, keep=("seq",)).where("raw IS NOT NULL")
+    parsed = S.parse_events(lines, keep=("seq",)).where("well_formed")
     return parsed.select(
         "seq",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),

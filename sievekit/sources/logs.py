@@ -31,50 +31,55 @@ def read_lines(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def extract_json(value: Col) -> Column:
-    """The JSON object that fills the text from its first brace to the end, else null."""
+def extract_json(df: DataFrame, schema: str, value: Col = "value", name: str = "t") -> DataFrame:
+    """Add the JSON object that fills the text from its first brace to the end, else null.
+
+    The text is parsed once, as the only element of an array: anything after the object breaks
+    the array or adds an element. The result comes out of a generator, so filters on it do not
+    parse again.
+    """
     text = F.trim(c(value))
     at = F.locate("{", text)
-    tail = F.when(at > 0, F.substr(text, at))
-    listed = F.try_parse_json(F.concat(F.lit("["), tail, F.lit("]")))
-    first = F.try_variant_get(listed, "$[0]", "variant")
-    # A bracket in the text could close the wrapper early; a second wrapper settles that.
-    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), tail, F.lit("}")))
-    sealed = ~F.contains(tail, F.lit("]")) | boxed.isNotNull()
-    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(single & sealed & F.schema_of_variant(first).startswith("OBJECT"), first)
+    df = df.withColumn("_tail", F.when(at > 0, F.substr(text, at)))
+    listed = F.from_json(F.concat(F.lit("["), "_tail", F.lit("]")), f"array<struct<{schema}>>")
+    # A bracket in the text could close the array early; a second wrapper settles that.
+    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), "_tail", F.lit("}")))
+    sealed = F.when(F.contains("_tail", F.lit("]")), boxed.isNotNull()).otherwise(True)
+    df = df.withColumn("_list", listed)
+    return df.withColumn(name, F.explode_outer(F.when((F.size("_list") == 1) & sealed, F.col("_list")))).drop("_list")
 
 
 def parse_events(lines: DataFrame, value: Col = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """Typed events; lines that hold no object keep a null ``raw``.
+    """Typed events and ``well_formed``; the whole record is in the VARIANT ``raw``.
 
-    The hot columns come from one pass over the text as strings and are cast leniently; the
-    whole record stays available in ``raw``.
+    The hot columns come out of the text as strings and are cast leniently. ``raw`` is parsed
+    only where it is selected.
     """
-    texts = ", ".join(f"{name} string" for name in ("timestamp", "event", *LOG_FIELDS))
-    out = lines.select(*keep, c(value).alias("value"), extract_json(value).alias("raw"))
-    tail = F.substr("value", F.locate("{", F.col("value")))
-    out = out.withColumn("t", F.from_json(F.when(F.col("raw").isNotNull(), tail), texts))
-    duration = F.try_variant_get("raw", "$.duration_ms", "variant")
-    kind = F.schema_of_variant(duration)
+    kinds = {"timestamp": "string", "event": "string", **dict.fromkeys(LOG_FIELDS, "string"), "duration_ms": "variant"}
+    schema = ",".join(f"{name}:{kind}" for name, kind in kinds.items())
+    out = extract_json(lines.select(*keep, c(value).alias("value")), schema)
+    duration, kind = F.col("t.duration_ms"), F.schema_of_variant("t.duration_ms")
+    casts = {name: F.col(f"t.{name}").try_cast(target) for name, target in LOG_FIELDS.items()}
+    casts["duration_ms"] = F.try_variant_get(duration, "$", "bigint")
     return out.select(
         *keep,
         "value",
-        "raw",
+        F.col("t").isNotNull().alias("well_formed"),
+        F.when(F.col("t").isNotNull(), F.try_parse_json("_tail")).alias("raw"),
         F.coalesce("t.timestamp", F.lit("")).alias("timestamp"),
         event_time("t.timestamp").alias("ts"),
         F.coalesce("t.event", F.lit("")).alias("event"),
-        *[F.col(f"t.{name}").try_cast(kind).alias(name) for name, kind in LOG_FIELDS.items()],
+        *[cast.alias(name) for name, cast in casts.items()],
         # Stage timing wants whole numbers only; a boolean counts as 0 or 1.
-        F.when(kind == "BIGINT", F.try_variant_get("raw", "$.duration_ms", "bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get("raw", "$.duration_ms", "boolean").cast("bigint"))
+        F.when(kind == "BIGINT", F.try_variant_get(duration, "$", "bigint"))
+        .when(kind == "BOOLEAN", F.try_variant_get(duration, "$", "boolean").cast("bigint"))
         .alias("duration_int"),
     )
 
 
 def scan_logs(spark: SparkSession, directory: str, max_records: int | None = None) -> DataFrame:
     """Good records of a rotated log, optionally the first ``max_records`` in file order."""
-    events = parse_events(read_lines(spark, directory), keep=("file", "file_seq", "place")).where("raw IS NOT NULL")
+    events = parse_events(read_lines(spark, directory), keep=("file", "file_seq", "place")).where("well_formed")
     if max_records is None:
         return events
     place = [F.col("place.file_seq"), F.col("place.file"), F.col("place.block")]
@@ -84,11 +89,11 @@ def scan_logs(spark: SparkSession, directory: str, max_records: int | None = Non
 
 def parse_audit(parsed: DataFrame, max_errors: int = 50) -> DataFrame:
     """Counters of one parse; ``parsed`` comes from parse_events over all lines."""
-    bad = F.count_if(F.col("raw").isNull())
+    bad = F.count_if(~F.col("well_formed"))
     return parsed.agg(
         F.count_distinct("file").alias("files_read"),
         F.count("*").alias("lines_read"),
-        F.count_if(F.col("raw").isNotNull()).alias("records_loaded"),
+        F.count_if("well_formed").alias("records_loaded"),
         bad.alias("malformed_lines"),
         F.least(bad, F.lit(max_errors)).cast("long").alias("parse_errors"),
     )

@@ -12,7 +12,7 @@ from sievekit.sources.logs import parse_events
 
 
 def tail_logs(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
-    """Events of closed log files as they appear; a null ``raw`` marks a malformed line.
+    """Events of closed log files as they appear; ``well_formed`` tells bad lines.
 
     The file source takes whole files, so it follows rotated members, not the open one.
     """
@@ -24,7 +24,7 @@ def tail_logs(spark: SparkSession, directory: str, max_files: int | None = None)
 
 def split_malformed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good events, malformed lines)."""
-    return events.where("raw IS NOT NULL").drop("value"), events.where("raw IS NULL").select("value")
+    return events.where("well_formed").drop("value"), events.where("NOT well_formed").select("value")
 
 
 def stream_rate(stream: DataFrame, delay: str = "2 minutes", width: str = "1 minute", ts: str = "ts") -> DataFrame:
