@@ -1,7 +1,7 @@
 """Connected components of foreground pixels, and their statistics.
 
 Nodes are horizontal runs, not pixels. Images within the run limit are labelled in one task
-each; larger ones by repeated minimum labels with pointer jumping, checkpointed every round.
+each; larger ones by minimum labels with root hooking and pointer jumping, checkpointed every round.
 """
 
 from __future__ import annotations
@@ -87,22 +87,28 @@ def _propagate(runs: DataFrame, by: list[str], block: int = 64) -> DataFrame:
     touch = (F.col("b_x0") <= F.col("x1") + 1) & (F.col("b_x1") >= F.col("x0") - 1)
     half = cells.join(below, [*same, touch]).select(*by, F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
     edges = checkpointed(half.unionAll(half.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpointed(runs.select(*by, "id", F.col("id").alias("label")))
+    # f: id -> label; g: id -> label of the label. A run that hears a smaller label passes it
+    # on to the run that gave it its own, so whole trees join and rounds stay few.
+    state = checkpointed(runs.select(*by, "id", F.col("id").alias("f"), F.col("id").alias("g")))
     while True:
-        heard = edges.join(labels.withColumnRenamed("id", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("id")).agg(
-            F.min("label").alias("heard")
+        heard = edges.join(state.select(*by, F.col("id").alias("b"), "g"), [*by, "b"]).groupBy(
+            *by, F.col("a").alias("id")
+        ).agg(F.min("g").alias("m"))
+        known = state.join(heard, [*by, "id"], "left").withColumn("m", F.least("g", "m"))
+        offers = F.array(
+            F.struct(F.col("id").alias("to"), F.least("f", "m").alias("v")),
+            F.struct(F.col("f").alias("to"), F.col("m").alias("v")),
         )
-        lower = labels.join(heard, [*by, "id"], "left").select(
-            *by, "id", F.col("label").alias("old"), F.least("label", "heard").alias("label")
+        f = known.select(*by, F.explode(offers).alias("o")).groupBy(*by, F.col("o.to").alias("id")).agg(
+            F.min("o.v").alias("f")
         )
-        # Pointer jumping: take the label of the run that gave the label.
-        jump = lower.select(*by, F.col("id").alias("label"), F.col("label").alias("far"))
-        new = checkpointed(
-            lower.join(jump, [*by, "label"]).select(*by, "id", "old", F.least("label", "far").alias("label"))
-        )
-        labels = new.select(*by, "id", "label")
-        if new.where(F.col("old") != F.col("label")).isEmpty():
-            return runs.join(labels, [*by, "id"])
+        f = checkpointed(f)
+        root = f.select(*by, F.col("id").alias("f"), F.col("f").alias("g"))
+        new = checkpointed(f.join(root, [*by, "f"]).select(*by, "id", "f", "g"))
+        moved = new.join(state.select(*by, "id", F.col("g").alias("old")), [*by, "id"]).where(F.col("g") != F.col("old"))
+        state = new
+        if moved.isEmpty():
+            return runs.join(state.select(*by, "id", F.col("g").alias("label")), [*by, "id"])
 
 
 def component_stats(
