@@ -67,7 +67,9 @@ def label_components(pixels: DataFrame, by: Sequence[str] = ("sample_id",), limi
             pdf["label"] = _label_runs(pdf)
             return pdf[[*by, "y", "x0", "x1", "label"]]
 
-        return part.groupBy(*by).applyInPandas(one, f"{schema}, label bigint")
+        # Runs are small in bytes but costly in Python: a named width keeps AQE from merging tasks.
+        width = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return part.repartition(width, *by).groupBy(*by).applyInPandas(one, f"{schema}, label bigint")
 
     def in_rounds(part: DataFrame) -> DataFrame:
         return _propagate(part, by).select(*by, "y", "x0", "x1", "label")

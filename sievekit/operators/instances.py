@@ -121,9 +121,23 @@ def assign_ids(
     detections: DataFrame, by: Sequence[str] = ("sample_id",), name: str = "id", tie: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """1..n per key by confidence (highest first), then y, then x."""
+    """1..n per key by confidence (highest first), then y, then x.
+
+    Large keys are split by confidence; where a slice holds a single confidence (a constant
+    score), it is split further by rows of the image.
+    """
+    by = list(by)
     order = [F.col("confidence").desc(), F.col("y"), F.col("x"), *([F.col(tie)] if tie else [])]
-    return row_numbers(detections, by, order, [F.floor(F.col("confidence") * -4096)], name, limit)
+    steep = F.floor(F.col("confidence") * -4096)
+
+    def with_bands(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_slice", steep)
+        flat = rows.groupBy(*by, "_slice").agg((F.min("confidence") == F.max("confidence")).alias("_flat"))
+        rows = rows.join(flat, [*by, "_slice"])
+        return rows.withColumn("_band", F.when(F.col("_flat"), F.floor(F.col("y") / 64)).otherwise(0))
+
+    bucket = [F.col("_slice"), F.col("_band")]
+    return row_numbers(detections, by, order, bucket, name, limit, prepare=with_bands)
 
 
 def assign_ids_by_route(routed: DataFrame, by: Sequence[str] = ("sample_id",), seq: str = "seq", limit: int | None = None) -> DataFrame:

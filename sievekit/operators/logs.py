@@ -292,7 +292,7 @@ def concurrency_curve(requests: DataFrame) -> DataFrame:
     starts = requests.select(F.col("started_at").alias("ts"), F.lit(1).alias("d"))
     ends = requests.select(F.col("finished_at").alias("ts"), F.lit(-1).alias("d"))
     net = starts.unionAll(ends).where("ts IS NOT NULL").groupBy("ts").agg(F.sum("d").alias("d"))
-    return bucketed_running_sum(net, F.col("ts"), F.date_trunc("hour", "ts"), "d", "open")
+    return bucketed_running_sum(net, F.col("ts"), F.date_trunc("minute", "ts"), "d", "open")
 
 
 def concurrency(requests: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def by_group_size(
     return small(rest).unionByName(large(big))
 
 
-def log_bucket(value: Col, per_octave: int = 64) -> Column:
-    """Monotone bucket of a double; relative width about 1/per_octave octave."""
+def log_bucket(value: Col, per_octave: int = 4096) -> Column:
+    """Monotone bucket of a double, 1/per_octave octave wide: at most a few 100,000 per key."""
     v = c(value).cast("double")
     return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * per_octave)).cast("long")
 
@@ -63,16 +63,22 @@ def row_numbers(
     bucket: Sequence[Column],
     name: str,
     limit: int | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by by order by order)`` for groups of any size.
 
     ``bucket`` columns are non-null and non-decreasing along ``order``, read left to right.
+    ``prepare`` may add columns they need; it is used for large groups only.
     """
 
     def direct(rows: DataFrame) -> DataFrame:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
-    return by_group_size(df, by, direct, lambda rows: bucketed_row_number(rows, by, order, bucket, name), limit)
+    def large(rows: DataFrame) -> DataFrame:
+        ready = prepare(rows) if prepare else rows
+        return bucketed_row_number(ready, by, order, bucket, name).select(*df.columns, name)
+
+    return by_group_size(df, by, direct, large, limit)
 
 
 def bucketed_row_number(
@@ -117,7 +123,7 @@ def value_counts(df: DataFrame, by: Sequence[str], value: Col) -> DataFrame:
 
 
 def percentiles_of_counts(
-    counts: DataFrame, by: Sequence[str], probs: Mapping[str, float], per_octave: int = 64
+    counts: DataFrame, by: Sequence[str], probs: Mapping[str, float], per_octave: int = 4096
 ) -> DataFrame:
     """Linear-interpolation percentiles of (by, v, c) rows by bucket selection; keys non-null.
 

@@ -10,6 +10,7 @@ from sievekit.operators import reference as ref
 from sievekit.operators import validation as V
 from sievekit.plans import testbed as T
 from sievekit.plans.registry import query
+from sievekit.session import checkpointed
 
 
 def derived_cte(uniform_ok: str, source: str = "instances", length: str = "length_px") -> str:
@@ -346,7 +347,7 @@ def scenario_counts(spark, sf_dir):
         [(m, v, u, c) for m, v, u, c in MODES],
         "mode string, whole_kernel_length double, reference_unit string, validity string",
     )
-    derived = ref.sample_reference(inst)
+    derived = checkpointed(ref.sample_reference(inst))  # per sample, read once per use below
     grid = ref.run_scenarios(derived, modes)
     facts = grid.select(
         "sample_id", "mode", "n", "sample_median", "reference_length", "reference_status", "candidate_count",

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievekit.operators import scaling as S
+from sievekit.operators.instances import assign_ids
 
 
 def sample_rows(n=3000, seed=7):
@@ -53,6 +54,15 @@ def test_row_numbers_match_a_window(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
 
 
+def test_ids_in_crowds_with_one_confidence(spark):
+    rng = random.Random(2)
+    rows = [("s", 0.3 if i % 3 else rng.random(), rng.randrange(2000), rng.randrange(50), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "sample_id string, confidence double, y long, x long, t long").repartition(4)
+    got = {r["t"]: r["id"] for r in assign_ids(df, tie="t", limit=10).collect()}
+    want = {r[4]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2], r[3], r[4])))}
+    assert got == want
+
+
 def test_running_sum(spark):
     df = spark.createDataFrame([(i, (-1) ** i * i) for i in range(500)], "t long, d long")
     got = {r["t"]: r["s"] for r in S.bucketed_running_sum(df, F.col("t"), F.floor(F.col("t") / 37), "d", "s").collect()}
