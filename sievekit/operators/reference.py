@@ -388,8 +388,11 @@ def build_profile(measurements: DataFrame, by: Sequence[str], length: Col = "len
     )
 
 
-def run_scenarios(samples: DataFrame, modes: DataFrame) -> DataFrame:
-    """Every sample under every mode. ``modes`` is a handful of literal rows (checked)."""
-    if modes.count() > 64:
-        raise ValueError("modes must be a small fixed list of scenarios")
-    return samples.join(F.broadcast(modes))
+def run_scenarios(samples: DataFrame, modes: Sequence[Sequence], schema: str) -> DataFrame:
+    """Every sample under every mode. The modes are literal rows, unfolded in place."""
+    fields = [part.split() for part in schema.split(",")]
+    rows = [
+        F.struct(*[F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(mode, fields, strict=True)])
+        for mode in modes
+    ]
+    return samples.select("*", F.inline(F.array(*rows)))

@@ -343,12 +343,10 @@ scen_counts AS (
 def scenario_counts(spark, sf_dir):
     """Counts per sample and mode. The five modes multiply the small per-sample table first."""
     inst = T.instances(spark, sf_dir)
-    modes = spark.createDataFrame(
-        [(m, v, u, c) for m, v, u, c in MODES],
-        "mode string, whole_kernel_length double, reference_unit string, validity string",
-    )
     derived = checkpointed(ref.sample_reference(inst))  # per sample, read once per use below
-    grid = ref.run_scenarios(derived, modes)
+    grid = ref.run_scenarios(
+        derived, MODES, "mode string, whole_kernel_length double, reference_unit string, validity string"
+    )
     facts = grid.select(
         "sample_id", "mode", "n", "sample_median", "reference_length", "reference_status", "candidate_count",
         "reason", F.when(F.col("validity") == "valid", "mm").otherwise("pixels").alias("measurement_unit"),

@@ -16,18 +16,23 @@ _RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_DONE = "sievekit.tuned"
+
 # A shuffle partition should hold about this much of the input.
 _TARGET_PARTITION_BYTES = 128 << 20
 
 
 def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     """Apply the defaults; shuffle width follows the cores, and the input size if known."""
+    if spark.conf.get(_DONE, None) and not input_bytes:
+        return spark  # later choices of the user stay
+    spark.conf.set(_DONE, "true")
     chosen = spark.sparkContext.getConf()
     for key, value in _RUNTIME.items():
         if not chosen.contains(key):
             spark.conf.set(key, value)
     width = "spark.sql.shuffle.partitions"
-    if not chosen.contains(width):
+    if not chosen.contains(width) and (input_bytes or spark.conf.get(width) == "200"):
         parts = 2 * spark.sparkContext.defaultParallelism
         if input_bytes:
             parts = max(parts, -(-input_bytes // _TARGET_PARTITION_BYTES))
