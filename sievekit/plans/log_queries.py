@@ -270,7 +270,7 @@ def concurrency_curve(spark, sf_dir):
 pairs AS (
   SELECT a.status, coalesce(r.duration_ms, 0) AS api_ms, coalesce(a.duration_ms, 0) AS job_ms
   FROM linked r JOIN analyses a ON r.job_id = a.job_id WHERE r.job_id <> '')
-SELECT status, count(*) AS n, round_even(regr_slope(job_ms, api_ms) * 10000, 0) / 10000 AS slope,
+SELECT status, count(*) AS n, CASE WHEN count(DISTINCT api_ms) > 1 THEN round_even(regr_slope(job_ms, api_ms) * 10000, 0) / 10000 END AS slope,
   round_even(regr_intercept(job_ms, api_ms) * 10000, 0) / 10000 AS intercept, round_even(regr_r2(job_ms, api_ms) * 10000, 0) / 10000 AS r2
 FROM pairs GROUP BY status""",
 )
