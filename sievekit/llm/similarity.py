@@ -21,9 +21,9 @@ from sievekit.llm.links import components
 from sievekit.session import checkpointed, scratch_path
 
 #: At most so many frequent shingles are sent to every task (8 bytes each).
-FREQUENT = 1 << 18
+FREQUENT = 1 << 21
 #: A shingle in fewer prefixes is never called frequent.
-RARE = 32
+RARE = 8
 #: Entries of one index block.
 BLOCK = 32
 
@@ -136,13 +136,16 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
 
 def _entries(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, set, n, pos): the prefix of every distinct set of a batch, frequent shingles last."""
+    """(token, at, set): the prefix of every distinct set of a batch, frequent shingles last.
+
+    ``at`` is the size of the set and, in its lower half, the place in the prefix.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
 
     def work(batch):
         last, done = sent.value, set()
         for p in T.pieces(batch.column(0)):
-            tokens, sets, sizes, places = [], [], [], []
+            tokens, sets, places = [], [], []
             for s in shingle_sets(p, words):
                 if not len(s) or (sign := _signature(s)) in done:
                     continue
@@ -153,12 +156,11 @@ def _entries(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
                 k = _prefix(len(s), percent)
                 tokens.append(s[:k])
                 sets.append(np.full(k, sign))
-                sizes.append(np.full(k, len(s)))
-                places.append(np.arange(k))
+                places.append(np.arange(k) + (len(s) << 32))
             if tokens:
-                yield [np.concatenate(x).astype(np.int64) for x in (*[[t.view(np.int64) for t in tokens]], sets, sizes, places)]
+                yield np.concatenate(tokens).view(np.int64), np.concatenate(places), np.concatenate(sets)
 
-    return _map(rows.select("text"), work, "token bigint, set bigint, n bigint, pos bigint")
+    return _map(rows.select("text"), work, "token bigint, at bigint, set bigint")
 
 
 def _index(entries: DataFrame, percent: int) -> DataFrame:
@@ -167,12 +169,11 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
     A list is cut where the size leaves the range of the first set (then no pair reaches across
     more than one cut) and that first set is the pivot of its part.
     """
-    order = ["token", "n", "pos", "set"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, state = None, None  # the last row so far, and (token, rows, pivot, its size) of its list
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)
             rows = rows[:, np.append((np.diff(rows, axis=1) != 0).any(axis=0), True)]  # copies lie side by side
@@ -185,28 +186,29 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
     def _batch(out: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "set", "n", "pos", "block", "pivot", "m"])
 
-    spread = entries.select("token", "n", "pos", "set").repartition("token").sortWithinPartitions(*order)
+    spread = entries.repartition("token").sortWithinPartitions("token", "at", "set")
     return spread.mapInArrow(cut, "token bigint, set bigint, n bigint, pos bigint, block bigint, pivot bigint, m bigint")
 
 
 def _cut(rows: np.ndarray, state, percent: int, following: int | None):
     """Number the rows of sorted lists; ``following`` is the token of the next row."""
-    token, n, pos, sets = rows
+    token, at, sets = rows
+    n, pos = at >> 32, at & 0xFFFFFFFF
     if not len(token):
         return np.zeros((7, 0), np.int64), state
     same = np.append(token[1:] == token[:-1], following is not None and token[-1] == following)
     before = np.insert(token[1:] == token[:-1], 0, state is not None and state[0] == token[0])
-    at = np.flatnonzero(same | before)  # what is alone in its list has no partner
+    listed = np.flatnonzero(same | before)  # what is alone in its list has no partner
     block, pivot, size = np.zeros((3, len(token)), np.int64)
     known = state
-    for i in at.tolist():
+    for i in listed.tolist():
         if not before[i] or known is None:
             known = (token[i], 0, sets[i], n[i])
         elif n[i] * percent > known[3] * 100:
             known = (token[i], -(-known[1] // BLOCK) * BLOCK, sets[i], n[i])
         block[i], pivot[i], size[i] = known[1] // BLOCK, known[2], known[3]
         known = (known[0], known[1] + 1, known[2], known[3])
-    return np.stack([token, sets, n, pos, block, pivot, size])[:, at], known
+    return np.stack([token, sets, n, pos, block, pivot, size])[:, listed], known
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, percent: int, place: str) -> DataFrame:
