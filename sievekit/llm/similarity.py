@@ -96,11 +96,11 @@ def _nodes(rows: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
     return _map(rows, work, f"key {kind}, n bigint, set bigint, prefix array<bigint>")
 
 
-def _frequent(nodes: DataFrame) -> np.ndarray:
-    """Shingles that stand in most prefixes: at least ``RARE``, and so many that at most ``FREQUENT`` are.
+def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in most prefixes, and how often: more than ``RARE``, and so many that at most ``FREQUENT`` are.
 
-    They are put last in the order of every set. Any order that all sets share gives the same
-    answers; this one keeps the lists short. Equal shingles are counted before the shuffle, in
+    They are put last in the order of every set, the most frequent behind all others. Any order
+    that all sets share gives the same answers; this one keeps the lists short. Equal shingles are counted before the shuffle, in
     packed rows, one per task and slice of the hash range.
     """
     slices = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -120,8 +120,8 @@ def _frequent(nodes: DataFrame) -> np.ndarray:
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     least = max(RARE, total // FREQUENT)
     sliced = _map(nodes.select("prefix"), packed, "slot bigint, tokens binary, counts binary").repartition(slices, "slot")
-    often = sliced.mapInArrow(lambda batches: _merged(batches, least), "token bigint").toArrow()
-    return often.column(0).to_numpy()
+    often = sliced.mapInArrow(lambda batches: _merged(batches, least), "token bigint, count bigint").toArrow()
+    return often.column(0).to_numpy(), often.column(1).to_numpy()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -132,18 +132,23 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         merged, where = np.unique(np.concatenate([tokens, *more]), return_inverse=True)
         counts = np.bincount(where, np.concatenate([counts, *times]), len(merged)).astype(np.int64)
         tokens = merged
-    yield pa.RecordBatch.from_arrays([pa.array(tokens[counts > least])], ["token"])
+    keep = counts > least
+    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(counts[keep])], ["token", "count"])
 
 
-def _entries(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+def _entries(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """(token, at, set): the prefix of every distinct set of a batch, frequent shingles last.
 
     ``at`` is the size of the set and, in its lower half, the place in the prefix.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+    tokens, counts = frequent[0].view(np.uint64), frequent[1]
+    place = np.argsort(tokens)
+    ranks = np.empty(len(tokens), np.int32)
+    ranks[np.lexsort((tokens[place], counts[place]))] = np.arange(len(tokens))
+    sent = rows.sparkSession.sparkContext.broadcast((tokens[place], ranks))
 
     def work(batch):
-        last, done = sent.value, set()
+        (last, rank), done = sent.value, set()
         for p in T.pieces(batch.column(0)):
             tokens, sets, places = [], [], []
             for s in shingle_sets(p, words):
@@ -151,8 +156,9 @@ def _entries(rows: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
                     continue
                 done.add(sign)
                 if len(last):
-                    often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate([s[~often], s[often]])
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    often = last[at] == s
+                    s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]])]])
                 k = _prefix(len(s), percent)
                 tokens.append(s[:k])
                 sets.append(np.full(k, sign))
