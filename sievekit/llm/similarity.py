@@ -170,7 +170,9 @@ def _entries(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
 
 
 def _index(entries: DataFrame, percent: int) -> DataFrame:
-    """(token, set, n, pos, block, pivot, m): lists of two or more sets, in order of size and place.
+    """(token, set, n, pos, block, pivot, m, more): lists of two or more sets, in order of size and place.
+
+    ``more`` is false only where the list is known to have two rows.
 
     A list is cut where the size leaves the range of the first set (then no pair reaches across
     more than one cut) and that first set is the pivot of its part.
@@ -190,10 +192,11 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
             yield _batch(_cut(held, state, percent, None)[0])
 
     def _batch(out: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "set", "n", "pos", "block", "pivot", "m"])
+        names = ["token", "set", "n", "pos", "block", "pivot", "m", "more"]
+        return pa.RecordBatch.from_arrays([*map(pa.array, out[:-1]), pa.array(out[-1] > 0)], names)
 
     spread = entries.repartition("token").sortWithinPartitions("token", "at", "set")
-    return spread.mapInArrow(cut, "token bigint, set bigint, n bigint, pos bigint, block bigint, pivot bigint, m bigint")
+    return spread.mapInArrow(cut, "token bigint, set bigint, n bigint, pos bigint, block bigint, pivot bigint, m bigint, more boolean")
 
 
 def _cut(rows: np.ndarray, state, percent: int, following: int | None):
@@ -201,10 +204,11 @@ def _cut(rows: np.ndarray, state, percent: int, following: int | None):
     token, at, sets = rows
     n, pos = at >> 32, at & 0xFFFFFFFF
     if not len(token):
-        return np.zeros((7, 0), np.int64), state
+        return np.zeros((8, 0), np.int64), state
     same = np.append(token[1:] == token[:-1], following is not None and token[-1] == following)
     before = np.insert(token[1:] == token[:-1], 0, state is not None and state[0] == token[0])
     listed = np.flatnonzero(same | before)  # what is alone in its list has no partner
+    more = (before & same) | (before & np.insert(before[:-1], 0, True)) | (same & np.append(same[1:], True))
     block, pivot, size = np.zeros((3, len(token)), np.int64)
     known = state
     for i in listed.tolist():
@@ -214,7 +218,7 @@ def _cut(rows: np.ndarray, state, percent: int, following: int | None):
             known = (token[i], -(-known[1] // BLOCK) * BLOCK, sets[i], n[i])
         block[i], pivot[i], size[i] = known[1] // BLOCK, known[2], known[3]
         known = (known[0], known[1] + 1, known[2], known[3])
-    return np.stack([token, sets, n, pos, block, pivot, size])[:, listed], known
+    return np.stack([token, sets, n, pos, block, pivot, size, more])[:, listed], known
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, percent: int, place: str) -> DataFrame:
@@ -250,21 +254,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int
 
 
 def _leftover(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b, n, m, c) of different classes: c shingles are in both prefixes.
+    """Pairs (a, b, n, m, c) of different classes, but for those of a set and its list's pivot.
 
-    Index blocks are matched by their ranges of size and place first; only the entries of the
-    blocks that remain are looked at.
+    c shingles are in both prefixes. Index blocks are matched by their ranges of size and place
+    first; only the entries of the blocks that remain are looked at. Pairs of blocks that begin
+    with the same sets go to the same task, where equal pairs are added up before the shuffle.
     """
-    known = index.join(classes, index["set"] == classes["node"], "left").select(
-        "token", "set", "n", "pos", "block", F.coalesce("root", "set").alias("cls")
+    known = index.where("more").join(classes, index["set"] == classes["node"], "left").select(
+        "token", "set", "n", "pos", "block", "pivot", F.coalesce("root", "set").alias("cls")
     )
     blocks = known.groupBy("token", "block").agg(
         *[f(x).alias(f"{g}_{x}") for x in ("n", "pos", "cls") for f, g in ((F.min, "lo"), (F.max, "hi"))],
-        F.collect_list(F.struct("set", "n", "pos", "cls")).alias("sets"),  # at most BLOCK
+        F.min("set").alias("least"),
+        F.collect_list(F.struct("set", "n", "pos", "cls", "pivot")).alias("sets"),  # at most BLOCK
     )
     mixed = blocks.groupBy("token").agg(F.min("lo_cls").alias("x"), F.max("hi_cls").alias("y")).where("x <> y").select("token")
     blocks = blocks.join(mixed, "token", "left_semi")
-    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "sets")
+    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "least", "sets")
     other = blocks.select("token", *[F.col(x).alias(f"{x}_2") for x in names])
     one_class = (F.col("lo_cls") == F.col("hi_cls")) & (F.col("lo_cls_2") == F.col("hi_cls_2")) & (F.col("lo_cls") == F.col("lo_cls_2"))
     # The best that any two entries can reach: the shorter rest behind both places.
@@ -275,31 +281,49 @@ def _leftover(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         & (F.col("hi_n") * 100 >= F.col("lo_n_2") * percent) & (F.col("hi_n_2") * 100 >= F.col("lo_n") * percent)
         & (reach >= _needed(percent, "lo_n", "lo_n_2"))
     )
-    met = blocks.join(other, "token").where(alike).select((F.col("block") == F.col("block_2")).alias("own"), "sets", "sets_2")
+    met = blocks.join(other, "token").where(alike).repartition("least", "least_2").select(
+        (F.col("block") == F.col("block_2")).alias("own"), "sets", "sets_2"
+    )
 
-    def work(batch):
-        own = batch.column(0).to_numpy(zero_copy_only=False)
-        found = []
-        for r in range(batch.num_rows):
-            x, y = ([f.to_numpy() for f in batch.column(k)[r].values.flatten()] for k in (1, 2))
-            ok = x[3][:, None] != y[3][None, :]
-            if own[r]:
-                ok &= x[0][:, None] < y[0][None, :]
-            n, m, i, j = x[1][:, None], y[1][None, :], x[2][:, None], y[2][None, :]
-            most = np.minimum(i, j) + np.minimum(n - i, m - j)
-            ok &= (100 + percent) * most >= percent * (n + m)
-            ok &= (100 * n >= percent * m) & (100 * m >= percent * n)
-            a, b = np.nonzero(ok)
-            if len(a):
-                u, v, s, t = x[0][a], y[0][b], x[1][a], y[1][b]
-                low = u < v
-                found.append(np.stack([np.where(low, u, v), np.where(low, v, u), np.where(low, s, t), np.where(low, t, s)]))
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            sides = [(batch.column(k).offsets.to_numpy(), [f.to_numpy() for f in batch.column(k).values.flatten()]) for k in (1, 2)]
+            for r in range(batch.num_rows):
+                x, y = ([f[o[r] : o[r + 1]] for f in fields] for o, fields in sides)
+                ok = x[3][:, None] != y[3][None, :]
+                if own[r]:
+                    ok &= x[0][:, None] < y[0][None, :]
+                ok &= (x[0][:, None] != y[4][None, :]) & (x[4][:, None] != y[0][None, :])
+                n, m, i, j = x[1][:, None], y[1][None, :], x[2][:, None], y[2][None, :]
+                ok &= (100 + percent) * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= percent * (n + m)
+                ok &= (100 * n >= percent * m) & (100 * m >= percent * n)
+                a, b = np.nonzero(ok)
+                if len(a):
+                    found.append((x[0][a], y[0][b], x[1][a], y[1][b]))
+                    held += len(a)
+                if held >= 1 << 21:
+                    yield _added_up(found)
+                    found, held = [], 0
         if found:
-            pairs, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-            yield *pairs, times.astype(np.int64)
+            yield _added_up(found)
 
-    raw = _map(met, work, "a bigint, b bigint, n bigint, m bigint, c bigint")
-    return raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c"))
+    raw = met.mapInArrow(expand, "a bigint, b bigint, n bigint, m bigint, c bigint")
+    return raw
+
+
+def _added_up(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Equal pairs once, the smaller set first, with their number."""
+    u, v, s, t = (np.concatenate(x) for x in zip(*found))
+    names, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    size = np.zeros(len(names), np.int64)
+    size[where] = np.concatenate([s, t])
+    u, v = where[: len(u)], where[len(u) :]
+    pairs, times = np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v), return_counts=True)
+    a, b = pairs // len(names), pairs % len(names)
+    columns = [names[a], names[b], size[a], size[b], times]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "n", "m", "c"])
 
 
 def link_similar(
@@ -335,15 +359,24 @@ def link_similar(
     index = spark.read.parquet(f"{place}/index")
 
     enough = F.col("c") >= _shared_prefix(percent)
-    starred = (
+    pivots = checkpointed(
         index.where("set <> pivot").groupBy(F.col("set").alias("a"), F.col("pivot").alias("b"))
-        .agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("c")).where(enough)
+        .agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("c"))
     )
     # One pivot per set is enough to join its class; the smallest, so that classes agree on it.
-    stars = checkpointed(starred.groupBy("a").agg(F.min("b").alias("b")))
+    stars = checkpointed(pivots.where(enough).groupBy("a").agg(F.min("b").alias("b")))
     links = checkpointed(_verified(stars, nodes, rows, words, percent, f"{place}/stars"))
     classes = components(links)
-    rest = checkpointed(_leftover(index, classes, percent).where(enough).select("a", "b"))
+    ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "n", "m", "c")).otherwise(
+        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "c")
+    )
+    raw = _leftover(index, classes, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
+    pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
+    of_a, of_b = (classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    )
+    rest = checkpointed(apart.select("a", "b"))
     more = _verified(rest, nodes, rows, words, percent, f"{place}/rest")
     classes = components(links.unionAll(more))
 
