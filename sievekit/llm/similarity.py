@@ -174,12 +174,13 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
 
     ``more`` is false only where the list is known to have two rows.
 
-    A list is cut where the size leaves the range of the first set (then no pair reaches across
-    more than one cut) and that first set is the pivot of its part.
+    A list is cut where the size leaves the range of its first set. The pivot of a part is its
+    smallest set, so that the lists of a family of near copies agree on it; a part that goes on
+    in the next batch gets another one there.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = None, None  # the last row so far, and (token, rows, pivot, its size) of its list
+        held, state = None, None  # the last row so far, and (token, rows, first size) of its list
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
             if held is not None:
@@ -211,13 +212,21 @@ def _cut(rows: np.ndarray, state, percent: int, following: int | None):
     more = (before & same) | (before & np.insert(before[:-1], 0, True)) | (same & np.append(same[1:], True))
     block, pivot, size = np.zeros((3, len(token)), np.int64)
     known = state
-    for i in listed.tolist():
+    starts = []
+    for k, i in enumerate(listed.tolist()):
         if not before[i] or known is None:
-            known = (token[i], 0, sets[i], n[i])
-        elif n[i] * percent > known[3] * 100:
-            known = (token[i], -(-known[1] // BLOCK) * BLOCK, sets[i], n[i])
-        block[i], pivot[i], size[i] = known[1] // BLOCK, known[2], known[3]
-        known = (known[0], known[1] + 1, known[2], known[3])
+            known = (token[i], 0, n[i])
+            starts.append(k)
+        elif n[i] * percent > known[2] * 100:
+            known = (token[i], -(-known[1] // BLOCK) * BLOCK, n[i])
+            starts.append(k)
+        block[i] = known[1] // BLOCK
+        known = (known[0], known[1] + 1, known[2])
+    if len(listed):
+        starts = np.array(starts if starts and starts[0] == 0 else [0, *starts])
+        sizes = np.diff(np.append(starts, len(listed)))
+        least = np.repeat(np.minimum.reduceat(sets[listed], starts), sizes)
+        pivot[listed], size[listed] = least, np.repeat(n[listed][sets[listed] == least], sizes)
     return np.stack([token, sets, n, pos, block, pivot, size, more])[:, listed], known
 
 
@@ -313,6 +322,14 @@ def _leftover(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return raw
 
 
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose classes, ``root_a`` and ``root_b``, differ."""
+    for x in "ab":
+        names = classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        pairs = pairs.join(names, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    return pairs.where("root_a <> root_b")
+
+
 def _added_up(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Equal pairs once, the smaller set first, with their number."""
     u, v, s, t = (np.concatenate(x) for x in zip(*found))
@@ -367,16 +384,17 @@ def link_similar(
     stars = checkpointed(pivots.where(enough).groupBy("a").agg(F.min("b").alias("b")))
     links = checkpointed(_verified(stars, nodes, rows, words, percent, f"{place}/stars"))
     classes = components(links)
+    # Then one pair, the one with most in common, of every two classes that a pivot may join.
+    tried = _apart(pivots.where(enough), classes)
+    best = checkpointed(tried.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), "c").alias("p")).select("p.*"))
+    links = checkpointed(links.unionAll(_verified(best, nodes, rows, words, percent, f"{place}/best")))
+    classes = components(links)
     ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "n", "m", "c")).otherwise(
         F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "c")
     )
     raw = _leftover(index, classes, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
     pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
-    of_a, of_b = (classes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    apart = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    )
-    rest = checkpointed(apart.select("a", "b"))
+    rest = checkpointed(_apart(pairs, classes).select("a", "b"))
     more = _verified(rest, nodes, rows, words, percent, f"{place}/rest")
     classes = components(links.unionAll(more))
 
