@@ -4,7 +4,8 @@ The join uses relations between sets twice. **In the index**: the list of a shin
 into blocks of sets that are alike in size and in the shingle's position; blocks that cannot
 hold a partner are skipped whole. **In the answers**: every set of a list is first compared
 with the list's pivot only; sets found similar to a pivot take over its class, and no pair
-inside a class is looked at again. What is left is decided exactly.
+inside a class is looked at again. Sets that share at least half with a pivot, their anchor,
+are compared with each other by their differences from it only. What is left is decided exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from sievekit.llm import texts as T
 from sievekit.llm.links import components
 from sievekit.session import checkpointed, scratch_path
 
-#: At most so many frequent shingles are sent to every task (8 bytes each).
+#: At most so many frequent shingles are sent to every task (8 bytes each, with their ranks).
 FREQUENT = 1 << 21
 #: A shingle in fewer prefixes is never called frequent.
 RARE = 8
@@ -77,27 +78,36 @@ def _map(rows: DataFrame, work, schema: str) -> DataFrame:
 
 def _ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64), kind))
+    values = np.concatenate(parts) if parts else np.zeros(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(kind.to_pandas_dtype()), kind))
+
+
+def _code(shingles: np.ndarray) -> np.ndarray:
+    """Half of a shingle's hash; it is enough to say what is frequent."""
+    return (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def _nodes(rows: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
-    """A row per record: key, n, set signature, prefix in plain hash order."""
+    """A row per record: key, n, set signature, and the codes of the shingles first in plain hash order.
+
+    These are twice as many as a prefix holds, since frequent shingles will leave the prefix
+    and others follow.
+    """
 
     def work(batch):
-        sizes, sets, prefixes = [], [], []
+        sizes, sets, codes = [], [], []
         for p in T.pieces(batch.column(1)):
             for s in shingle_sets(p, words):
                 sizes.append(len(s))
                 sets.append(_signature(s))
-                prefixes.append(s[: _prefix(len(s), percent)] if len(s) else s)
-        yield batch.column(0), np.array(sizes, np.int64), np.array(sets, np.int64), _ragged(prefixes, pa.int64())
+                codes.append(_code(s[: 2 * _prefix(len(s), percent)]))
+        yield batch.column(0), np.array(sizes, np.int64), np.array(sets, np.int64), _ragged(codes, pa.int32())
 
-    return _map(rows, work, f"key {kind}, n bigint, set bigint, prefix array<bigint>")
+    return _map(rows, work, f"key {kind}, n bigint, set bigint, codes array<int>")
 
 
 def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in most prefixes, and how often: more than ``RARE``, and so many that at most ``FREQUENT`` are.
+    """Codes of the shingles that stand first in most sets, and how often: more than ``RARE`` times, ``FREQUENT`` at most.
 
     They are put last in the order of every set, the most frequent behind all others. Any order
     that all sets share gives the same answers; this one keeps the lists short. Equal shingles are counted before the shuffle, in
@@ -106,34 +116,36 @@ def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     slices = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def packed(batch):
-        tokens, counts = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-        slot = tokens % slices
+        codes, counts = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        slot = codes % slices
         order = np.argsort(slot, kind="stable")
         cuts = np.searchsorted(slot[order], np.arange(slices + 1))
-        parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-        yield (
-            np.arange(slices, dtype=np.int64),
-            pa.array([tokens[i].tobytes() for i in parts], pa.binary()),
-            pa.array([counts[i].astype(np.int32).tobytes() for i in parts], pa.binary()),
-        )
-
-    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        once, more, times = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            own = order[a:b]
+            again = counts[own] > 1
+            once.append(codes[own[~again]].tobytes())
+            more.append(codes[own[again]].tobytes())
+            times.append(counts[own[again]].astype(np.int32).tobytes())
+        yield np.arange(slices, dtype=np.int64), *(pa.array(x, pa.binary()) for x in (once, more, times))
+
+    total = nodes.agg(F.sum(F.size("codes"))).first()[0] or 0
     least = max(RARE, total // FREQUENT)
-    sliced = _map(nodes.select("prefix"), packed, "slot bigint, tokens binary, counts binary").repartition(slices, "slot")
-    often = sliced.mapInArrow(lambda batches: _merged(batches, least), "token bigint, count bigint").toArrow()
+    sliced = _map(nodes.select("codes"), packed, "slot bigint, once binary, more binary, times binary").repartition(slices, "slot")
+    often = sliced.mapInArrow(lambda batches: _merged(batches, least), "code int, count bigint").toArrow()
     return often.column(0).to_numpy(), often.column(1).to_numpy()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    tokens, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
     for batch in batches:
-        more = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        times = [np.frombuffer(x.as_py(), np.int32) for x in batch.column(2)]
-        merged, where = np.unique(np.concatenate([tokens, *more]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, *times]), len(merged)).astype(np.int64)
-        tokens = merged
+        once, more, times = ([np.frombuffer(x.as_py(), np.int32) for x in batch.column(k)] for k in (1, 2, 3))
+        ones = np.ones(sum(map(len, once)), np.int64)
+        merged, where = np.unique(np.concatenate([codes, *once, *more]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, ones, *times]), len(merged)).astype(np.int64)
+        codes = merged
     keep = counts > least
-    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(counts[keep])], ["token", "count"])
+    yield pa.RecordBatch.from_arrays([pa.array(codes[keep]), pa.array(counts[keep])], ["code", "count"])
 
 
 def _entries(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
@@ -141,11 +153,11 @@ def _entries(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
 
     ``at`` is the size of the set and, in its lower half, the place in the prefix.
     """
-    tokens, counts = frequent[0].view(np.uint64), frequent[1]
-    place = np.argsort(tokens)
-    ranks = np.empty(len(tokens), np.int32)
-    ranks[np.lexsort((tokens[place], counts[place]))] = np.arange(len(tokens))
-    sent = rows.sparkSession.sparkContext.broadcast((tokens[place], ranks))
+    codes, counts = frequent
+    place = np.argsort(codes)
+    ranks = np.empty(len(codes), np.int32)
+    ranks[np.lexsort((codes[place], counts[place]))] = np.arange(len(codes))
+    sent = rows.sparkSession.sparkContext.broadcast((codes[place], ranks))
 
     def work(batch):
         (last, rank), done = sent.value, set()
@@ -156,9 +168,10 @@ def _entries(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
                     continue
                 done.add(sign)
                 if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    often = last[at] == s
-                    s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]])]])
+                    code = _code(s)
+                    at = np.minimum(np.searchsorted(last, code), len(last) - 1)
+                    often = last[at] == code
+                    s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
                 k = _prefix(len(s), percent)
                 tokens.append(s[:k])
                 sets.append(np.full(k, sign))
@@ -230,8 +243,8 @@ def _cut(rows: np.ndarray, state, percent: int, following: int | None):
     return np.stack([token, sets, n, pos, block, pivot, size, more])[:, listed], known
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, percent: int, place: str) -> DataFrame:
-    """The similar ones of the candidate pairs (a, b), by their whole sets.
+def _built(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, place: str) -> DataFrame:
+    """(a, b, x, y): the candidate pairs with their whole sets.
 
     Only sets that occur in a candidate are built again, from the text of one of their records.
     """
@@ -249,44 +262,107 @@ def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int
     built = records.sparkSession.read.parquet(place)
     left = built.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     right = built.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for i in range(batch.num_rows):
+        x, y = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
+        yield x, y, np.intersect1d(x, y, assume_unique=True)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, percent: int, place: str) -> DataFrame:
+    """The similar ones of the candidate pairs (a, b), by their whole sets."""
 
     def compare(batch):
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        keep = np.zeros(len(a), bool)
-        for i in range(len(a)):
-            x, y = batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        yield a[keep], b[keep]
+        keep = np.array([100 * len(c) >= percent * (len(x) + len(y) - len(c)) for x, y, c in _each(batch)], bool)
+        yield batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep]
+
+    return _map(_built(pairs, nodes, records, words, place), compare, "a bigint, b bigint")
 
-    return _map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), compare, "a bigint, b bigint")
 
+def _anchored(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, percent: int, place: str) -> DataFrame:
+    """(a, b, similar, more, less) of the pairs that share half of what they have.
 
-def _leftover(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n, m, c) of different classes, but for those of a set and its list's pivot.
+    b is the anchor of a; ``more`` are the shingles that only a has, ``less`` those that only b has.
+    """
+
+    def compare(batch):
+        kept, similar, more, less = [], [], [], []
+        for i, (x, y, c) in enumerate(_each(batch)):
+            if 3 * len(c) >= len(x) + len(y):
+                kept.append(i)
+                similar.append(100 * len(c) >= percent * (len(x) + len(y) - len(c)))
+                more.append(np.setdiff1d(x, c, assume_unique=True))
+                less.append(np.setdiff1d(y, c, assume_unique=True))
+        a, b = (batch.column(k).to_numpy()[kept] for k in (0, 1))
+        yield a, b, np.array(similar, bool), _ragged(more, pa.int64()), _ragged(less, pa.int64())
+
+    schema = "a bigint, b bigint, similar boolean, more array<bigint>, less array<bigint>"
+    _map(_built(pairs, nodes, records, words, f"{place}/built"), compare, schema).write.parquet(f"{place}/found")
+    return records.sparkSession.read.parquet(f"{place}/found")
+
+
+def _derived(anchored: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among the sets of one anchor p, from what they differ from it in.
+
+    Let D and A be what x lacks of p and what it has beyond p. Then x and y have |p| - |D| - |D'| +
+    s in common, where s counts the differences that they share. If both are similar to p they
+    are of its class; if x is not, y must share more than (100 D' + percent A') / (100 + percent)
+    of its own differences with x. So y is looked up by just so many of them, the ones beyond
+    p first, that two of them, or all that it must share, are among them.
+    """
+
+    def rows(batch):
+        out = [[], [], [], [], []]
+        for i in range(batch.num_rows):
+            a, b, similar = (batch.column(k)[i].as_py() for k in range(3))
+            more, less = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
+            every = np.concatenate([more * 2, less * 2 + 1])  # what is lacking is another thing than what is had
+            least = (100 * len(less) + percent * len(more)) // (100 + percent) + 1
+            asked = min(2, least)
+            for side, own in ((True, every[: max(0, len(every) - least + asked)]), (False, every[:0] if similar else every)):
+                for column, value in zip(out, (b, a, asked, side)):
+                    column.append(np.full(len(own), value))
+                out[4].append(own)
+        yield [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+
+    long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, "anchor bigint, set bigint, asked bigint, side boolean, item bigint")
+    found = long.where("side").select("anchor", "item", "set", "asked")
+    probes = long.where("not side").select("anchor", "item", F.col("set").alias("other"))
+    met = found.join(probes, ["anchor", "item"]).where("set <> other").groupBy("set", "other", "asked").agg(F.count("*").alias("c"))
+    return met.where("c >= asked").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
+
+
+def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, m, c) of different classes and anchors, but for those of a set and its list's pivot.
 
     c shingles are in both prefixes. Index blocks are matched by their ranges of size and place
     first; only the entries of the blocks that remain are looked at. Pairs of blocks that begin
     with the same sets go to the same task, where equal pairs are added up before the shuffle.
     """
-    known = index.where("more").join(classes, index["set"] == classes["node"], "left").select(
-        "token", "set", "n", "pos", "block", "pivot", F.coalesce("root", "set").alias("cls")
+    named = classes.join(anchors, "node", "full")
+    known = index.where("more").join(named, index["set"] == named["node"], "left").select(
+        "token", "set", "n", "pos", "block", "pivot", F.coalesce("root", "set").alias("cls"), F.coalesce("anchor", "set").alias("anchor")
     )
     blocks = known.groupBy("token", "block").agg(
-        *[f(x).alias(f"{g}_{x}") for x in ("n", "pos", "cls") for f, g in ((F.min, "lo"), (F.max, "hi"))],
+        *[f(x).alias(f"{g}_{x}") for x in ("n", "pos", "cls", "anchor") for f, g in ((F.min, "lo"), (F.max, "hi"))],
         F.min("set").alias("least"),
-        F.collect_list(F.struct("set", "n", "pos", "cls", "pivot")).alias("sets"),  # at most BLOCK
+        F.collect_list(F.struct("set", "n", "pos", "cls", "pivot", "anchor")).alias("sets"),  # at most BLOCK
     )
     mixed = blocks.groupBy("token").agg(F.min("lo_cls").alias("x"), F.max("hi_cls").alias("y")).where("x <> y").select("token")
     blocks = blocks.join(mixed, "token", "left_semi")
-    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "least", "sets")
+    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "lo_anchor", "hi_anchor", "least", "sets")
     other = blocks.select("token", *[F.col(x).alias(f"{x}_2") for x in names])
-    one_class = (F.col("lo_cls") == F.col("hi_cls")) & (F.col("lo_cls_2") == F.col("hi_cls_2")) & (F.col("lo_cls") == F.col("lo_cls_2"))
+
+    def one(x: str) -> Column:
+        return (F.col(f"lo_{x}") == F.col(f"hi_{x}")) & (F.col(f"lo_{x}_2") == F.col(f"hi_{x}_2")) & (F.col(f"lo_{x}") == F.col(f"lo_{x}_2"))
+
     # The best that any two entries can reach: the shorter rest behind both places.
     ahead = F.least("hi_pos", "hi_pos_2") + 1
     reach = ahead + F.least(F.col("hi_n") - F.col("lo_pos"), F.col("hi_n_2") - F.col("lo_pos_2")) - 1
     alike = (
-        (F.col("block") <= F.col("block_2")) & ~one_class
+        (F.col("block") <= F.col("block_2")) & ~one("cls") & ~one("anchor")
         & (F.col("hi_n") * 100 >= F.col("lo_n_2") * percent) & (F.col("hi_n_2") * 100 >= F.col("lo_n") * percent)
         & (reach >= _needed(percent, "lo_n", "lo_n_2"))
     )
@@ -301,7 +377,7 @@ def _leftover(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             sides = [(batch.column(k).offsets.to_numpy(), [f.to_numpy() for f in batch.column(k).values.flatten()]) for k in (1, 2)]
             for r in range(batch.num_rows):
                 x, y = ([f[o[r] : o[r + 1]] for f in fields] for o, fields in sides)
-                ok = x[3][:, None] != y[3][None, :]
+                ok = (x[3][:, None] != y[3][None, :]) & (x[5][:, None] != y[5][None, :])
                 if own[r]:
                     ok &= x[0][:, None] < y[0][None, :]
                 ok &= (x[0][:, None] != y[4][None, :]) & (x[4][:, None] != y[0][None, :])
@@ -312,7 +388,7 @@ def _leftover(index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 if len(a):
                     found.append((x[0][a], y[0][b], x[1][a], y[1][b]))
                     held += len(a)
-                if held >= 1 << 21:
+                if held >= 1 << 19:
                     yield _added_up(found)
                     found, held = [], 0
         if found:
@@ -380,9 +456,10 @@ def link_similar(
         index.where("set <> pivot").groupBy(F.col("set").alias("a"), F.col("pivot").alias("b"))
         .agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("c"))
     )
-    # One pivot per set is enough to join its class; the smallest, so that classes agree on it.
-    stars = checkpointed(pivots.where(enough).groupBy("a").agg(F.min("b").alias("b")))
-    links = checkpointed(_verified(stars, nodes, rows, words, percent, f"{place}/stars"))
+    # One pivot per set joins its class and is its anchor; the smallest, so that sets agree on it.
+    stars = checkpointed(pivots.where(F.col("c") * 3 >= _shared_prefix(percent)).groupBy("a").agg(F.min("b").alias("b")))
+    anchored = _anchored(stars, nodes, rows, words, percent, f"{place}/stars")
+    links = anchored.where("similar").select("a", "b")
     classes = components(links)
     # Then one pair, the one with most in common, of every two classes that a pivot may join.
     tried = _apart(pivots.where(enough), classes)
@@ -392,9 +469,11 @@ def link_similar(
     ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "n", "m", "c")).otherwise(
         F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "c")
     )
-    raw = _leftover(index, classes, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
+    anchors = anchored.select(F.col("a").alias("node"), F.col("b").alias("anchor"))
+    raw = _leftover(index, classes, anchors, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
     pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
-    rest = checkpointed(_apart(pairs, classes).select("a", "b"))
+    rest = _apart(pairs.select("a", "b").unionAll(_derived(anchored, percent)), classes).select("a", "b")
+    rest = checkpointed(rest.distinct())
     more = _verified(rest, nodes, rows, words, percent, f"{place}/rest")
     classes = components(links.unionAll(more))
 
