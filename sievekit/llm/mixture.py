@@ -263,7 +263,8 @@ def mix_sources(
     part = F.greatest(F.least("high", F.coalesce("part", F.lit(0))) - F.col("low"), F.lit(0))
     words = F.col("whole") * (F.col("high") - F.col("low")) + part
     cut = _cut(laid.select("number", "start", "size"), block)
-    taken = cut.join(uses, ["number", "block"]).groupBy("number", "start", "size").agg(F.sum(words).cast("long").alias("taken"))
+    # The planner takes the drawn slots for a few rows; they grow with the input.
+    taken = cut.join(uses.hint("merge"), ["number", "block"]).groupBy("number", "start", "size").agg(F.sum(words).cast("long").alias("taken"))
     named = laid.join(taken, ["number", "start", "size"], "left")
     return named.select(
         F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
@@ -277,4 +278,4 @@ def mixed_blocks(records: DataFrame, text: str = "error_message", block: int = 6
     own = F.slice(F.regexp_extract_all("text", F.lit(_WORD), 0), (F.col("block") * block + F.col("low") - F.col("start") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int"))
     parts = cut.groupBy("number", "block").agg(F.array_sort(F.collect_list(F.struct("low", own.alias("words")))).alias("parts"))
     words = F.slice(F.flatten(F.transform("parts", lambda x: x["words"])), F.lit(1), F.col("take"))
-    return slots.join(parts, ["number", "block"]).select("shard", "place", words.alias("words"))
+    return slots.hint("merge").join(parts, ["number", "block"]).select("shard", "place", words.alias("words"))
