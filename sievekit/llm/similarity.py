@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievekit.llm import texts as T
 from sievekit.llm.links import components
-from sievekit.session import checkpointed, scratch_path
+from sievekit.session import checkpointed, discard, scratch_path
 
 #: At most so many frequent shingles are sent to every task (8 bytes each, with their ranks).
 FREQUENT = 1 << 21
@@ -187,9 +187,10 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
 
     ``more`` is false only where the list is known to have two rows.
 
-    A list is cut where the size leaves the range of its first set. The pivot of a part is its
-    smallest set, so that the lists of a family of near copies agree on it; a part that goes on
-    in the next batch gets another one there.
+    A list is cut where the size leaves the range of its first set. The pivot of a part is
+    the set that has the shingle first. In a family of near copies this is one with few changes,
+    as rare shingles come before shared ones; so the lists of the family agree on it, and the
+    others differ little from it. A part that goes on in the next batch gets another one there.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +239,9 @@ def _cut(rows: np.ndarray, state, percent: int, following: int | None):
     if len(listed):
         starts = np.array(starts if starts and starts[0] == 0 else [0, *starts])
         sizes = np.diff(np.append(starts, len(listed)))
-        least = np.repeat(np.minimum.reduceat(sets[listed], starts), sizes)
-        pivot[listed], size[listed] = least, np.repeat(n[listed][sets[listed] == least], sizes)
+        part = np.repeat(np.arange(len(starts)), sizes)
+        first = np.lexsort((sets[listed], pos[listed], part))[starts]
+        pivot[listed], size[listed] = np.repeat(sets[listed][first], sizes), np.repeat(n[listed][first], sizes)
     return np.stack([token, sets, n, pos, block, pivot, size, more])[:, listed], known
 
 
@@ -278,7 +280,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int
         keep = np.array([100 * len(c) >= percent * (len(x) + len(y) - len(c)) for x, y, c in _each(batch)], bool)
         yield batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep]
 
-    return _map(_built(pairs, nodes, records, words, place), compare, "a bigint, b bigint")
+    found = checkpointed(_map(_built(pairs, nodes, records, words, place), compare, "a bigint, b bigint"))
+    discard(records.sparkSession, place)
+    return found
 
 
 def _anchored(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int, percent: int, place: str) -> DataFrame:
@@ -300,6 +304,7 @@ def _anchored(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int
 
     schema = "a bigint, b bigint, similar boolean, more array<bigint>, less array<bigint>"
     _map(_built(pairs, nodes, records, words, f"{place}/built"), compare, schema).write.parquet(f"{place}/found")
+    discard(records.sparkSession, f"{place}/built")
     return records.sparkSession.read.parquet(f"{place}/found")
 
 
@@ -456,8 +461,8 @@ def link_similar(
         index.where("set <> pivot").groupBy(F.col("set").alias("a"), F.col("pivot").alias("b"))
         .agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("c"))
     )
-    # One pivot per set joins its class and is its anchor; the smallest, so that sets agree on it.
-    stars = checkpointed(pivots.where(F.col("c") * 3 >= _shared_prefix(percent)).groupBy("a").agg(F.min("b").alias("b")))
+    # One pivot per set joins its class and is its anchor: the one with most in common.
+    stars = checkpointed(pivots.where(F.col("c") * 2 >= _shared_prefix(percent)).groupBy("a").agg(F.max_by("b", "c").alias("b")))
     anchored = _anchored(stars, nodes, rows, words, percent, f"{place}/stars")
     links = anchored.where("similar").select("a", "b")
     classes = components(links)
