@@ -14,6 +14,8 @@ _RUNTIME = {
     # Split a hot key in a join even when an aggregate on the same key follows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows may hold long texts; a Python task has one batch of them in memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
 }
 
 _DONE = "sievekit.tuned"
