@@ -65,14 +65,15 @@ def mark_revisits(results: DataFrame, key: str, payload: str, min_bytes: int = 0
 
 def write_warc(
     results: DataFrame, path: str, key: str = "request_id", url: str = "path", payload: str = "document",
-    min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
+    min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip",
 ) -> None:
     """Write one WARC record per row into a new folder of ``path``.
 
     ``results`` has ``key`` (the ``request_id``), ``url`` (the full URL of its ``path``) and
-    ``payload`` (the result ``document``). Files are plain WARC/1.1, one per task: a row of
-    Spark's text writer is a record, and the line separator is what ends a record. So any store
-    that Spark writes to will do. Copies of a payload become revisit records without it
+    ``payload`` (the result ``document``). Files are WARC/1.1, one per task: a row of Spark's
+    text writer is a record, and the line separator is what ends a record. So any store that
+    Spark writes to will do. With ``gzip`` each file is one compressed stream; ``none`` keeps
+    them plain, and the reader then seeks over what it skips. Copies of a payload become revisit records without it
     (``mark_revisits``); their HTTP header keeps its length.
 
     Null payloads are empty; a null key or URL leaves its header out. Blanks and control
@@ -106,7 +107,7 @@ def write_warc(
         F.lit("Content-Type: application/http; msgtype=response" + _CRLF),
         F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(_CRLF * 2), body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).text(path, compression=compression)
 
 
 @dataclass
