@@ -25,12 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; what is left without a word goes."""
     tune(spark)
-    found = lines.drop_repeated_lines(docs.select("doc_id", "text"), key="doc_id", text="text")
-    changed = found.where("n_dropped > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(changed["_id"]), "left")
-    text = F.coalesce("_text", "text")
-    left = joined.where(F.col("_text").isNull() | F.rlike("_text", F.lit(r"[^\x20\x09-\x0D]")))
-    return left.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = lines.drop_repeated_lines(docs, key="doc_id", text="text", also=rest)
+    left = found.where((F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +132,7 @@ def _place(key: str, no: str) -> Column:
 
 
 def drop_repeated_lines(
-    records: DataFrame, key: str = "request_id", text: str = "error_message", min_words: int = 8
+    records: DataFrame, key: str = "request_id", text: str = "error_message", min_words: int = 8, also: Sequence[str] = ()
 ) -> DataFrame:
     """The messages of log records without lines that an earlier record, or the record itself, already has.
 
@@ -141,7 +141,8 @@ def drop_repeated_lines(
     \\n; its words are what blanks part, A-Z lower-cased. A line is dropped if any earlier line
     has the same words but for at most one that is changed, added or left out. Lines of fewer
     than ``min_words`` words always stay, and do not count as earlier ones. Returns ``key,
-    n_lines, n_dropped, text``: the kept lines in their order.
+    n_lines, n_dropped, text``: the kept lines in their order, and behind them the columns
+    named in ``also``, as they are.
 
     Deletion neighbourhood: each line gives hashed variants with one word left out, and itself.
     Lines with an equal variant are one edit apart exactly if the gaps are at the same place
@@ -157,10 +158,11 @@ def drop_repeated_lines(
     """
     first_key = -(1 << 63)
     rows = records.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(first_key)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).select("key", F.xxhash64("text").alias("seen"), "text")
+        F.coalesce(F.col(key).cast("long"), F.lit(first_key)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.struct(F.lit(0), *also).alias("also"),
+    ).select("key", F.xxhash64("text").alias("seen"), "text", "also")
     spark, place = records.sparkSession, scratch_path(records.sparkSession, "lines")
-    _scan(rows, min_words).write.parquet(place)
+    _scan(rows.drop("also"), min_words).write.parquet(place)
     lines = spark.read.parquet(place)
 
     places = lines.select("line", "ends", _place("key", "no").alias("place"))
@@ -202,4 +204,5 @@ def drop_repeated_lines(
         F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        *[F.col("also")[name].alias(name) for name in also],
     )

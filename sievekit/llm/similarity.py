@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm import texts as T
@@ -190,11 +190,12 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
     A list is cut where the size leaves the range of its first set. The pivot of a part is
     the set that has the shingle first. In a family of near copies this is one with few changes,
     as rare shingles come before shared ones; so the lists of the family agree on it, and the
-    others differ little from it. A part that goes on in the next batch gets another one there.
+    others differ little from it. A part that goes on in the next batch keeps it, unless one
+    comes that has the shingle earlier.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = None, None  # the last row so far, and (token, rows, first size) of its list
+        held, state = None, None  # the last row so far; (token, rows, first size, pivot) of its list
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
             if held is not None:
@@ -226,22 +227,28 @@ def _cut(rows: np.ndarray, state, percent: int, following: int | None):
     more = (before & same) | (before & np.insert(before[:-1], 0, True)) | (same & np.append(same[1:], True))
     block, pivot, size = np.zeros((3, len(token)), np.int64)
     known = state
-    starts = []
+    starts, best = [], None
     for k, i in enumerate(listed.tolist()):
         if not before[i] or known is None:
-            known = (token[i], 0, n[i])
+            known = (token[i], 0, n[i], None)
             starts.append(k)
         elif n[i] * percent > known[2] * 100:
-            known = (token[i], -(-known[1] // BLOCK) * BLOCK, n[i])
+            known = (token[i], -(-known[1] // BLOCK) * BLOCK, n[i], None)
             starts.append(k)
+        elif k == 0:  # the part goes on from the last batch, and so does its pivot
+            starts.append(k)
+            best = known[3]
         block[i] = known[1] // BLOCK
-        known = (known[0], known[1] + 1, known[2])
+        known = (known[0], known[1] + 1, *known[2:])
     if len(listed):
-        starts = np.array(starts if starts and starts[0] == 0 else [0, *starts])
+        starts = np.array(starts)
         sizes = np.diff(np.append(starts, len(listed)))
-        part = np.repeat(np.arange(len(starts)), sizes)
-        first = np.lexsort((sets[listed], pos[listed], part))[starts]
-        pivot[listed], size[listed] = np.repeat(sets[listed][first], sizes), np.repeat(n[listed][first], sizes)
+        first = listed[np.lexsort((sets[listed], pos[listed], np.repeat(np.arange(len(starts)), sizes)))[starts]]
+        chosen = np.stack([pos[first], sets[first], n[first]])
+        if best is not None and best < tuple(chosen[:, 0].tolist()):
+            chosen[:, 0] = best
+        pivot[listed], size[listed] = np.repeat(chosen[1], sizes), np.repeat(chosen[2], sizes)
+        known = (*known[:3], tuple(chosen[:, -1].tolist()))
     return np.stack([token, sets, n, pos, block, pivot, size, more])[:, listed], known
 
 
@@ -308,14 +315,22 @@ def _anchored(pairs: DataFrame, nodes: DataFrame, records: DataFrame, words: int
     return records.sparkSession.read.parquet(f"{place}/found")
 
 
+def _higher(anchored: DataFrame) -> DataFrame:
+    """(a, b) of the sets whose anchor has an anchor itself that more sets have: they go to that one."""
+    follow = anchored.groupBy("b").agg(F.count("*").alias("n"))
+    top = anchored.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    top = top.join(follow, "b").join(follow.select(F.col("b").alias("top"), F.col("n").alias("m")), "top").where("m > n")
+    return anchored.select("a", "b").join(top, "b").where("a <> top").select("a", F.col("top").alias("b"))
+
+
 def _derived(anchored: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) among the sets of one anchor p, from what they differ from it in.
 
     Let D and A be what x lacks of p and what it has beyond p. Then x and y have |p| - |D| - |D'| +
     s in common, where s counts the differences that they share. If both are similar to p they
     are of its class; if x is not, y must share more than (100 D' + percent A') / (100 + percent)
-    of its own differences with x. So y is looked up by just so many of them, the ones beyond
-    p first, that two of them, or all that it must share, are among them.
+    of its own differences with x. So y is looked up by just so many of them, the rarest, that
+    a third of those that it must share are among them.
     """
 
     def rows(batch):
@@ -325,16 +340,22 @@ def _derived(anchored: DataFrame, percent: int) -> DataFrame:
             more, less = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
             every = np.concatenate([more * 2, less * 2 + 1])  # what is lacking is another thing than what is had
             least = (100 * len(less) + percent * len(more)) // (100 + percent) + 1
-            asked = min(2, least)
-            for side, own in ((True, every[: max(0, len(every) - least + asked)]), (False, every[:0] if similar else every)):
-                for column, value in zip(out, (b, a, asked, side)):
-                    column.append(np.full(len(own), value))
-                out[4].append(own)
-        yield [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-
-    long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, "anchor bigint, set bigint, asked bigint, side boolean, item bigint")
-    found = long.where("side").select("anchor", "item", "set", "asked")
-    probes = long.where("not side").select("anchor", "item", F.col("set").alias("other"))
+            for column, value in zip(out, (b, a, least, not similar)):
+                column.append(np.full(len(every), value))
+            out[4].append(every)
+        yield [np.concatenate(c) if c else np.zeros(0, bool if k == 3 else np.int64) for k, c in enumerate(out)]
+
+    schema = "anchor bigint, set bigint, least bigint, apart boolean, item bigint"
+    long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, schema)
+    often = long.groupBy("anchor", "item").agg(F.count("*").alias("often"))
+    own = Window.partitionBy("set")  # no more rows than the set's differences
+    asked = F.greatest(F.lit(1), F.floor(F.col("least") / 3))
+    found = (
+        long.join(often.where("often > 1"), ["anchor", "item"], "left").withColumns(
+            {"rank": F.row_number().over(own.orderBy(F.coalesce("often", F.lit(1)), "item")), "size": F.count("*").over(own), "asked": asked}
+        ).where((F.col("rank") <= F.col("size") - F.col("least") + F.col("asked")) & (F.col("often") > 1)).select("anchor", "item", "set", "asked")
+    )
+    probes = long.where("apart").select("anchor", "item", F.col("set").alias("other"))
     met = found.join(probes, ["anchor", "item"]).where("set <> other").groupBy("set", "other", "asked").agg(F.count("*").alias("c"))
     return met.where("c >= asked").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
 
@@ -346,18 +367,19 @@ def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent:
     first; only the entries of the blocks that remain are looked at. Pairs of blocks that begin
     with the same sets go to the same task, where equal pairs are added up before the shuffle.
     """
-    named = classes.join(anchors, "node", "full")
-    known = index.where("more").join(named, index["set"] == named["node"], "left").select(
-        "token", "set", "n", "pos", "block", "pivot", F.coalesce("root", "set").alias("cls"), F.coalesce("anchor", "set").alias("anchor")
+    listed = index.groupBy("set").agg(F.count("*").alias("listed")).withColumnRenamed("set", "node")
+    named = listed.join(classes, "node", "left").join(anchors, "node", "left")
+    known = index.where("more").join(named, index["set"] == named["node"]).select(
+        "listed", "token", "set", "n", "pos", "block", "pivot", F.coalesce("root", "set").alias("cls"), F.coalesce("anchor", "set").alias("anchor")
     )
     blocks = known.groupBy("token", "block").agg(
-        *[f(x).alias(f"{g}_{x}") for x in ("n", "pos", "cls", "anchor") for f, g in ((F.min, "lo"), (F.max, "hi"))],
+        *[f(x).alias(f"{g}_{x}") for x in ("n", "pos", "cls", "anchor", "listed") for f, g in ((F.min, "lo"), (F.max, "hi"))],
         F.min("set").alias("least"),
-        F.collect_list(F.struct("set", "n", "pos", "cls", "pivot", "anchor")).alias("sets"),  # at most BLOCK
+        F.collect_list(F.struct("set", "n", "pos", "cls", "pivot", "anchor", "listed")).alias("sets"),  # at most BLOCK
     )
     mixed = blocks.groupBy("token").agg(F.min("lo_cls").alias("x"), F.max("hi_cls").alias("y")).where("x <> y").select("token")
     blocks = blocks.join(mixed, "token", "left_semi")
-    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "lo_anchor", "hi_anchor", "least", "sets")
+    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "lo_anchor", "hi_anchor", "hi_listed", "least", "sets")
     other = blocks.select("token", *[F.col(x).alias(f"{x}_2") for x in names])
 
     def one(x: str) -> Column:
@@ -389,6 +411,9 @@ def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent:
                 n, m, i, j = x[1][:, None], y[1][None, :], x[2][:, None], y[2][None, :]
                 ok &= (100 + percent) * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= percent * (n + m)
                 ok &= (100 * n >= percent * m) & (100 * m >= percent * n)
+                # A prefix shingle that is in no list is shared with nobody.
+                behind = np.maximum(-(-percent * n // 100), -(-percent * m // 100)) - 1
+                ok &= np.minimum(x[6][:, None], y[6][None, :]) >= -(-percent * (n + m) // (100 + percent)) - behind
                 a, b = np.nonzero(ok)
                 if len(a):
                     found.append((x[0][a], y[0][b], x[1][a], y[1][b]))
@@ -462,9 +487,11 @@ def link_similar(
         .agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("c"))
     )
     # One pivot per set joins its class and is its anchor: the one with most in common.
-    stars = checkpointed(pivots.where(F.col("c") * 2 >= _shared_prefix(percent)).groupBy("a").agg(F.max_by("b", "c").alias("b")))
+    stars = checkpointed(pivots.where(F.col("c") * 3 >= _shared_prefix(percent)).groupBy("a").agg(F.max_by("b", "c").alias("b")))
     anchored = _anchored(stars, nodes, rows, words, percent, f"{place}/stars")
-    links = anchored.where("similar").select("a", "b")
+    again = _anchored(_higher(anchored), nodes, rows, words, percent, f"{place}/higher")
+    links = anchored.unionAll(again).where("similar").select("a", "b")
+    anchored = anchored.join(again.select("a"), "a", "left_anti").unionAll(again)
     classes = components(links)
     # Then one pair, the one with most in common, of every two classes that a pivot may join.
     tried = _apart(pivots.where(enough), classes)
