@@ -41,7 +41,9 @@ def screen_limits(
     tall = summary.select(*by, "total_count", "quality_level", F.explode(F.array(*entries)).alias("p")).select(
         *by, "total_count", "quality_level", "p.*"
     )
-    rules = limits.where((F.col("grade") == grade) & F.col("sub_parameter").isNull()).select(
+    known = limits.agg(F.coalesce(F.max(F.col("grade") == grade), F.lit(False)).alias("_known"))
+    asked = F.when(F.col("_known"), grade).otherwise("grade_a")  # an unknown grade is screened as the first one
+    rules = limits.join(F.broadcast(known)).where((F.col("grade") == asked) & F.col("sub_parameter").isNull()).select(
         "parameter", "max_percent", "basis", "image_assessable", "image_basis", "limitation"
     )
     rows = tall.join(rules, "parameter", "left")

@@ -208,21 +208,8 @@ def texture_features(pixels: DataFrame, by: Sequence[str] = INSTANCE) -> DataFra
     )
 
 
-def _with_bulk(scored: DataFrame, by: Sequence[str], sample: Sequence[str], bulk_n: int, label: str, score: str) -> DataFrame:
-    """Samples with many instances get the constant "normal" answer of the fast path."""
-    sizes = scored.groupBy(*sample).agg(F.count("*").alias("_n"))
-    rows = scored.join(sizes, list(sample)).withColumn("_bulk", F.col("_n") >= bulk_n)
-    return rows.withColumns(
-        {
-            label: F.when(F.col("_bulk"), "normal").otherwise(F.col(label)),
-            score: F.when(F.col("_bulk"), 0.0).otherwise(F.col(score)),
-        }
-    ).drop("_n", "_bulk")
-
-
-def damaged_score(
-    pixels: DataFrame, by: Sequence[str] = INSTANCE, sample: Sequence[str] = ("sample_id",), bulk_n: int = 30
-) -> DataFrame:
+def damaged_score(pixels: DataFrame, by: Sequence[str] = INSTANCE) -> DataFrame:
+    """Colour spread and dark share of every instance, in samples of any size."""
     rows = C.with_lab8(pixels.where("mask"))
     stats = rows.groupBy(*by).agg(
         F.avg("lab_l").alias("m"), F.stddev_pop("lab_l").alias("s"),
@@ -237,15 +224,13 @@ def damaged_score(
         + F.col("dark") * 0.4
         + F.least(F.lit(1.0), F.col("ab") / 20.0) * 0.3
     )
-    out = stats.join(dark, list(by)).select(
+    return stats.join(dark, list(by)).select(
         *by, F.when(score > 0.5, "damaged").otherwise("normal").alias("damaged_label"), rnd(score, 4).alias("damaged_score")
     )
-    return _with_bulk(out, by, sample, bulk_n, "damaged_label", "damaged_score")
 
 
-def hole_score(
-    pixels: DataFrame, by: Sequence[str] = INSTANCE, sample: Sequence[str] = ("sample_id",), bulk_n: int = 30
-) -> DataFrame:
+def hole_score(pixels: DataFrame, by: Sequence[str] = INSTANCE) -> DataFrame:
+    """Dark share and roughness of every instance, in samples of any size."""
     rough = laplacian_variance(pixels, by, fill=128)
     rows = with_gray(pixels.where("mask")).select(*by, "gray")
     means = rows.groupBy(*by).agg(F.avg("gray").alias("m"))
@@ -255,12 +240,11 @@ def hole_score(
     score = (
         F.least(F.lit(1.0), F.col("dark") * 5) * 0.5 + F.least(F.lit(1.0), F.col("lap_var") / 5000) * 0.5
     )
-    out = dark.join(rough, list(by)).select(
+    return dark.join(rough, list(by)).select(
         *by,
         F.when(score > 0.5, "sprouted_weevilled").otherwise("normal").alias("sprouted_label"),
         rnd(score, 4).alias("sprouted_score"),
     )
-    return _with_bulk(out, by, sample, bulk_n, "sprouted_label", "sprouted_score")
 
 
 def instance_colour_features(pixels: DataFrame, background: DataFrame | None = None, by: Sequence[str] = INSTANCE, sample: Sequence[str] = ("sample_id",)) -> DataFrame:

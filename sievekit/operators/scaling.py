@@ -49,8 +49,12 @@ def log_bucket(value: Col, per_octave: int = 4096) -> Column:
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on non-null keys; without keys the right side is one row (a global aggregate)."""
-    return left.join(right, list(keys), how) if keys else left.join(F.broadcast(right))
+    """Join on equal keys, null being a key like any other; without keys the right side is one row."""
+    if not keys:
+        return left.join(F.broadcast(right))
+    other = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 # --- numbering --------------------------------------------------------------
@@ -186,9 +190,11 @@ def exact_percentiles(
         tagged = {f"p{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
         tag_of = {p: tag for tag, p in tagged.items()}
         found = percentiles_of_counts(counts, [*by, "metric"], tagged)
-        return found.groupBy(*by).agg(
+        out = found.groupBy(*by).agg(
             *[F.max(F.when(F.col("metric") == name, F.col(tag_of[p]))).alias(name) for name, (_, p) in wanted.items()]
         )
+        # A key whose values are all null has a row, too.
+        return keyed_join(rows.select(*by).distinct(), out, by, "left") if by else out
 
     return by_group_size(df, by, direct, selected, limit)
 

@@ -171,33 +171,30 @@ def texture_features(spark, sf_dir):
     return PX.texture_features(T.pixels(spark, sf_dir))
 
 
-_BULK = "bulk AS (SELECT sample_id, count(DISTINCT instance_id) >= 50 AS is_bulk FROM pixels WHERE mask GROUP BY sample_id)"
-
-
 @query(
     "damaged_score",
-    f"""{COL}, {_BULK}, s AS (SELECT sample_id, instance_id, avg(lab_l) AS m, stddev_pop(lab_l) AS s, stddev_pop(lab_a) + stddev_pop(lab_b) AS ab FROM colours WHERE mask GROUP BY ALL),
+    f"""{COL}, s AS (SELECT sample_id, instance_id, avg(lab_l) AS m, stddev_pop(lab_l) AS s, stddev_pop(lab_a) + stddev_pop(lab_b) AS ab FROM colours WHERE mask GROUP BY ALL),
 d AS (SELECT c.sample_id, c.instance_id, any_value(s.s) AS s, any_value(s.ab) AS ab, avg(CASE WHEN lab_l < greatest(50.0, m - s.s * 2) THEN 1.0 ELSE 0.0 END) AS dark
   FROM colours c JOIN s ON c.sample_id = s.sample_id AND c.instance_id = s.instance_id WHERE mask GROUP BY ALL),
-t AS (SELECT d.*, is_bulk, least(1.0, s / 30) * 0.3::DOUBLE + dark * 0.4::DOUBLE + least(1.0, ab / 20) * 0.3::DOUBLE AS score FROM d JOIN bulk USING (sample_id))
-SELECT sample_id, instance_id, CASE WHEN NOT is_bulk AND score > 0.5 THEN 'damaged' ELSE 'normal' END AS damaged_label,
-  CASE WHEN is_bulk THEN 0.0 ELSE {r('score')} END AS damaged_score FROM t""",
+t AS (SELECT d.*, least(1.0, s / 30) * 0.3::DOUBLE + dark * 0.4::DOUBLE + least(1.0, ab / 20) * 0.3::DOUBLE AS score FROM d)
+SELECT sample_id, instance_id, CASE WHEN score > 0.5 THEN 'damaged' ELSE 'normal' END AS damaged_label,
+  {r('score')} AS damaged_score FROM t""",
 )
 def damaged_score(spark, sf_dir):
-    return PX.damaged_score(T.pixels(spark, sf_dir), bulk_n=50)
+    return PX.damaged_score(T.pixels(spark, sf_dir))
 
 
 @query(
     "hole_score",
-    f"""{PIX}, {_BULK}, {_lap_sql('CASE WHEN mask THEN gray ELSE 128 END')},
+    f"""{PIX}, {_lap_sql('CASE WHEN mask THEN gray ELSE 128 END')},
 v AS (SELECT sample_id, instance_id, var_pop(lap) AS lv, avg(gray) AS m FROM lapped WHERE mask GROUP BY ALL),
 d AS (SELECT p.sample_id, p.instance_id, any_value(lv) AS lv, avg(CASE WHEN gray < m * 0.5 THEN 1.0 ELSE 0.0 END) AS dark FROM pixels p JOIN v USING (sample_id, instance_id) WHERE mask GROUP BY ALL),
-t AS (SELECT d.*, is_bulk, least(1.0, dark * 5) * 0.5 + least(1.0, lv / 5000) * 0.5 AS score FROM d JOIN bulk USING (sample_id))
-SELECT sample_id, instance_id, CASE WHEN NOT is_bulk AND score > 0.5 THEN 'sprouted_weevilled' ELSE 'normal' END AS sprouted_label,
-  CASE WHEN is_bulk THEN 0.0 ELSE {r('score')} END AS sprouted_score FROM t""",
+t AS (SELECT d.*, least(1.0, dark * 5) * 0.5 + least(1.0, lv / 5000) * 0.5 AS score FROM d)
+SELECT sample_id, instance_id, CASE WHEN score > 0.5 THEN 'sprouted_weevilled' ELSE 'normal' END AS sprouted_label,
+  {r('score')} AS sprouted_score FROM t""",
 )
 def hole_score(spark, sf_dir):
-    return PX.hole_score(T.pixels(spark, sf_dir), bulk_n=50)
+    return PX.hole_score(T.pixels(spark, sf_dir))
 
 
 def _corner(dx: int, dy: int) -> str:

@@ -43,10 +43,12 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only when the session names none."""
+    """The cluster's shared folder; a private one only in local mode, when the session names none."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sievekit-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)

@@ -78,8 +78,13 @@ def parse_events(lines: DataFrame, value: Col = "value", keep: Sequence[str] = (
 
 
 def scan_logs(spark: SparkSession, directory: str, max_records: int | None = None) -> DataFrame:
-    """Good records of a rotated log, optionally the first ``max_records`` in file order."""
+    """Good records of a rotated log, optionally the first ``max_records`` in file order.
+
+    ``seq`` orders the records as they were read: file number, file, block and line. It is what
+    the log operators take.
+    """
     events = parse_events(read_lines(spark, directory), keep=("file", "file_seq", "place")).where("well_formed")
+    events = events.withColumn("seq", F.col("place"))
     if max_records is None:
         return events
     place = [F.col("place.file_seq"), F.col("place.file"), F.col("place.block")]

@@ -79,3 +79,15 @@ def test_result_does_not_depend_on_partitions(spark):
         df = spark.createDataFrame(rows, "k string, v double, i long").repartition(n)
         outs.append(sorted(map(tuple, S.exact_medians(df, ["k"], {"m": "v"}, limit=50).collect())))
     assert outs[0] == outs[1]
+
+
+def test_both_forms_keep_null_keys_and_all_null_groups(spark):
+    rows = [("a", 1.0, 1), ("a", None, 2), (None, 3.0, 3), (None, None, 4), ("empty", None, 5), ("empty", None, 6)]
+    df = spark.createDataFrame(rows, "k string, v double, i long")
+    order, bucket = [F.col("v").desc(), F.col("i")], [F.floor(-F.col("v"))]
+    medians, numbers = [], []
+    for limit in (0, 100):
+        medians.append({tuple(r) for r in S.exact_medians(df, ["k"], {"m": "v"}, limit=limit).collect()})
+        numbers.append(S.row_numbers(df, ["k"], order, bucket, "n", limit=limit).count())
+    assert medians[0] == medians[1] == {("a", 1.0), (None, 3.0), ("empty", None)}
+    assert numbers == [len(rows)] * 2
