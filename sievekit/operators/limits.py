@@ -107,11 +107,12 @@ def screening_verdict(
         F.max("total_count").alias("total_count"),
         F.max("quality_level").alias("quality_level"),
         F.max("_mode").alias("_mode"),
-        F.array_sort(F.collect_list(F.when(F.col("status") == "EXCEEDS REFERENCE LIMIT", F.col("parameter")))).alias(
-            "exceeding_parameters"
-        ),
+        F.collect_set(F.when(F.col("status") == "EXCEEDS REFERENCE LIMIT", F.col("parameter"))).alias("_over"),
         F.count_if(F.col("status").isin("WITHIN REFERENCE LIMIT", "EXCEEDS REFERENCE LIMIT")).alias("_judged"),
     )
+    # In the order of screening.
+    screened = F.array(*[F.lit(parameter) for parameter, _ in SCREENED])
+    out = out.withColumn("exceeding_parameters", F.filter(screened, lambda p: F.array_contains("_over", p))).drop("_over")
     small = F.col("total_count") < minimum
     bad_image = F.coalesce(F.col("quality_level").isin("POOR", "UNRELIABLE"), F.lit(False))
     many = F.size("exceeding_parameters") > 0

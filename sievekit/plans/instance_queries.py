@@ -509,7 +509,7 @@ def screen_limits(spark, sf_dir):
     "screening_verdict",
     f"""{INST}, {SCREEN_CTE},
 v AS (SELECT sample_id, max(total_count) AS n, max(quality_level) AS q,
-  coalesce(string_agg(parameter, ',' ORDER BY parameter) FILTER (WHERE status = 'EXCEEDS REFERENCE LIMIT'), '') AS exceeding,
+  coalesce(string_agg(parameter, ',' ORDER BY list_position({[p for p, _ in LM.SCREENED]!r}, parameter)) FILTER (WHERE status = 'EXCEEDS REFERENCE LIMIT'), '') AS exceeding,
   count(*) FILTER (WHERE status LIKE '%REFERENCE LIMIT') AS judged FROM screen GROUP BY sample_id)
 SELECT sample_id, exceeding, CASE WHEN n < 30 OR q IN ('POOR', 'UNRELIABLE') THEN 'Not determinable from this sample'
     WHEN exceeding <> '' THEN 'Exceeds one or more image-assessable reference limits'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,16 @@ from sievekit.schemas import LOG_FIELDS
 
 
 def read_lines(spark: SparkSession, directory: str) -> DataFrame:
-    """Lines of ``app.log*`` with their place: rotation number, file, block and line."""
-    lines = spark.read.text(f"{directory}/app.log*")
+    """Lines of ``app.log*`` with their place: rotation number, file, block and line.
+
+    A folder without such files gives no lines.
+    """
+    try:
+        lines = spark.read.text(f"{directory}/app.log*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.read.text(directory, pathGlobFilter="app.log*")
     path = F.col("_metadata.file_path")
     name = F.regexp_extract(path, r"/(app\.log[^/]*)(?:/[^/]*)?$", 1)
     suffix = F.regexp_extract(name, r"\.(\d+)$", 1)

@@ -82,7 +82,9 @@ def instances_json(
     part = F.floor((F.col("grain_id") - 1) / part_size).cast("int").alias("part")
     grains = instances.groupBy(*by, part).agg(F.array_sort(F.collect_list(F.struct(*_limited()))).alias("grains"))
     heads = ("total_rice_grains", "measurement_unit", "calibration_mode")
-    rows = grains.join(summary.select(*by, *heads), by)
+    rows = summary.select(*by, *heads).join(grains, by, "left").withColumns(
+        {"part": F.coalesce("part", F.lit(0)), "grains": F.coalesce("grains", F.array())}
+    )
     return rows.select(*by, "part", F.to_json(F.struct(*heads, "grains")).alias("value"))
 
 

@@ -36,7 +36,7 @@ def write_logs(folder):
 
 def events_of(spark, folder):
     parsed = S.scan_logs(spark, str(folder))
-    return parsed.withColumn("seq", F.col("place.line"))
+    return parsed.withColumn("seq", F.col("place"))
 
 
 def test_scan_and_audit(spark, tmp_path):
@@ -133,3 +133,16 @@ def test_stream_late_rows_and_open_starts(spark, tmp_path):
     ends = stream().where("event = 'request_finished'")
     pairs = {r["request_id"]: r["end_event"] for r in ST.run_available(ST.stream_pairing(starts, ends), "pairs").collect()}
     assert pairs["a"] == "request_finished" and pairs.get("b", "absent") is None
+
+
+def test_files_feed_the_log_operators(spark, tmp_path):
+    from sievekit.operators.logs import endpoint_stats, reconstruct_requests
+    from sievekit.sources.logs import scan_logs
+
+    assert scan_logs(spark, str(tmp_path)).count() == 0
+    start = '{"timestamp": "2026-01-01T00:00:00Z", "event": "request_started", "request_id": "r", "route": "/a"}'
+    end = '{"timestamp": "2026-01-01T00:00:00Z", "event": "request_finished", "request_id": "r", "route": "/a", "ok": true, "status_code": 200, "duration_ms": 12}'
+    (tmp_path / "app.log.1").write_text(start + "\n")
+    (tmp_path / "app.log").write_text(end + "\nno json here\n")
+    stats = endpoint_stats(reconstruct_requests(scan_logs(spark, str(tmp_path)))).collect()
+    assert len(stats) == 1 and stats[0]["route"] == "/a"
