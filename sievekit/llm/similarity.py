@@ -27,6 +27,8 @@ FREQUENT = 1 << 21
 RARE = 8
 #: Entries of one index block.
 BLOCK = 32
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 16
 
 
 def shingle_sets(piece: T.Piece, words: int) -> Iterator[np.ndarray]:
@@ -45,6 +47,15 @@ def _signature(shingles: np.ndarray) -> int:
     return int(T.digest(shingles).view(np.int64))
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for every residue of the hashes: is it that of an odd number of shingles?
+
+    The sketches of two sets differ in no more bits than the sets differ in shingles.
+    """
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _prefix(n: int, percent: int) -> int:
     """Any two similar sets share a shingle among so many first ones of each."""
     return n - -(-percent * n // 100) + 1
@@ -88,22 +99,24 @@ def _code(shingles: np.ndarray) -> np.ndarray:
 
 
 def _nodes(rows: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
-    """A row per record: key, n, set signature, and the codes of the shingles first in plain hash order.
+    """A row per record: key, n, set signature, sketch, and the codes of the shingles first in plain hash order.
 
     These are twice as many as a prefix holds, since frequent shingles will leave the prefix
     and others follow.
     """
 
     def work(batch):
-        sizes, sets, codes = [], [], []
+        sizes, sets, sketches, codes = [], [], [], []
         for p in T.pieces(batch.column(1)):
             for s in shingle_sets(p, words):
                 sizes.append(len(s))
                 sets.append(_signature(s))
+                sketches.append(_sketch(s))
                 codes.append(_code(s[: 2 * _prefix(len(s), percent)]))
-        yield batch.column(0), np.array(sizes, np.int64), np.array(sets, np.int64), _ragged(codes, pa.int32())
+        facts = np.array(sizes, np.int64), np.array(sets, np.int64), _ragged(sketches, pa.int64())
+        yield batch.column(0), *facts, _ragged(codes, pa.int32())
 
-    return _map(rows, work, f"key {kind}, n bigint, set bigint, codes array<int>")
+    return _map(rows, work, f"key {kind}, n bigint, set bigint, sketch array<bigint>, codes array<int>")
 
 
 def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -323,8 +336,8 @@ def _higher(anchored: DataFrame) -> DataFrame:
     return anchored.select("a", "b").join(top, "b").where("a <> top").select("a", F.col("top").alias("b"))
 
 
-def _derived(anchored: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among the sets of one anchor p, from what they differ from it in.
+def _derived(anchored: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different classes among the sets of one anchor p, from what they differ from it in.
 
     Let D and A be what x lacks of p and what it has beyond p. Then x and y have |p| - |D| - |D'| +
     s in common, where s counts the differences that they share. If both are similar to p they
@@ -347,16 +360,17 @@ def _derived(anchored: DataFrame, percent: int) -> DataFrame:
 
     schema = "anchor bigint, set bigint, least bigint, apart boolean, item bigint"
     long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, schema)
-    often = long.groupBy("anchor", "item").agg(F.count("*").alias("often"))
+    long = long.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    often = long.groupBy("anchor", "item").agg(F.count("*").alias("often"), (F.min("root") < F.max("root")).alias("mixed"))
     own = Window.partitionBy("set")  # no more rows than the set's differences
     asked = F.greatest(F.lit(1), F.floor(F.col("least") / 3))
     found = (
         long.join(often.where("often > 1"), ["anchor", "item"], "left").withColumns(
             {"rank": F.row_number().over(own.orderBy(F.coalesce("often", F.lit(1)), "item")), "size": F.count("*").over(own), "asked": asked}
-        ).where((F.col("rank") <= F.col("size") - F.col("least") + F.col("asked")) & (F.col("often") > 1)).select("anchor", "item", "set", "asked")
+        ).where((F.col("rank") <= F.col("size") - F.col("least") + F.col("asked")) & F.col("mixed")).select("anchor", "item", "set", "root", "asked")
     )
-    probes = long.where("apart").select("anchor", "item", F.col("set").alias("other"))
-    met = found.join(probes, ["anchor", "item"]).where("set <> other").groupBy("set", "other", "asked").agg(F.count("*").alias("c"))
+    probes = long.where("apart").select("anchor", "item", F.col("set").alias("other"), F.col("root").alias("other_root"))
+    met = found.join(probes, ["anchor", "item"]).where("root <> other_root").groupBy("set", "other", "asked").agg(F.count("*").alias("c"))
     return met.where("c >= asked").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
 
 
@@ -436,6 +450,16 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different classes that may be similar by their sketches."""
+    known = nodes.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = known.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    a, b = (known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]) for x in "ab")
+    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = (F.col("root_a") != F.col("root_b")) & (bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    return pairs.join(a, F.col("a") == F.col("set_a")).join(b, (F.col("b") == F.col("set_b")) & near).select("a", "b")
+
+
 def _added_up(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Equal pairs once, the smaller set first, with their number."""
     u, v, s, t = (np.concatenate(x) for x in zip(*found))
@@ -504,8 +528,8 @@ def link_similar(
     anchors = anchored.select(F.col("a").alias("node"), F.col("b").alias("anchor"))
     raw = _leftover(index, classes, anchors, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
     pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
-    rest = _apart(pairs.select("a", "b").unionAll(_derived(anchored, percent)), classes).select("a", "b")
-    rest = checkpointed(rest.distinct())
+    every = pairs.select("a", "b").unionAll(_derived(anchored, classes, percent))
+    rest = checkpointed(_near(every, nodes, classes, percent).distinct())
     more = _verified(rest, nodes, rows, words, percent, f"{place}/rest")
     classes = components(links.unionAll(more))
 
