@@ -336,14 +336,14 @@ def _higher(anchored: DataFrame) -> DataFrame:
     return anchored.select("a", "b").join(top, "b").where("a <> top").select("a", F.col("top").alias("b"))
 
 
-def _derived(anchored: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _derived(anchored: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different classes among the sets of one anchor p, from what they differ from it in.
 
     Let D and A be what x lacks of p and what it has beyond p. Then x and y have |p| - |D| - |D'| +
     s in common, where s counts the differences that they share. If both are similar to p they
     are of its class; if x is not, y must share more than (100 D' + percent A') / (100 + percent)
     of its own differences with x. So y is looked up by just so many of them, the rarest, that
-    a third of those that it must share are among them.
+    one of those that it must share is among them, and met only by sets whose sketches are near.
     """
 
     def rows(batch):
@@ -359,19 +359,17 @@ def _derived(anchored: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         yield [np.concatenate(c) if c else np.zeros(0, bool if k == 3 else np.int64) for k, c in enumerate(out)]
 
     schema = "anchor bigint, set bigint, least bigint, apart boolean, item bigint"
-    long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, schema)
-    long = long.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, schema).join(known.select("set", "root"), "set")
     often = long.groupBy("anchor", "item").agg(F.count("*").alias("often"), (F.min("root") < F.max("root")).alias("mixed"))
     own = Window.partitionBy("set")  # no more rows than the set's differences
-    asked = F.greatest(F.lit(1), F.floor(F.col("least") / 3))
-    found = (
-        long.join(often.where("often > 1"), ["anchor", "item"], "left").withColumns(
-            {"rank": F.row_number().over(own.orderBy(F.coalesce("often", F.lit(1)), "item")), "size": F.count("*").over(own), "asked": asked}
-        ).where((F.col("rank") <= F.col("size") - F.col("least") + F.col("asked")) & F.col("mixed")).select("anchor", "item", "set", "root", "asked")
-    )
-    probes = long.where("apart").select("anchor", "item", F.col("set").alias("other"), F.col("root").alias("other_root"))
-    met = found.join(probes, ["anchor", "item"]).where("root <> other_root").groupBy("set", "other", "asked").agg(F.count("*").alias("c"))
-    return met.where("c >= asked").select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
+    listed = long.join(often.where("mixed"), ["anchor", "item"], "left").withColumns(
+        {"rank": F.row_number().over(own.orderBy(F.coalesce("often", F.lit(1)), "item")), "size": F.count("*").over(own)}
+    ).where("mixed").select("anchor", "item", "set", "apart", (F.col("rank") <= F.col("size") - F.col("least") + 1).alias("asks"))
+    listed = listed.join(known, "set")
+    found, probes = (listed.where(x).select("anchor", "item", *_sided(listed, y)) for x, y in (("asks", "a"), ("apart", "b")))
+    once = ~F.col("apart_a") | (F.col("set_a") < F.col("set_b"))  # two that ask each other
+    met = found.join(probes, ["anchor", "item"]).where(once & _may_link(percent))
+    return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
 
 def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
@@ -450,14 +448,26 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where("root_a <> root_b")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of different classes that may be similar by their sketches."""
-    known = nodes.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-    known = known.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    a, b = (known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]) for x in "ab")
+def _facts(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(set, n, sketch, root) of every set that is not empty."""
+    sets = nodes.where("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    return sets.join(classes.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+
+
+def _sided(facts: DataFrame, side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in facts.columns if c not in ("anchor", "item", "asks")]
+
+
+def _may_link(percent: int) -> Column:
+    """Two sets are of different classes, and may be similar by their sketches."""
     bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = (F.col("root_a") != F.col("root_b")) & (bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-    return pairs.join(a, F.col("a") == F.col("set_a")).join(b, (F.col("b") == F.col("set_b")) & near).select("a", "b")
+    return (F.col("root_a") != F.col("root_b")) & (bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link."""
+    a, b = (known.select(*_sided(known, x)) for x in "ab")
+    return pairs.join(a, F.col("a") == F.col("set_a")).join(b, (F.col("b") == F.col("set_b")) & _may_link(percent)).select("a", "b")
 
 
 def _added_up(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -528,8 +538,9 @@ def link_similar(
     anchors = anchored.select(F.col("a").alias("node"), F.col("b").alias("anchor"))
     raw = _leftover(index, classes, anchors, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
     pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
-    every = pairs.select("a", "b").unionAll(_derived(anchored, classes, percent))
-    rest = checkpointed(_near(every, nodes, classes, percent).distinct())
+    known = _facts(nodes, classes)
+    near = _near(pairs.select("a", "b"), known, percent).unionAll(_derived(anchored, known, percent))
+    rest = checkpointed(near.distinct())
     more = _verified(rest, nodes, rows, words, percent, f"{place}/rest")
     classes = components(links.unionAll(more))
 
