@@ -347,19 +347,20 @@ def _derived(anchored: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
 
     def rows(batch):
-        out = [[], [], [], [], []]
+        out = [[], [], [], [], [], []]
         for i in range(batch.num_rows):
-            a, b, similar = (batch.column(k)[i].as_py() for k in range(3))
-            more, less = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
+            a, b, similar, root = (batch.column(k)[i].as_py() for k in range(4))
+            more, less = (batch.column(k)[i].values.to_numpy() for k in (4, 5))
             every = np.concatenate([more * 2, less * 2 + 1])  # what is lacking is another thing than what is had
             least = (100 * len(less) + percent * len(more)) // (100 + percent) + 1
-            for column, value in zip(out, (b, a, least, not similar)):
+            for column, value in zip(out, (b, a, root, least, not similar)):
                 column.append(np.full(len(every), value))
-            out[4].append(every)
-        yield [np.concatenate(c) if c else np.zeros(0, bool if k == 3 else np.int64) for k, c in enumerate(out)]
+            out[5].append(every)
+        yield [np.concatenate(c) if c else np.zeros(0, bool if k == 4 else np.int64) for k, c in enumerate(out)]
 
-    schema = "anchor bigint, set bigint, least bigint, apart boolean, item bigint"
-    long = _map(anchored.select("a", "b", "similar", "more", "less"), rows, schema).join(known.select("set", "root"), "set")
+    schema = "anchor bigint, set bigint, root bigint, least bigint, apart boolean, item bigint"
+    rooted = anchored.join(known.select(F.col("set").alias("a"), "root"), "a").select("a", "b", "similar", "root", "more", "less")
+    long = _map(rooted, rows, schema)
     often = long.groupBy("anchor", "item").agg(F.count("*").alias("often"), (F.min("root") < F.max("root")).alias("mixed"))
     own = Window.partitionBy("set")  # no more rows than the set's differences
     listed = long.join(often.where("mixed"), ["anchor", "item"], "left").withColumns(
