@@ -186,3 +186,13 @@ def test_pipeline_stages(spark):
         before = after
     mixed = pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert mixed.count() == before.count() and len(rows) >= before.count() > 0
+
+
+def test_sketches_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for size, changed in ((0, 3), (40, 0), (200, 30), (5000, 900)):
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        y = np.concatenate([x[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)])
+        bits = sum(int(v).bit_count() for v in (similarity._sketch(x) ^ similarity._sketch(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y))
+        assert bits > 0 or not changed
