@@ -387,14 +387,14 @@ def polygon_measures(spark, sf_dir):
 @query(
     "principal_spans",
     f"""WITH {MOMENT_CTE},
-axis AS (SELECT *, cos(0.5 * atan2(2 * mu11, mu20 - mu02)) AS c, sin(0.5 * atan2(2 * mu11, mu20 - mu02)) AS s FROM moments WHERE instance_id % 37 <> 0),
+axis AS (SELECT *, cos(0.5 * atan2(2 * mu11, mu20 - mu02)) AS c, sin(0.5 * atan2(2 * mu11, mu20 - mu02)) AS s FROM moments),
 proj AS (SELECT p.sample_id, p.instance_id, (x - cx) * c + (y - cy) * s AS u, (y - cy) * c - (x - cx) * s AS v FROM points p JOIN axis a ON p.instance_id = a.instance_id)
 SELECT sample_id, instance_id, {r('max(u) - min(u)')} AS principal_span, {r('max(v) - min(v)')} AS transverse_span,
   {r('greatest(max(u) - min(u), max(v) - min(v))')} AS caliper_length FROM proj GROUP BY ALL""",
 )
 def principal_spans(spark, sf_dir):
     """Symmetric outlines (every 37th) have no principal axis and are left out."""
-    pts = T.points(spark, sf_dir).where("instance_id % 37 <> 0")
+    pts = T.points(spark, sf_dir)
     return CT.principal_spans(pts, CT.polygon_moments(pts))
 
 
