@@ -293,12 +293,12 @@ _CANVAS = "x + 7 * CAST(instance_id % 10 AS INT) AS gx, y + 7 * CAST(floor(insta
 
 @query(
     "flag_touching",
-    f"""{PIX}, c AS (SELECT instance_id % 97 AS canvas, instance_id, {_CANVAS} FROM pixels WHERE mask AND x > 0),
+    f"""{PIX}, c AS (SELECT instance_id % 97 AS canvas, instance_id, {_CANVAS} FROM pixels WHERE mask),
 t AS (SELECT DISTINCT a.canvas, a.instance_id FROM c a JOIN c b ON a.canvas = b.canvas AND a.instance_id <> b.instance_id AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1)
 SELECT DISTINCT c.canvas, c.instance_id, t.instance_id IS NOT NULL AS is_touching FROM c LEFT JOIN t ON c.canvas = t.canvas AND c.instance_id = t.instance_id""",
 )
 def flag_touching(spark, sf_dir):
-    rows = T.pixels(spark, sf_dir).where("x > 0").selectExpr(
+    rows = T.pixels(spark, sf_dir).selectExpr(
         "instance_id % 97 AS canvas", "instance_id", "mask", *_CANVAS.split(", ")
     )
     rows = rows.withColumnsRenamed({"gx": "x", "gy": "y"})
