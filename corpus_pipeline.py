@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; what is left without a word goes."""
     tune(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = lines.drop_repeated_lines(docs, key="doc_id", text="text", also=rest)
+    found = lines.drop_repeated_lines(docs, key="doc_id", text="text", also=rest, exact_words=1)
     left = found.where((F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

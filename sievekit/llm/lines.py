@@ -47,11 +47,12 @@ def _anchor(n: np.ndarray) -> np.ndarray:
     return np.maximum(n // 2 // 3 * 3, 1)
 
 
-def _scan(rows: DataFrame, least: int) -> DataFrame:
-    """(key, seen, no, line, ends): each line of at least ``least`` words.
+def _scan(rows: DataFrame, exact: int, least: int) -> DataFrame:
+    """(key, seen, no, line, ends): each line of at least ``exact`` words.
 
     ``line`` names its words; ``ends`` its first and last words, as long as half of the line or
-    a little less. Two lines within one edit share one of them.
+    a little less. Two lines within one edit, the longer of at least ``least`` words, share one
+    of them; a line that is too short for any such pair has none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def _scan(rows: DataFrame, least: int) -> DataFrame:
                 s = _Sums(p)
                 a, b = s.first, s.last
                 n = b - a
-                keep = np.flatnonzero(n >= least)
+                keep = np.flatnonzero(n >= exact)
                 row = np.repeat(np.arange(len(p)), np.diff(s.lines))[keep]
                 no = keep - s.lines[row]
                 a, b, n = a[keep], b[keep], n[keep]
@@ -69,7 +70,7 @@ def _scan(rows: DataFrame, least: int) -> DataFrame:
                     k = _anchor(size)
                     ends += [_named(s.run(a, a + k), k, 1), _named(s.run(b - k, b), k, 2)]
                 same = _anchor(n) == _anchor(n - 1)
-                count = np.where(same, 2, 4)
+                count = np.where(same | (n < least), 2, 4) * (n >= least - 1)
                 flat = np.stack(ends, axis=1)
                 mask = np.arange(4)[None, :] < count[:, None]
                 offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
@@ -85,10 +86,11 @@ def _scan(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(work, "key bigint, seen bigint, no int, line bigint, ends array<bigint>")
 
 
-def _variants(rows: DataFrame) -> DataFrame:
+def _variants(rows: DataFrame, least: int) -> DataFrame:
     """(variant, at, line, key, no): the deletion neighbourhood of the lines ``asked`` (no, line).
 
-    ``at`` is the word that is left out; -1 stands for the whole line. A record that shares the
+    ``at`` is the word that is left out, of lines of at least ``least`` words; -1 stands for the
+    whole line. A record that shares the
     key of the one that was asked, but not the line, gives nothing.
     """
 
@@ -104,15 +106,16 @@ def _variants(rows: DataFrame) -> DataFrame:
                             continue
                         a, b = int(s.first[s.lines[r] + no]), int(s.last[s.lines[r] + no])
                         n = b - a
-                        at = np.arange(a, b)
+                        at = np.arange(a, b if n >= least else a)
                         whole = s.run(np.array([a]), np.array([b]))
                         if _named(whole, n)[0] != asked["line"]:
                             continue
                         # words before the gap, and those behind it moved up by one
-                        less = s.run(np.full(n, a), at) + (s.sums[b] - s.sums[at + 1]) * s.back[a] * _STEP
+                        less = s.run(np.full(len(at), a), at) + (s.sums[b] - s.sums[at + 1]) * s.back[a] * _STEP
                         name = np.concatenate([_named(less, n - 1), _named(whole, n)])
-                        line = np.full(n + 1, _named(whole, n)[0])
-                        out.append((name, np.append(at - a, -1), line, np.full(n + 1, p.first + r), np.full(n + 1, no)))
+                        size = len(name)
+                        line = np.full(size, _named(whole, n)[0])
+                        out.append((name, np.append(at - a, -1), line, np.full(size, p.first + r), np.full(size, no)))
                 if out:
                     name, at, line, row, no = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays(
@@ -132,15 +135,19 @@ def _place(key: str, no: str) -> Column:
 
 
 def drop_repeated_lines(
-    records: DataFrame, key: str = "request_id", text: str = "error_message", min_words: int = 8, also: Sequence[str] = ()
+    records: DataFrame, key: str = "request_id", text: str = "error_message", min_words: int = 8, also: Sequence[str] = (),
+    exact_words: int | None = None,
 ) -> DataFrame:
     """The messages of log records without lines that an earlier record, or the record itself, already has.
 
     ``records`` has ``key``, a whole number that orders the records (a ``request_id`` or a
     sequence number), and ``text`` (a free text such as ``error_message``). A line is cut at
     \\n; its words are what blanks part, A-Z lower-cased. A line is dropped if any earlier line
-    has the same words but for at most one that is changed, added or left out. Lines of fewer
-    than ``min_words`` words always stay, and do not count as earlier ones. Returns ``key,
+    has the same words but for at most one that is changed, added or left out. The one word is
+    forgiven where the longer line has at least ``min_words`` words (both, if it is changed);
+    lines of at least ``exact_words`` words (``min_words`` if not given; 1 takes every line with
+    a word) go if an earlier one is equal. Shorter lines always stay, and do not count as
+    earlier ones. Returns ``key,
     n_lines, n_dropped, text``: the kept lines in their order, and behind them the columns
     named in ``also``, as they are.
 
@@ -162,7 +169,7 @@ def drop_repeated_lines(
         F.struct(F.lit(0), *also).alias("also"),
     ).select("key", F.xxhash64("text").alias("seen"), "text", "also")
     spark, place = records.sparkSession, scratch_path(records.sparkSession, "lines")
-    _scan(rows.drop("also"), min_words).write.parquet(place)
+    _scan(rows.drop("also"), max(1, min_words if exact_words is None else exact_words), min_words).write.parquet(place)
     lines = spark.read.parquet(place)
 
     places = lines.select("line", "ends", _place("key", "no").alias("place"))
@@ -176,7 +183,7 @@ def drop_repeated_lines(
     no = F.pmod("place", F.lit(_LINES).cast("decimal(11,0)"))
     firsts = firsts.select("line", no.cast("int").alias("no"), ((F.col("place") - no) / _LINES).cast("bigint").alias("key"))
     asked = firsts.groupBy("key").agg(F.collect_list(F.struct("no", "line")).alias("asked"))
-    _variants(rows.join(asked, "key").select("key", "text", "asked")).write.parquet(f"{place}-variants")
+    _variants(rows.join(asked, "key").select("key", "text", "asked"), min_words).write.parquet(f"{place}-variants")
     variants = spark.read.parquet(f"{place}-variants").select("variant", "at", "line", _place("key", "no").alias("place"))
 
     gaps = variants.groupBy("variant", "at").agg(F.min("place").alias("m"), F.max("place").alias("final"))

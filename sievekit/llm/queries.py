@@ -180,7 +180,7 @@ FROM k GROUP BY doc_id, n_lines
 
 @query("op6_line_dedup", _LINES_SQL)
 def line_dedup(spark, sf_dir):
-    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents"), key="doc_id", text="text", exact_words=1)
 
 
 @query("op7_personal_data")

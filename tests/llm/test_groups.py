@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievekit.llm import lines, links, mixture, similarity
+from sievekit.llm import lines, links, mixture, queries, similarity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOC = [f"w{i}" for i in range(300)]
@@ -120,6 +120,42 @@ def test_drop_repeated_lines(spark):
     assert lines.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def brute_all_lines(rows, least=8):
+    """Every line with a word: equal to an earlier one, or within one word of it if the longer has ``least``, both for a change."""
+    places = defaultdict(list)
+    for key, text in rows:
+        for no, line in enumerate((text or "").split("\n")):
+            if words := tuple(WORD.findall(fold(line))):
+                places[words].append((-(1 << 63) if key is None else key, no))
+    first = {w: min(p) for w, p in places.items()}
+    limit = {w: min(first[x] for x in first if x == w or (max(len(w), len(x)) >= least and near(list(w), list(x)))) for w in first}
+    out = []
+    for key, text in rows:
+        every = (text or "").split("\n")
+        places_of = [(tuple(WORD.findall(fold(line))), (-(1 << 63) if key is None else key, no)) for no, line in enumerate(every)]
+        kept = [line for line, (words, place) in zip(every, places_of) if not words or place <= limit[words]]
+        out.append((key, len(every), len(every) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def test_drop_repeated_lines_of_any_length(spark):
+    rng = random.Random(19)
+    pool = [t for n, size, edits in ((20, 12, 1), (12, 8, 1), (12, 7, 1), (12, 6, 1), (10, 3, 1)) for t in family(rng, n, size, edits)]
+    pool += ["Released under the MIT license.", "released under  the MIT License.", "x", "X", "", " \t", "a a a a a a a", "a a a a a a a a"] * 2
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 6)))) for i in range(90)] + [(None, "x\nx"), (3, "x"), (-5, "b"), (7, None)]
+    df = spark.createDataFrame(rows, "request_id long, error_message string").repartition(4)
+    got = sorted(map(tuple, lines.drop_repeated_lines(df, exact_words=1).collect()), key=repr)
+    assert got == brute_all_lines(rows)
+
+
+def test_query_drops_repeated_short_lines(spark, tmp_path):
+    share = "Share this page"
+    rows = [(1, f"{share}\none"), (2, f"two\n{share}"), (3, f"a b c d e f g\n{share}"), (4, "a b c d e f g h")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in queries.line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: f"{share}\none", 2: "two", 3: "a b c d e f g", 4: ""}
+
+
 def test_targets_stop_at_twice_the_size():
     sizes = [("a", 1000), ("b", 10), ("c", 500), (None, 0)]
     got = mixture.targets(sizes, (5, 2, 1), 1.5, 2.0)
