@@ -95,3 +95,14 @@ def test_host_repetition_goes_from_unmarked_pages(spark):
     assert {k: v for k, v in got.items() if k is not None and k < 6} == {i: f"unique words of page {i} {'x' * i}".strip() for i in range(6)}
     assert got[10] == notice and got[11] == notice and got[None] == "a b"
     assert pages.extract_main_text(df).count() == len(rows) and pages.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_repetition_goes_across_block_ends(spark):
+    menu = "".join(f"<li>{w}</li>" for w in ("Home", "About us", "Our work", "News", "Contact", "Help"))
+    share = "<p>Share this</p><p>Mail it</p><p>Print</p><p>(c) 2024 Some Company</p>"
+    rows = [(i, f"http://h/{i}", f"<ul>{menu}</ul><p>story {i} tells {'a' * i} thing</p><div>{share}</div>") for i in range(3)]
+    rows += [(9, "http://other/", f"<ul>{menu}</ul><p>alone</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.extract_main_text(df).collect()}
+    assert {i: got[i] for i in range(3)} == {i: " ".join(f"story {i} tells {'a' * i} thing".split()) for i in range(3)}
+    assert got[9] == "Home\nAbout us\nOur work\nNews\nContact\nHelp\nalone"
