@@ -106,3 +106,11 @@ def test_repetition_goes_across_block_ends(spark):
     got = {r["page_id"]: r["text"] for r in pages.extract_main_text(df).collect()}
     assert {i: got[i] for i in range(3)} == {i: " ".join(f"story {i} tells {'a' * i} thing".split()) for i in range(3)}
     assert got[9] == "Home\nAbout us\nOur work\nNews\nContact\nHelp\nalone"
+
+
+def test_repetition_counts_alike_on_large_hosts(spark):
+    notice = "a notice of one section that stands on few of the pages"
+    rows = [(i, f"http://h/{i}", (f"<p>{notice}</p>" if i < 3 else "") + f"<p>{' '.join(f'w{i}x{j}' for j in range(9))}</p>") for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.extract_main_text(df).collect()}
+    assert got == {i: " ".join(f"w{i}x{j}" for j in range(9)) for i in range(90)}
