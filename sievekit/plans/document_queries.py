@@ -187,12 +187,20 @@ def dedupe_messages(spark, sf_dir):
 # --- streams ----------------------------------------------------------------
 
 
+def _stamped(rows):
+    rows = rows.selectExpr(*T.EVENT_BASE_COLS).selectExpr(*T.EVENT_COLS)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def event_stream(spark, sf_dir):
     """The events table as a stream of files."""
     schema = T.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = rows.selectExpr(*T.EVENT_BASE_COLS).selectExpr(*T.EVENT_COLS)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stamped(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def event_rows(spark, sf_dir):
+    """The rows of ``event_stream`` as a batch."""
+    return _stamped(T.table(spark, sf_dir, "events"))
 
 
 # One batch carries the whole table, so only windows the watermark has passed are closed.
@@ -205,7 +213,9 @@ _CLOSED = "(SELECT max(ts) FROM log_events WHERE event = 'request_started')"
 WHERE event = 'request_started' GROUP BY 1 HAVING max(date_trunc('minute', ts)) + INTERVAL 1 MINUTE <= {_CLOSED} - INTERVAL 2 MINUTE""",
 )
 def stream_rate(spark, sf_dir):
+    """All windows: those the watermark closed, and at the end of the run the open ones."""
     out = ST.run_available(ST.stream_rate(event_stream(spark, sf_dir)), "rate")
+    out = ST.with_open(out, ST.stream_rate(event_rows(spark, sf_dir)), ["minute"])
     return out.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
 
 
@@ -227,13 +237,16 @@ SELECT s.request_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S') AS started_at, strftime
 FROM s JOIN e ON s.request_id = e.request_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 12 HOUR""",
 )
 def stream_pairing(spark, sf_dir):
-    """Matched pairs only; starts still open at the end of the stream are not compared."""
-    rows = event_stream(spark, sf_dir)
-    starts = rows.where(F.col("event") == "request_started")
-    ends = rows.where(F.col("event").isin("request_finished", "request_failed"))
-    out = ST.run_available(ST.stream_pairing(starts, ends, "12 hours", "1 hour"), "pairing")
+    """All starts: those the stream put out, and at the end of the run the open ones."""
+
+    def sides(rows):
+        return rows.where(F.col("event") == "request_started"), rows.where(F.col("event").isin("request_finished", "request_failed"))
+
+    bounds = ("12 hours", "1 hour")
+    out = ST.run_available(ST.stream_pairing(*sides(event_stream(spark, sf_dir)), *bounds), "pairing")
+    whole = ST.stream_pairing(*sides(event_rows(spark, sf_dir)), *bounds)
     stamp = "yyyy-MM-dd HH:mm:ss"
-    return out.where("end_event IS NOT NULL").withColumns(
+    return ST.with_open(out, whole, ["request_id", "started_at"]).withColumns(
         {k: F.date_format(k, stamp) for k in ("started_at", "finished_at")}
     )
 

@@ -70,3 +70,14 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def with_open(out: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a stream has put out, and what its watermark held back when it ended.
+
+    ``whole`` is the batch form over the same rows; of it come the rows whose ``keys`` the
+    stream has not put out.
+    """
+    done = out.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return out.unionByName(whole.join(done, same, "left_anti"))
