@@ -323,8 +323,9 @@ last_t AS (SELECT canvas, kept FROM step QUALIFY row_number() OVER (PARTITION BY
 SELECT canvas, unnest(kept) AS instance_id FROM last_t""",
 )
 def greedy_mask_nms(spark, sf_dir):
-    rows = T.pixels(spark, sf_dir).where("mask AND x > instance_id % 3").selectExpr(
-        "instance_id % 97 AS canvas", "instance_id", "instance_id % 8 AS confidence", "x", "y"
+    """All mask pixels; masks of a canvas are shifted by up to two columns, so that they differ."""
+    rows = T.pixels(spark, sf_dir).where("mask").selectExpr(
+        "instance_id % 97 AS canvas", "instance_id", "instance_id % 8 AS confidence", "x + instance_id % 3 AS x", "y"
     )
     return B.greedy_mask_nms(rows, by=("canvas",))
 
