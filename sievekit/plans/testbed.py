@@ -97,7 +97,9 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(PROFILE_WHERE).selectExpr(*PROFILE_COLS)
+    """A profile of every row; a third of them is of samples (negative ids) that nothing else has."""
+    own = f"CASE WHEN {PROFILE_WHERE} THEN p_partkey ELSE -p_partkey END AS sample_id"
+    return table(spark, sf_dir, "part").selectExpr(own, *PROFILE_COLS[1:])
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
