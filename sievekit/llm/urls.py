@@ -106,7 +106,8 @@ def judge_urls(
     parameter counts, and how often and how often blocked the host's last label is among them.
 
     The trees are fitted on at most ``max_labelled`` labelled rows, those with the smallest
-    hashes of their URL; that bounds the training data, not the judged rows. Where these have
+    hashes of their URL; that bounds the training data, not the judged rows nor the counts of
+    last labels, which are of all labelled rows. Where these have
     only one class, or none, every URL without a rule is allowed and ``score`` is null.
 
     A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged
@@ -115,11 +116,12 @@ def judge_urls(
     empty result.
     """
     known = labelled.select(F.col(url).alias("url"), F.col(blocked).cast("double").alias("label")).dropna()
+    seen = known.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
+    suffixes = lexical_features(known, "url").groupBy("suffix").agg(F.count("*").alias("suffix_n"), F.sum("label").alias("suffix_blocked"))
+    suffixes = checkpointed(suffixes)
     known = checkpointed(known.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled))
     shape = lexical_features(known, "url")
-    seen = known.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
-    suffixes = shape.groupBy("suffix").agg(F.count("*").alias("suffix_n"), F.sum("label").alias("suffix_blocked"))
-    suffixes = F.broadcast(checkpointed(suffixes))  # at most max_labelled rows
+    fitted = known.agg(F.avg("label").alias("rate")).first()
 
     def complete(df: DataFrame) -> DataFrame:
         # Ten rows of the general rate smooth rare suffixes.
@@ -131,7 +133,7 @@ def judge_urls(
     host, path = host_and_path(F.col("url"))
     rows = requests.select(F.col(key).alias("key"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
-    if seen["n"] and 0.0 < seen["rate"] < 1.0:
+    if seen["n"] and 0.0 < fitted["rate"] < 1.0:
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         model = GBTClassifier(
             labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, maxBins=32, seed=7

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,21 @@ def test_host_repetition_goes_from_unmarked_pages(spark):
     assert pages.extract_main_text(df).count() == len(rows) and pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_suffix_counts_are_of_all_labelled_rows(spark, monkeypatch):
+    known = [(f"http://a{i}.{'bad' if i % 2 else 'good'}/", i % 2 == 1) for i in range(60)]
+    df = spark.createDataFrame(known, "path string, failed boolean")
+    seen, make = [], urls.VectorAssembler.transform
+
+    def look(self, rows, *more):
+        seen.append(rows.groupBy("suffix").agg(F.max("suffix_count").alias("c"), F.max("suffix_rate").alias("r")).collect())
+        return make(self, rows, *more)
+
+    monkeypatch.setattr(urls.VectorAssembler, "transform", look)
+    urls.judge_urls(df.withColumn("request_id", F.lit(1)), df, max_labelled=20)
+    got = {r["suffix"]: (round(np.expm1(r["c"])), round(r["r"], 6)) for r in seen[0]}
+    assert got == {"bad": (30, round(35 / 40, 6)), "good": (30, round(5 / 40, 6))}
+
+
 def test_repetition_goes_across_block_ends(spark):
     menu = "".join(f"<li>{w}</li>" for w in ("Home", "About us", "Our work", "News", "Contact", "Help"))
     share = "<p>Share this</p><p>Mail it</p><p>Print</p><p>(c) 2024 Some Company</p>"
