@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import lines, mixture, pages, passages, personal, repetition, similarity, tokens, urls, warc
+from sievekit.llm import codes, lines, mixture, pages, passages, personal, repetition, shards, similarity, spelling, tokens, urls, warc
 from sievekit.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,3 +249,103 @@ def main_text(spark, sf_dir):
 @query("op10_mixture")
 def mixture_of_sources(spark, sf_dir):
     return mixture.mix_sources(table(spark, sf_dir, "documents"), key="doc_id", text="text", source="source")
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [
+        f"""k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM k, range({parts}) t(p)
+), c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM p WHERE r <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, p.p, min(row(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) AS m
+  FROM p JOIN c{i} c ON p.p = c.p GROUP BY r, p.p
+), n{i} AS (SELECT r, p, m[1] AS d, m[2] AS e FROM a{i}
+), u{i} AS (SELECT p, e, j, sum(x) AS s, count(*) AS n FROM (SELECT n.p, n.e, unnest(p.x) AS x, unnest(range(len(p.x))) AS j FROM n{i} n JOIN p ON n.r = p.r AND n.p = p.p) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(w.x, c.x) AS x FROM c{i} c
+  LEFT JOIN (SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM u{i} GROUP BY p, e) w ON c.p = w.p AND c.e = w.e
+)""")
+    return f"""WITH {", ".join(steps)}, h AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(x) AS x, unnest(range(len(x))) AS j FROM c{rounds})
+), f AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN f ON k.r = f.r, h"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def vector_codes(spark, sf_dir):
+    found, books = codes.compress_features(
+        table(spark, sf_dir, "embeddings"), key="vec_id", features="embedding", label="label", parts=8, entries=16, rounds=6, scale=4096
+    )
+    return found.withColumn("codebooks_sha256", F.lit(codes.codebooks_sha256(books)))
+
+
+def _crc32_table() -> list[int]:
+    out = list(range(256))
+    for _ in range(8):
+        out = [n >> 1 ^ (n & 1) * 0xEDB88320 for n in out]
+    return out
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string's bytes."""
+    known = f"CAST({_crc32_table()} AS BIGINT[])"
+    of_bytes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    step = f"xor({known}[(xor(a, b) & 255) + 1], a >> 8)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {of_bytes}), lambda a, b: {step}), 4294967295)"
+
+
+_SPELLING_SQL = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents
+), h AS (SELECT w, {_crc32_sql("concat(doc_id, ':', w)")} AS h FROM r
+), s AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS w FROM h
+), v AS MATERIALIZED (SELECT w, count(*) AS n FROM s WHERE len(w) >= 7 GROUP BY w HAVING count(*) >= 2
+), d AS MATERIALIZED (SELECT w, n, i, w[:i - 1] || w[i + 1:] AS g FROM (SELECT w, n, unnest(range(1, len(w) + 1)) AS i FROM v)
+), p AS MATERIALIZED (
+  SELECT a.w, b.w AS o, b.n FROM d a JOIN d b ON a.g = b.g AND a.i = b.i AND a.w <> b.w
+  UNION SELECT d.w, v.w, v.n FROM d JOIN v ON d.g = v.w
+  UNION SELECT v.w, d.w, d.n FROM d JOIN v ON d.g = v.w
+), b AS (SELECT w, count(*) AS n_near, min(row(-n, o)) AS m FROM p GROUP BY w
+), f AS MATERIALIZED (
+  SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -m[1] >= 10 * v.n THEN m[2] END AS form, CASE WHEN -m[1] >= 10 * v.n THEN -m[1] END AS form_n
+  FROM v LEFT JOIN b ON v.w = b.w
+), t AS (SELECT w, w AS root, 0 AS k FROM f UNION ALL SELECT t.w, f.form, k + 1 FROM t JOIN f ON t.root = f.w WHERE f.form IS NOT NULL
+)
+SELECT f.w AS word, form, m.root, n, n_near, form_n FROM f JOIN (SELECT w, arg_max(root, k) AS root FROM t GROUP BY w) m ON m.w = f.w
+"""
+
+
+@query("op12_spelling_variants", _SPELLING_SQL)
+def spelling_variants(spark, sf_dir):
+    words = spelling.count_words(table(spark, sf_dir, "documents"), key="doc_id", text="text", min_letters=7, min_count=2, slip=31)
+    return spelling.group_spellings(words, ratio=10)
+
+
+_SHARDS_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UHUGEINT) AS k
+  FROM documents
+), s AS (
+  SELECT r, k, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, 0 AS i FROM d
+  UNION ALL
+  SELECT r, x, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(x // 8589934592 + 1 AS DOUBLE))) AS BIGINT), i + 1
+  FROM (SELECT r, (k * 2862933555777941757 + 1) % 18446744073709551616::UHUGEINT AS x, j, i FROM s WHERE j < 17)
+), m AS (SELECT r, max(j) FILTER (j < 16) AS shard, max(j) FILTER (j < 17) AS grown FROM s GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown AS INT) AS grown_shard
+FROM d JOIN m ON d.r = m.r
+"""
+
+
+@query("op13_jump_shards", _SHARDS_SQL)
+def jump_shards(spark, sf_dir):
+    found = shards.shard_records(table(spark, sf_dir, "documents"), key="doc_id", text="text", shards=16)
+    return found.withColumn("law", F.lit("key"))
