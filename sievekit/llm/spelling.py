@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,12 @@ from sievekit.session import discard, scratch_path
 #: Letters of a word, A-Z being lower-cased.
 LETTERS = r"[A-Za-zÀ-ÿ]"
 
+#: An edit is in one of so many parts of a word; the letters of the others must be equal.
+PARTS = 4
+
+#: Longer words are looked up by number when they meet, instead of being carried along.
+INLINE = 64
+
 _U = np.uint64
 
 
@@ -79,71 +86,75 @@ class _Reduced:
         b = self.start[word + 1]
         return (self.exact[b] - self.exact[b - n]) * self.back[self.size[word] - n]
 
-    def key(self, word: np.ndarray, reduced: np.ndarray, size: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-        """A reduced word of ``size`` symbols, and the half of the letters that an edit left alone:
-        the last ones if the edit is ``ahead`` of them, else the first."""
-        half = (size - 1) // 2
-        kept = np.where(ahead, self.tail(word, half), self.head(word, half))
-        tag = size.astype(_U) * _U(2) + ahead.astype(_U)
-        return T.mix(T.mix(T.mix(reduced + tag) + kept) + tag).view(np.int64)
+    def key(self, word: np.ndarray, reduced: np.ndarray, size: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """A reduced word of ``size`` symbols, and the letters outside of the part of it that an edit is in."""
+        a, b = part * size // PARTS, (part + 1) * size // PARTS
+        tag = size.astype(_U) * _U(PARTS) + part.astype(_U)
+        kept = T.mix(self.head(word, a) + tag) + self.tail(word, size - b)
+        return T.mix(T.mix(reduced + tag) + kept).view(np.int64)
 
 
-def _ahead(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether an edit at a place leaves the last half of a word of ``size`` letters alone; it leaves the first, if not."""
-    return at + 1 + (size - 1) // 2 <= size
+def _part(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The part of a word of ``size`` letters that the place ``at`` is in; the last one, if behind them."""
+    return ((np.minimum(at, size - 1) + 1) * PARTS - 1) // size
 
 
 def _own(r: _Reduced) -> tuple[np.ndarray, np.ndarray]:
-    """(word, key): each reduced word with either of its halves."""
-    word = np.repeat(np.arange(len(r.size)), 2)
+    """(word, key): each reduced word with any of its parts left open."""
+    word = np.repeat(np.arange(len(r.size)), PARTS)
     whole = r.reduced[r.start[word + 1]] - r.reduced[r.start[word]]
-    return word, r.key(word, whole, r.size[word], np.tile([False, True], len(r.size)))
+    return word, r.key(word, whole, r.size[word], np.tile(np.arange(PARTS), len(r.size)))
 
 
 def _neighbours(r: _Reduced, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, key): every reduced word that one edit makes, with the half that the edit leaves alone.
+    """(word, key): every reduced word that one edit makes, with the letters outside of the part it is in.
 
-    Of edits that make the same one and leave the same half, there is one.
+    Of edits that make the same one in the same part, there is one.
     """
     out = [_own(r)]  # a letter that becomes another one of its symbol
     i = np.arange(len(r.of))
     word, at, size = r.of, r.at, r.size[r.of]
     a, b = r.start[word], r.start[word + 1]
     before, after = r.reduced[i] - r.reduced[a], r.reduced[b] - r.reduced[i + 1]
-    last = i + 1 == b
-    next_symbol = np.where(last, _U(0), r.symbol[np.minimum(i + 1, len(i) - 1)])
-    less = np.maximum(size - 1, 1)
-    keep = (size > 1) & ((next_symbol != r.symbol) | (_ahead(at + 1, less) != _ahead(at, less)))
-    w = word[keep]
-    out.append((w, r.key(w, (before + after * r.back[1])[keep], size[keep] - 1, _ahead(at, less)[keep])))
+    next_symbol = np.where(i + 1 == b, _U(0), r.symbol[np.minimum(i + 1, len(i) - 1)])
+    less, more = np.maximum(size - 1, 1), size + 1
+    here = _part(at, less)
+    keep = (size > 1) & ((next_symbol != r.symbol) | (_part(at + 1, less) != here))
+    out.append((word[keep], r.key(word[keep], (before + after * r.back[1])[keep], less[keep], here[keep])))
+    same, here, there = _part(at, size), _part(at, more), _part(at + 1, more)
+    moved = (r.symbol * r.power[at] + after) * r.power[1]
     for s in range(1, symbols + 1):
+        with_s = before + _U(s) * r.power[at]
         keep = r.symbol != _U(s)
-        w = word[keep]
-        out.append((w, r.key(w, (before + _U(s) * r.power[at] + after)[keep], size[keep], _ahead(at, size)[keep])))
-        keep = (r.symbol != _U(s)) | (_ahead(at + 1, size + 1) != _ahead(at, size + 1))
-        w, rest = word[keep], (r.symbol * r.power[at] + after) * r.power[1]
-        out.append((w, r.key(w, (before + _U(s) * r.power[at] + rest)[keep], size[keep] + 1, _ahead(at, size + 1)[keep])))
+        out.append((word[keep], r.key(word[keep], (with_s + after)[keep], size[keep], same[keep])))
+        keep |= here != there
+        out.append((word[keep], r.key(word[keep], (with_s + moved)[keep], more[keep], here[keep])))
         w = np.flatnonzero(r.size > 0)  # behind the last letter
         whole = r.reduced[r.start[w + 1]] - r.reduced[r.start[w]]
-        out.append((w, r.key(w, whole + _U(s) * r.power[r.size[w]], r.size[w] + 1, _ahead(r.size[w], r.size[w] + 1))))
+        out.append((w, r.key(w, whole + _U(s) * r.power[r.size[w]], r.size[w] + 1, _part(r.size[w], r.size[w] + 1))))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def _keyed(words: DataFrame, symbols: int, full: bool) -> DataFrame:
-    """(key, word_id) for ``words(word_id, word)``: of their own reduced form, or of all near ones."""
+    """(key, word, word_id) for ``words(word_id, word)``: of their own reduced form, or of all near ones.
+
+    ``word_id`` stands in for words that are not carried along, else it is null.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for a, b in _runs(batch.column(1)):
+                some = batch.column(1)[a:b]
                 with np.errstate(over="ignore"):
-                    r = _Reduced(batch.column(1)[a:b].to_pylist(), symbols)
-                    word, key = _neighbours(r, symbols) if full else _own(r)
-                for i in range(0, len(word), 1 << 18):
-                    some = word[i : i + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)]), pa.array(ids[a + some])], ["key", "word_id"])
+                    r = _Reduced(some.to_pylist(), symbols)
+                    row, key = _neighbours(r, symbols) if full else _own(r)
+                short = pa.array(r.size <= INLINE)
+                text, number = pc.if_else(short, some, None), pc.if_else(short, None, batch.column(0)[a:b])
+                for i in range(0, len(row), 1 << 16):
+                    at = pa.array(row[i : i + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), text.take(at), number.take(at)], ["key", "word", "word_id"])
 
-    return words.select("word_id", "word").mapInArrow(work, "key bigint, word_id bigint")
+    return words.select("word_id", "word").mapInArrow(work, "key bigint, word string, word_id bigint")
 
 
 def _runs(column: pa.Array, limit: int = 1 << 16) -> Iterator[tuple[int, int]]:
@@ -169,13 +180,13 @@ def group_spellings(words: DataFrame, symbols: int = 2, ratio: int = 10) -> Data
 
     Reduced alphabet: letters are hashed to ``symbols`` symbols, and each word makes the full one-edit
     neighbourhood of its reduced form, which for few symbols is small. Neighbourhoods meet the reduced
-    vocabulary by equal keys; a key also names the half of the word that the edit cannot have
-    touched, so that words which merely look alike when reduced do not meet. Words that meet are
+    vocabulary by equal keys; a key also names the letters outside of the quarter of the word that the
+    edit is in, so that words which merely look alike when reduced do not meet. Words that meet are
     compared letter by letter. The result does not depend on ``symbols``. Counts grow along the
     forms, by ``ratio`` each time, so roots are found in a few rounds of joining forms with forms.
 
-    Words of any length are handled: a row holds a key and a word's number, and the words come back
-    for those that meet. Rows with a null or empty word, or without a positive count, are left out. Of
+    Words of any length are handled: a row holds a long word's number only, and the words come back
+    where they meet. Rows with a null or empty word, or without a positive count, are left out. Of
     repeated words the counts are added. Further columns are not read. An empty vocabulary gives an empty result.
     """
     if ratio < 2:
@@ -185,8 +196,11 @@ def group_spellings(words: DataFrame, symbols: int = 2, ratio: int = 10) -> Data
     known.select(F.xxhash64("word").alias("word_id"), "word", "n").write.parquet(f"{place}/words")
     known = spark.read.schema("word_id bigint, word string, n bigint").parquet(f"{place}/words")
 
-    met = _keyed(known, symbols, full=True).join(_keyed(known, symbols, full=False).withColumnRenamed("word_id", "near_id"), "key")
-    met = met.where("word_id <> near_id").select("word_id", "near_id").distinct()
+    near = _keyed(known, symbols, full=False).withColumnsRenamed({"word": "near", "word_id": "near_id"})
+    met = _keyed(known, symbols, full=True).join(near, "key")
+    met = met.where(F.coalesce(F.levenshtein("word", "near", 1) == 1, F.lit(True)))
+    numbers = [F.coalesce(f"{w}_id", F.xxhash64(w)).alias(f"{w}_id") for w in ("word", "near")]
+    met = met.select(*numbers).where("word_id <> near_id").distinct()
     near = known.select(F.col("word_id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     pairs = met.join(known, "word_id").join(near, "near_id").where(F.levenshtein("word", "near", 1) == 1)
     best = pairs.groupBy("word").agg(
