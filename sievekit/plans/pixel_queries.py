@@ -308,7 +308,7 @@ def flag_touching(spark, sf_dir):
 @query(
     "greedy_mask_nms",
     f"""WITH RECURSIVE {T.PIXELS_CTE},
-c AS (SELECT instance_id % 97 AS canvas, instance_id, instance_id % 8 AS conf, y * 8 + x AS place FROM pixels WHERE mask AND x > instance_id % 3),
+c AS (SELECT instance_id % 97 AS canvas, instance_id, instance_id % 8 AS conf, y * 16 + x + instance_id % 3 AS place FROM pixels WHERE mask),
 sets AS (SELECT canvas, instance_id, any_value(conf) AS conf, list(place) AS ps FROM c GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY canvas ORDER BY conf DESC, instance_id) AS rn FROM sets),
 pairs AS (SELECT a.canvas, a.instance_id AS better, b.instance_id AS worse FROM ranked a JOIN ranked b ON a.canvas = b.canvas AND a.rn < b.rn

@@ -87,8 +87,8 @@ PROFILE_COLS = (
     "p_partkey % 2 = 0 AS production_eligible",
     "p_partkey % 10 AS reference_count",
 )
-# Two thirds of the samples come with a profile.
-PROFILE_WHERE = "p_partkey % 3 < 2"
+# Every row is a profile; a third of them is of samples (negative ids) that nothing else has.
+PROFILE_SAMPLE = "CASE WHEN p_partkey % 3 < 2 THEN p_partkey ELSE -p_partkey END AS sample_id"
 TRUTH_COLS = ("p_partkey AS sample_id", "25 + p_size % 10 AS expected_total", "p_size % 4 AS expected_broken")
 
 
@@ -97,9 +97,7 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A profile of every row; a third of them is of samples (negative ids) that nothing else has."""
-    own = f"CASE WHEN {PROFILE_WHERE} THEN p_partkey ELSE -p_partkey END AS sample_id"
-    return table(spark, sf_dir, "part").selectExpr(own, *PROFILE_COLS[1:])
+    return table(spark, sf_dir, "part").selectExpr(PROFILE_SAMPLE, *PROFILE_COLS[1:])
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +106,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIMENSIONS_CTE = f"""
 calibrations AS (SELECT {', '.join(CALIBRATION_COLS)} FROM part),
-profiles AS (SELECT {', '.join(PROFILE_COLS)} FROM part WHERE {PROFILE_WHERE}),
+profiles AS (SELECT {', '.join((PROFILE_SAMPLE, *PROFILE_COLS[1:]))} FROM part),
 truth AS (SELECT {', '.join(TRUTH_COLS)} FROM part)"""
 
 
