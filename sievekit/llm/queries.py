@@ -157,11 +157,11 @@ WITH l AS (
 ), w AS (
   SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l
 ), u AS (
-  SELECT array_to_string(w, ' ') AS x, any_value(w) AS w, min(row(doc_id, no)) AS p FROM w WHERE len(w) >= 8 GROUP BY ALL
+  SELECT array_to_string(w, ' ') AS x, any_value(w) AS w, min(row(doc_id, no)) AS p FROM w WHERE len(w) >= 1 GROUP BY ALL
 ), v AS (
   SELECT x, p, -1 AS i, x AS g FROM u
   UNION ALL
-  SELECT x, p, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u)
+  SELECT x, p, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= 8)
 ), g AS (
   SELECT g, min(p) FILTER (i < 0) AS whole, min(p) FILTER (i > 0) AS gap FROM v GROUP BY g
 ), bad AS (
@@ -169,8 +169,8 @@ WITH l AS (
   UNION
   SELECT x FROM v JOIN g ON g.g = v.g WHERE CASE WHEN i < 0 THEN gap ELSE whole END < p
 ), k AS (
-  SELECT w.doc_id, w.n_lines, w.no, w.line, len(w.w) >= 8 AND (bad.x IS NOT NULL OR row(w.doc_id, w.no) > u.p) AS gone
-  FROM w LEFT JOIN u ON u.x = array_to_string(w.w, ' ') AND len(w.w) >= 8 LEFT JOIN bad ON bad.x = u.x
+  SELECT w.doc_id, w.n_lines, w.no, w.line, len(w.w) >= 1 AND (bad.x IS NOT NULL OR row(w.doc_id, w.no) > u.p) AS gone
+  FROM w LEFT JOIN u ON u.x = array_to_string(w.w, ' ') AND len(w.w) >= 1 LEFT JOIN bad ON bad.x = u.x
 )
 SELECT doc_id, n_lines, count(*) FILTER (gone) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '') AS text
