@@ -16,9 +16,11 @@ from sievekit.llm import texts as T
 #: Kinds in the order in which spans of one start are listed; the patterns know the first four.
 KINDS = ("email", "ip", "card", "phone", "secret")
 
-# Atomic where giving back could not help, so that a text is read once.
-_EMAIL = re.compile(r"(?>[A-Za-z0-9._%+-]+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+# Possessive where giving back could not help, and tried only where a run starts: what fails there
+# fails in all of the run, so that each run is read a fixed number of times.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_EMAIL_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_EMAIL.pattern}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -83,13 +85,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and int(digits) <= 255)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the patterns find, by start and kind."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+        end = 0
+        while m := _EMAIL.match(text, end) or _EMAIL_RUN.search(text, end):
+            found.append((m.start(), 0, end := m.end()))  # the next address may start inside the run that this one ends in
     if _DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -276,7 +286,7 @@ def _sound(kind: int, value: str) -> bool:
     if kind == 0:
         return 0 < value.find("@") < len(value) - 1
     if kind == 1:
-        return value.count(".") == 3 and all(x.isdecimal() and int(x) <= 255 for x in value.split("."))
+        return value.count(".") == 3 and all(x.isdecimal() and _octet(x) for x in value.split("."))
     if kind == 2:
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == 3:
@@ -330,7 +340,7 @@ def find_personal_data(
     of words (character classes, digits, length) and of their neighbours. A line of a text is a
     sequence; Viterbi runs over all lines of a batch at once.
 
-    Null and empty texts have no spans. Repeated rows and null keys stay. Only two columns are
+    Null and empty texts have no spans. Time grows with a text's length, whatever it holds. Repeated rows and null keys stay. Only two columns are
     read, so other names cannot clash. An empty table gives an empty result.
     """
     model = train(labelled_lines() if labelled is None else labelled)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -188,3 +189,53 @@ def test_patterns_equal_plain_ones():
     for _ in range(2000):
         text = "".join(rng.choice("a1.@-+_ %") for _ in range(30))
         assert [(m.start(), m.end()) for m in plain.finditer(text)] == [(s, e) for s, k, e in personal.base_spans(text) if k == 0]
+
+
+def plain_spans(text):
+    """All kinds by their plain patterns and tests."""
+
+    def check_digit(d):
+        return sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and check_digit(d):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_all_patterns_equal_plain_ones():
+    rng = random.Random(11)
+    pools = ("01.", "0123456789 -", "+12() .-", "a@.1-_", "12.@a+ -(9", "0255.")
+    for i in range(6000):
+        text = "".join(rng.choice(pools[i % len(pools)]) for _ in range(rng.choice([12, 40])))
+        assert personal.base_spans(text) == plain_spans(text), text
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "6011000990139424", "4111 1111 1111 1112", "1" * 14, "0" * 19, "0" * 20]
+    for text in [f"x {c} {c}-{c}" for c in cards] + ["300.1.1.1.1", "1.2.3.256.9.9.9.9", "000001.2.3.0255", "a@b.c_d@e.f@g.h"]:
+        assert personal.base_spans(text) == plain_spans(text), text
+
+
+@pytest.mark.parametrize("text", [
+    "1.2.3." + "4" * 4400, "7" * 10**6, "a" * 10**6 + "@", "a@" * 500_000, "1." * 500_000, "+1" + "(" * 10**6, "a@b." * 250_000,
+    "@" + "x" * 10**6, "+1 " * 300_000, "1 - " * 250_000, "9." + "1" * 10**6 + ".1.1", "a@" + "b-" * 500_000,
+])
+def test_patterns_read_long_texts_in_linear_time(text):
+    began = time.process_time()
+    found = personal.base_spans(text)
+    assert time.process_time() - began < 5
+    assert all(0 <= s < e <= len(text) for s, _, e in found)
+
+
+def test_personal_data_in_long_texts(spark):
+    rows = [(1, "1.2.3." + "4" * 4400), (2, "7" * 300_000), (3, "a@" * 150_000), (4, "x" * 300_000 + " 10.0.0.1")]
+    got = {r["request_id"]: r["base"] for r in personal.find_personal_data(spark.createDataFrame(rows, "request_id long, error_message string")).collect()}
+    assert [got[1], got[2], got[3]] == [[], [], []] and [tuple(x) for x in got[4]] == [("ip", 300_001, 300_009)]
