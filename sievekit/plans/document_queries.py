@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from sievekit.functions import rules as R
@@ -198,11 +200,6 @@ def event_stream(spark, sf_dir):
     return _stamped(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
-def event_rows(spark, sf_dir):
-    """The rows of ``event_stream`` as a batch."""
-    return _stamped(T.table(spark, sf_dir, "events"))
-
-
 @query(
     "stream_rate",
     f"""WITH {T.EVENTS_CTE} SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM log_events
@@ -210,8 +207,7 @@ WHERE event = 'request_started' GROUP BY 1""",
 )
 def stream_rate(spark, sf_dir):
     """All windows: those the watermark closed, and at the end of the run the open ones."""
-    out = ST.run_available(ST.stream_rate(event_stream(spark, sf_dir)), "rate")
-    out = ST.with_open(out, ST.stream_rate(event_rows(spark, sf_dir)), ["minute"])
+    out = ST.run_available(ST.stream_rate(event_stream(spark, sf_dir)), "rate", still_open=ST.open_windows)
     return out.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
 
 
@@ -234,17 +230,10 @@ FROM s LEFT JOIN e ON s.request_id = e.request_id AND e.ts >= s.ts AND e.ts <= s
 )
 def stream_pairing(spark, sf_dir):
     """All starts: those the stream put out, and at the end of the run the open ones."""
-
-    def sides(rows):
-        return rows.where(F.col("event") == "request_started"), rows.where(F.col("event").isin("request_finished", "request_failed"))
-
-    bounds = ("12 hours", "1 hour")
-    out = ST.run_available(ST.stream_pairing(*sides(event_stream(spark, sf_dir)), *bounds), "pairing")
-    whole = ST.stream_pairing(*sides(event_rows(spark, sf_dir)), *bounds)
-    stamp = "yyyy-MM-dd HH:mm:ss"
-    return ST.with_open(out, whole, ["request_id", "started_at"]).withColumns(
-        {k: F.date_format(k, stamp) for k in ("started_at", "finished_at")}
-    )
+    rows = event_stream(spark, sf_dir)
+    starts, ends = rows.where("event = 'request_started'"), rows.where("event IN ('request_finished', 'request_failed')")
+    out = ST.run_available(ST.stream_pairing(starts, ends, timedelta(hours=12), "1 hour"), "pairing", still_open=ST.open_starts)
+    return out.withColumns({k: F.date_format(k, "yyyy-MM-dd HH:mm:ss") for k in ("started_at", "finished_at")})
 
 
 @query(
