@@ -245,3 +245,15 @@ def tail_logs(spark, sf_dir):
     good, _ = ST.split_malformed(ST.tail_logs(spark, written_logs(spark, sf_dir)))
     out = ST.run_available(good.select("event", "duration_ms", "ts"), "tail")
     return out.groupBy("event").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"))
+
+
+@query(
+    "follow_logs",
+    f"""WITH {T.EVENTS_CTE} SELECT event, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM log_events
+WHERE seq % 50 <> 0 AND seq % 61 <> 0 AND seq % 71 <> 0 GROUP BY event""",
+)
+def follow_logs(spark, sf_dir):
+    """The same log as in ``tail_logs``, followed by byte."""
+    good, _ = ST.split_malformed(ST.follow_logs(spark, written_logs(spark, sf_dir)))
+    out = ST.run_available(good.select("event", "duration_ms"), "follow")
+    return out.groupBy("event").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"))

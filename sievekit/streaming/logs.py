@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sievekit.session import scratch_path
+from sievekit.sources.follow import FollowLog
 from sievekit.sources.logs import parse_events
 
 _STARTS, _ENDS = ["at", "paired"], ["at", "event", "duration_ms"]
@@ -22,7 +23,7 @@ _SOME = 256
 def tail_logs(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
     """Events of closed log files as they appear; ``well_formed`` tells bad lines.
 
-    The file source takes whole files, so it follows rotated members, not the open one.
+    The file source takes whole files, so it follows rotated members; ``follow_logs`` also follows the open one.
     """
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
@@ -30,6 +31,16 @@ def tail_logs(spark: SparkSession, directory: str, max_files: int | None = None)
     return parse_events(reader.text(f"{directory}/app.log*"))
 
 
+def follow_logs(spark: SparkSession, directory: str, chunk_bytes: int = 64 << 20) -> DataFrame:
+    """Events of a log while it is written, the open file included; see ``sources.follow.FollowLog``.
+
+    ``member`` and ``byte`` say where a line stands. The folder must be mounted by driver and executors.
+    """
+    spark.dataSource.register(FollowLog)
+    lines = spark.readStream.format("follow_log").option("chunk", str(chunk_bytes)).load(directory)
+    return parse_events(lines, keep=("member", "byte"))
+
+
 def split_malformed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good events, malformed lines)."""
     return events.where("well_formed").drop("value"), events.where("NOT well_formed").select("value")
