@@ -2,15 +2,15 @@
 
 A pixel table has one row per pixel of an instance's rectangular crop: key columns, ``x``,
 ``y``, ``r``, ``g``, ``b`` and ``mask``. Pixels outside the table lie outside the frame.
-Neighbourhoods are gathered by sending every value to the places that look at it and grouping
-by place: one shuffle keyed by the pixel, so a huge image is no hot key.
+Neighbourhoods are read inside of tiles that have a rim of their neighbours' pixels: one shuffle
+keyed by the tile, of little more than the pixels, so a huge image is no hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sievekit.fixed import BROWN_BAND, GLCM_OFFSETS, RED_BANDS
@@ -21,27 +21,49 @@ from sievekit.operators.scaling import keyed_join
 INSTANCE = ("sample_id", "instance_id")
 CROSS = ((1, 0), (-1, 0), (0, 1), (0, -1))
 CORNERS = ((1, 1), (-1, 1), (1, -1), (-1, -1))
+#: Along a row, a column and the two diagonals.
+_STEPS = ((1, 0), (0, 1), (1, 1), (1, -1))
+#: Side of a tile; the rim of 1 or 3 pixels adds 6 or 20 percent.
+TILE = 64
+
+
+def tiled(pixels: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """Pixels dealt by tile (``tx``, ``ty``), with a rim of copies from next to it; ``home`` tells the tile's own."""
+
+    def tile(at: Column) -> Column:
+        return F.floor((at + TILE // 2) / TILE)  # crops begin at 0, which is not an edge
+
+    def tiles(at: str) -> Column:
+        return F.explode(F.sequence(tile(F.col(at) - reach), tile(F.col(at) + reach)))
+
+    sent = pixels.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
+    home = (F.col("tx") == tile(F.col("x"))) & (F.col("ty") == tile(F.col("y")))
+    return sent.withColumn("home", home).repartition(*by, "tx", "ty")
+
+
+def along(by: Sequence[str], dx: int, dy: int, low: int, high: int) -> WindowSpec:
+    """The pixels of a tile from ``low`` to ``high`` steps of (dx, dy) from each one; a step is to one of the eight around it."""
+    line = dict(zip(_STEPS, (F.col("y"), F.col("x"), F.col("x") - F.col("y"), F.col("x") + F.col("y"))))[dx, dy]
+    return Window.partitionBy(*by, "tx", "ty", line).orderBy("x" if dx else "y").rangeBetween(low, high)
 
 
 def gather(
     pixels: DataFrame, by: Sequence[str], offsets: Sequence[tuple[int, int]], value: Column, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Every pixel with ``n0..``: the value at each offset from it, null where there is none."""
-    own = F.struct(*keep, value.alias("v"))
-    roles = [
-        F.struct(F.lit(-1).alias("role"), F.lit(0).alias("dx"), F.lit(0).alias("dy")),
-        *[
-            F.struct(F.lit(i).alias("role"), F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"))
-            for i, (dx, dy) in enumerate(offsets)
-        ],
-    ]
-    sent = pixels.select(*by, "x", "y", own.alias("own"), F.explode(F.array(*roles)).alias("t"))
-    sent = sent.select(*by, (F.col("x") + F.col("t.dx")).alias("x"), (F.col("y") + F.col("t.dy")).alias("y"), "t.role", "own")
-    met = sent.groupBy(*by, "x", "y").agg(
-        F.max(F.when(F.col("role") == -1, F.col("own"))).alias("own"),
-        *[F.max(F.when(F.col("role") == i, F.col("own.v"))).alias(f"n{i}") for i in range(len(offsets))],
-    )
-    return met.where("own IS NOT NULL").select(*by, "x", "y", "own.*", *[f"n{i}" for i in range(len(offsets))])
+    """Every pixel with ``n0..``: the value at each offset from it, null where there is none.
+
+    Offsets lie in a row, a column or a diagonal. Each of these is a window inside of a tile, in
+    which the neighbour is the row at that distance; all share the shuffle of the tiles.
+    """
+    sent = tiled(pixels.select(*by, "x", "y", *keep, value.alias("v")), by, max(max(abs(dx), abs(dy)) for dx, dy in offsets))
+    found = {}
+    for i, (dx, dy) in enumerate(offsets):
+        far = max(abs(dx), abs(dy))
+        if (dx // far, dy // far) not in _STEPS:
+            far = -far
+        step = (dx // far, dy // far)
+        found[f"n{i}"] = F.max("v").over(along(by, *step, far, far))
+    return sent.withColumns(found).where("home").drop("tx", "ty", "home")
 
 
 def with_gray(pixels: DataFrame) -> DataFrame:
@@ -428,22 +450,12 @@ def flag_touching(
 ) -> DataFrame:
     """(by, key, is_touching): does a mask, grown by one pixel, meet another mask?
 
-    Where a mask lies and two different grown masks reach, all of them touch: a grown mask
-    there meets the mask, and the mask meets a grown one. So the smallest and largest id per
-    place settle the question and no pairs of instances are formed.
+    It does exactly if the pixels around one of its own, or upon it, hold another id. So the smallest
+    and largest id there settle the question, and no pairs of instances are formed.
     """
     by = list(by)
-    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     masks = pixels.where("mask").select(*by, key, "x", "y")
-    grown = masks.withColumn("s", F.explode(shifts)).select(
-        *by, key, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"),
-        ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"),
-    )
-    place = grown.groupBy(*by, "x", "y").agg(
-        F.bool_or("own").alias("masked"), F.min(key).alias("lo"), F.max(key).alias("hi")
-    ).where(F.col("masked") & (F.col("lo") != F.col("hi")))
-    touched = grown.join(place, [*by, "x", "y"], "left_semi").select(*by, key).distinct()
-    touched = touched.withColumn("is_touching", F.lit(True))
-    return masks.select(*by, key).distinct().join(touched, [*by, key], "left").withColumn(
-        "is_touching", F.coalesce("is_touching", F.lit(False))
-    )
+    steps = [along(by, *step, -1, 1) for step in _STEPS]
+    least, most = F.least(*[F.min(key).over(w) for w in steps]), F.greatest(*[F.max(key).over(w) for w in steps])
+    met = tiled(masks, by, 1).withColumns({"lo": least, "hi": most})
+    return met.where("home").groupBy(*by, key).agg(F.bool_or(F.col("lo") < F.col("hi")).alias("is_touching"))

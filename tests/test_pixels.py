@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievekit.fixed import GLCM_OFFSETS
 from sievekit.operators import components as CC
 from sievekit.operators import contours as CT
 from sievekit.operators import pixels as PX
@@ -169,3 +170,44 @@ def test_contour_of_a_rectangle(spark):
     assert got[3]["refused"] == "Contour area < 5 pixels"
     spans = {r["instance_id"]: r for r in CT.principal_spans(df, m).collect()}
     assert (spans[1]["principal_span"], spans[1]["transverse_span"], spans[1]["caliper_length"]) == (10.0, 4.0, 10.0)
+
+
+def explained(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_gather_over_tiles(spark, tile, monkeypatch):
+    """Sparse pixels of two frames over many tiles, negative places, repeats, and all offsets that operators use."""
+    monkeypatch.setattr(PX, "TILE", tile)
+    rng = random.Random(tile)
+    spots = {(s, rng.randrange(-9, 30), rng.randrange(-9, 30)): rng.randrange(100) for s in "ab" for _ in range(700)}
+    rows = [(*k, v) for k, v in spots.items()]
+    df = spark.createDataFrame(rows + rows[:20], "s string, x int, y int, v int").repartition(5)
+    offsets = [*PX.CROSS, *PX.CORNERS, *GLCM_OFFSETS]
+    met = PX.gather(df, ["s"], offsets, F.col("v"), keep=[])
+    plan = explained(met)
+    got = sorted(map(tuple, met.collect()), key=repr)
+    want = [(s, x, y, v, *[spots.get((s, x + dx, y + dy)) for dx, dy in offsets]) for s, x, y, v in rows + rows[:20]]
+    assert got == sorted(want, key=repr)
+    assert "SortAggregate" not in plan and plan.count("Arguments: hashpartitioning") == 1
+
+
+def test_tiles_copy_few_pixels(spark):
+    frame = spark.range(256 * 256).selectExpr("id % 256 AS x", "id div 256 AS y", "1 AS s")
+    for reach in (1, 3):
+        assert PX.tiled(frame, ["s"], reach).count() < 1.3 * 256 * 256
+    crop = spark.range(60).selectExpr("id % 10 AS x", "id div 10 AS y", "1 AS s")
+    assert PX.tiled(crop, ["s"], 3).count() == 60
+
+
+def test_touching_over_tiles_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(PX, "TILE", 4)
+    rng = random.Random(8)
+    masks = {i: {(x0 + dx, y0 + dy) for dx in range(3) for dy in range(2)} for i in range(40) for x0, y0 in [(rng.randrange(40), rng.randrange(40))]}
+    masks |= {100 + i: {(60, 60)} for i in range(50)} | {200: {(70, 70)}, 201: {(71, 71)}, 202: {(73, 71)}}
+    near = lambda a, b: any(abs(x - u) <= 1 and abs(y - v) <= 1 for x, y in a for u, v in b)
+    want = {i: any(i != j and near(a, b) for j, b in masks.items()) for i, a in masks.items()}
+    rows = [("s", i, True, x, y) for i, m in masks.items() for x, y in m] + [("s", 0, False, 5, 5)]
+    df = spark.createDataFrame(rows, "sample_id string, instance_id long, mask boolean, x int, y int").repartition(4)
+    assert {r["instance_id"]: r["is_touching"] for r in PX.flag_touching(df).collect()} == want
