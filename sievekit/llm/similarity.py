@@ -373,12 +373,13 @@ def _derived(anchored: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
 
-def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
+def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, facts: DataFrame, percent: int, place: str) -> DataFrame:
     """Pairs (a, b, n, m, c) of different classes and anchors, but for those of a set and its list's pivot.
 
     c shingles are in both prefixes. Index blocks are matched by their ranges of size and place
-    first; only the entries of the blocks that remain are looked at. Pairs of blocks that begin
-    with the same sets go to the same task, where equal pairs are added up before the shuffle.
+    first; only the entries of the blocks that remain are looked at, and only they carry the sketches
+    of their sets, so that a pair becomes a row only if it may link. Pairs of blocks that begin with the
+    same sets go to the same task, where equal pairs are added up before the shuffle.
     """
     listed = index.groupBy("set").agg(F.count("*").alias("listed")).withColumnRenamed("set", "node")
     named = listed.join(classes, "node", "left").join(anchors, "node", "left")
@@ -391,8 +392,9 @@ def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent:
         F.collect_list(F.struct("set", "n", "pos", "cls", "pivot", "anchor", "listed")).alias("sets"),  # at most BLOCK
     )
     mixed = blocks.groupBy("token").agg(F.min("lo_cls").alias("x"), F.max("hi_cls").alias("y")).where("x <> y").select("token")
-    blocks = blocks.join(mixed, "token", "left_semi")
-    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "lo_anchor", "hi_anchor", "hi_listed", "least", "sets")
+    blocks.join(mixed, "token", "left_semi").write.parquet(f"{place}/blocks")
+    blocks = index.sparkSession.read.schema(blocks.schema).parquet(f"{place}/blocks")
+    names = ("block", "lo_n", "hi_n", "lo_pos", "hi_pos", "lo_cls", "hi_cls", "lo_anchor", "hi_anchor", "hi_listed")
     other = blocks.select("token", *[F.col(x).alias(f"{x}_2") for x in names])
 
     def one(x: str) -> Column:
@@ -406,8 +408,18 @@ def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent:
         & (F.col("hi_n") * 100 >= F.col("lo_n_2") * percent) & (F.col("hi_n_2") * 100 >= F.col("lo_n") * percent)
         & (reach >= _needed(percent, "lo_n", "lo_n_2"))
     )
-    met = blocks.join(other, "token").where(alike).repartition("least", "least_2").select(
-        (F.col("block") == F.col("block_2")).alias("own"), "sets", "sets_2"
+    met = checkpointed(blocks.drop("sets").join(other, "token").where(alike).select("token", "block", "block_2"))
+    used = met.select("token", F.explode(F.array("block", "block_2")).alias("block")).distinct()
+    entries = blocks.join(used, ["token", "block"], "left_semi").select("token", "block", "least", F.explode("sets").alias("e"))
+    sketches = facts.select(F.col("set").alias("of"), "sketch")
+    entries = entries.join(sketches, F.col("e.set") == F.col("of")).select("token", "block", "least", "e.*", "sketch")
+    rich = entries.groupBy("token", "block").agg(
+        F.first("least").alias("least"),
+        F.collect_list(F.struct(F.struct("set", "n", "pos", "cls", "pivot", "anchor", "listed").alias("e"), "sketch")).alias("both"),
+    ).select("token", "block", "least", F.col("both.e").alias("sets"), F.flatten("both.sketch").alias("sketches"))
+    rich_2 = rich.select("token", *[F.col(x).alias(f"{x}_2") for x in ("block", "least", "sets", "sketches")])
+    met = met.join(rich, ["token", "block"]).join(rich_2, ["token", "block_2"]).repartition("least", "least_2").select(
+        (F.col("block") == F.col("block_2")).alias("own"), "sets", "sets_2", "sketches", "sketches_2"
     )
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,6 +440,10 @@ def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent:
                 behind = np.maximum(-(-percent * n // 100), -(-percent * m // 100)) - 1
                 ok &= np.minimum(x[6][:, None], y[6][None, :]) >= -(-percent * (n + m) // (100 + percent)) - behind
                 a, b = np.nonzero(ok)
+                u, v = (batch.column(k)[r].values.to_numpy().view(np.uint64).reshape(len(s[0]), -1) for k, s in ((3, x), (4, y)))
+                bits = np.bitwise_count(u[a] ^ v[b]).sum(axis=1, dtype=np.int64)
+                near = bits * (100 + percent) <= (x[1][a] + y[1][b]) * (100 - percent)
+                a, b = a[near], b[near]
                 if len(a):
                     found.append((x[0][a], y[0][b], x[1][a], y[1][b]))
                     held += len(a)
@@ -437,7 +453,8 @@ def _leftover(index: DataFrame, classes: DataFrame, anchors: DataFrame, percent:
         if found:
             yield _added_up(found)
 
-    raw = met.mapInArrow(expand, "a bigint, b bigint, n bigint, m bigint, c bigint")
+    raw = checkpointed(met.mapInArrow(expand, "a bigint, b bigint, n bigint, m bigint, c bigint"))
+    discard(index.sparkSession, f"{place}/blocks")
     return raw
 
 
@@ -537,9 +554,9 @@ def link_similar(
         F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"), "c")
     )
     anchors = anchored.select(F.col("a").alias("node"), F.col("b").alias("anchor"))
-    raw = _leftover(index, classes, anchors, percent).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
-    pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
     known = _facts(nodes, classes)
+    raw = _leftover(index, classes, anchors, known, percent, place).unionAll(pivots.select(ordered.alias("p")).select("p.*"))
+    pairs = raw.groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("c").alias("c")).where(enough)
     near = _near(pairs.select("a", "b"), known, percent).unionAll(_derived(anchored, known, percent))
     rest = checkpointed(near.distinct())
     more = _verified(rest, nodes, rows, words, percent, f"{place}/rest")
