@@ -172,18 +172,20 @@ def drop_repeated_lines(
     _scan(rows.drop("also"), max(1, min_words if exact_words is None else exact_words), min_words).write.parquet(place)
     lines = spark.read.parquet(place)
 
-    places = lines.select("line", "ends", _place("key", "no").alias("place"))
-    distinct = places.groupBy("line").agg(F.count("*").alias("times"), F.min("place").alias("place"), F.max("place").alias("final"))
-    shared = (
-        lines.select("line", F.explode("ends").alias("end")).groupBy("end")
-        .agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("end")
-    )
-    near = lines.select("line", F.explode("ends").alias("end")).join(shared, "end", "left_semi").select("line").distinct()
-    firsts = distinct.join(near, "line", "left_semi").select("line", "place")
+    # Every line once; ends belong to the line, so all its occurrences have the same ones.
+    ends = [f"end{i}" for i in range(4)]
+    places = lines.select("line", _place("key", "no").alias("place"), *[F.get("ends", F.lit(i)).alias(e) for i, e in enumerate(ends)])
+    places.groupBy("line").agg(
+        F.min("place").alias("place"), F.max("place").alias("final"), *[F.max(e).alias(e) for e in ends]
+    ).write.parquet(f"{place}-distinct")
+    distinct = spark.read.parquet(f"{place}-distinct")
+    by_end = distinct.select("line", "place", F.explode(F.array_compact(F.array(*ends))).alias("end"))
+    shared = by_end.groupBy("end").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("end")
+    firsts = by_end.join(shared, "end", "left_semi").select("line", "place").distinct()
     no = F.pmod("place", F.lit(_LINES).cast("decimal(11,0)"))
     firsts = firsts.select("line", no.cast("int").alias("no"), ((F.col("place") - no) / _LINES).cast("bigint").alias("key"))
     asked = firsts.groupBy("key").agg(F.collect_list(F.struct("no", "line")).alias("asked"))
-    _variants(rows.join(asked, "key").select("key", "text", "asked"), min_words).write.parquet(f"{place}-variants")
+    _variants(rows.select("key", "text").join(asked, "key"), min_words).write.parquet(f"{place}-variants")
     variants = spark.read.parquet(f"{place}-variants").select("variant", "at", "line", _place("key", "no").alias("place"))
 
     gaps = variants.groupBy("variant", "at").agg(F.min("place").alias("m"), F.max("place").alias("final"))
@@ -196,7 +198,7 @@ def drop_repeated_lines(
     bad = changed.where("m < place").select("line").unionAll(added.where(earlier < F.col("place")).select("line")).distinct()
 
     # Of a near line every occurrence goes, of another repeated one all but the first place.
-    verdict = distinct.join(bad.withColumn("near", F.lit(True)), "line", "left").where("near or place <> final").select(
+    verdict = distinct.drop(*ends).join(bad.withColumn("near", F.lit(True)), "line", "left").where("near or place <> final").select(
         "line", F.when(F.col("near"), None).otherwise(F.col("place")).alias("keep")
     )
     gone = (
