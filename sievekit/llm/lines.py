@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import texts as T
-from sievekit.session import scratch_path
+from sievekit.session import checkpointed, discard, scratch_path
 
 _STEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -196,6 +196,8 @@ def drop_repeated_lines(
     added = variants.join(heads.where("whole is not null and gap is not null"), "variant")
     earlier = F.when(F.col("at") < 0, F.col("gap")).otherwise(F.col("whole"))
     bad = changed.where("m < place").select("line").unionAll(added.where(earlier < F.col("place")).select("line")).distinct()
+    bad = checkpointed(bad)
+    discard(spark, f"{place}-variants")
 
     # Of a near line every occurrence goes, of another repeated one all but the first place.
     verdict = distinct.drop(*ends).join(bad.withColumn("near", F.lit(True)), "line", "left").where("near or place <> final").select(
