@@ -101,15 +101,18 @@ def scan_logs(spark: SparkSession, directory: str, max_records: int | None = Non
     return ranked.where(F.col("_rank") <= max_records).drop("_rank")
 
 
-def parse_audit(parsed: DataFrame, max_errors: int = 50) -> DataFrame:
-    """Counters of one parse; ``parsed`` comes from parse_events over all lines."""
+def parse_audit(parsed: DataFrame, max_errors: int | None = None) -> DataFrame:
+    """Counters of one parse; ``parsed`` comes from parse_events over all lines.
+
+    ``max_errors`` is where ``parse_errors`` stops counting, for reports that want it to.
+    """
     bad = F.count_if(~F.col("well_formed"))
     return parsed.agg(
         F.count_distinct("file").alias("files_read"),
         F.count("*").alias("lines_read"),
         F.count_if("well_formed").alias("records_loaded"),
         bad.alias("malformed_lines"),
-        F.least(bad, F.lit(max_errors)).cast("long").alias("parse_errors"),
+        (bad if max_errors is None else F.least(bad, F.lit(max_errors))).cast("long").alias("parse_errors"),
     )
 
 
