@@ -127,13 +127,13 @@ def component_stats(
     ).withColumn("accepted", F.col("area") >= min_area)
 
 
-def component_summary(stats: DataFrame, by: Sequence[str] = ("sample_id",), limit: int | None = None) -> DataFrame:
+def component_summary(stats: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Accepted and rejected counts, and the typical area of the accepted ones."""
     stats = checkpointed(stats)  # one row per component, read three times below
     counts = stats.groupBy(*by).agg(
         F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected")
     )
-    typical = exact_medians(stats, by, {"median_area": F.when(F.col("accepted"), F.col("area"))}, limit)
+    typical = exact_medians(stats, by, {"median_area": F.when(F.col("accepted"), F.col("area"))})
     return counts.join(typical, list(by), "left").withColumn(
         "median_area", rnd(F.coalesce("median_area", F.lit(2000.0)))
     )

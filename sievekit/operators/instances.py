@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,32 +49,29 @@ def sample_summary(labels: DataFrame, by: Sequence[str] = ("sample_id",), broken
 
 def dimension_stats(
     instances: DataFrame, by: Sequence[str] = ("sample_id",), length: Col = "length_px", breadth: Col = "breadth_px",
-    lb: Col = "lb_ratio", limit: int | None = None,
+    lb: Col = "lb_ratio",
 ) -> DataFrame:
     by, cols = list(by), {"length": length, "breadth": breadth, "lb_ratio": lb}
     means = instances.groupBy(*by).agg(*[F.avg(c(col)).alias(f"average_{n}") for n, col in cols.items()])
-    middles = exact_medians(instances, by, {f"median_{n}": col for n, col in cols.items()}, limit)
+    middles = exact_medians(instances, by, {f"median_{n}": col for n, col in cols.items()})
     both = keyed_join(means, middles, by)
     names = [f"{stat}_{n}" for n in cols for stat in ("average", "median")]
     return both.select(*by, *[F.coalesce(rnd(n), F.lit(0.0)).alias(n) for n in names])
 
 
 def population_stats(
-    instances: DataFrame, by: Sequence[str] = ("sample_id",), breadth: Col = "breadth_px", area: Col = "area",
-    limit: int | None = None,
+    instances: DataFrame, by: Sequence[str] = ("sample_id",), breadth: Col = "breadth_px", area: Col = "area"
 ) -> DataFrame:
     positive = F.when(c(breadth) > 0, c(breadth))
-    found = exact_medians(instances, by, {"median_breadth": positive, "median_area": area}, limit)
+    found = exact_medians(instances, by, {"median_breadth": positive, "median_area": area})
     return found.select(*by, *[F.coalesce(n, F.lit(1.0)).alias(n) for n in ("median_breadth", "median_area")])
 
 
-def instance_flags(
-    instances: DataFrame, by: Sequence[str] = ("sample_id",), limit: int | None = None
-) -> DataFrame:
+def instance_flags(instances: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Touching and uncertain flags from the sample's median area and the box shape."""
     seg = THRESHOLDS["segmentation"]
     kept = F.when(F.col("area") >= seg["min_grain_area_pixels"], F.col("area"))
-    medians = exact_medians(instances, by, {"_typical": kept}, limit)
+    medians = exact_medians(instances, by, {"_typical": kept})
     rows = keyed_join(instances, medians, list(by)).withColumn("_typical", F.coalesce("_typical", F.lit(2000.0)))
     big = F.coalesce(F.try_divide(F.col("area"), F.col("_typical")), F.lit(1.0)) > seg["merge_detection_area_ratio"]
     long = F.greatest("w", "h") > (F.least("w", "h") + 1e-6) * seg["merge_detection_aspect_ratio"]
@@ -118,31 +113,24 @@ def classify_immature(
 
 
 def assign_ids(
-    detections: DataFrame, by: Sequence[str] = ("sample_id",), name: str = "id", tie: str | None = None,
-    limit: int | None = None,
+    detections: DataFrame, by: Sequence[str] = ("sample_id",), name: str = "id", tie: str | None = None
 ) -> DataFrame:
-    """1..n per key by confidence (highest first), then y, then x.
+    """1..n per key by confidence (highest first, null last), then y, then x.
 
-    Large keys are split by confidence; where a slice holds a single confidence (a constant
-    score), it is split further by rows of the image.
+    Keys are split by slices of confidence, and those by equal confidence and rows of the
+    image, so that a constant score spreads, too.
     """
-    by = list(by)
     order = [F.col("confidence").desc(), F.col("y"), F.col("x"), *([F.col(tie)] if tie else [])]
-    steep = F.floor(F.col("confidence") * -4096)
-
-    def with_bands(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_slice", steep)
-        flat = rows.groupBy(*by, "_slice").agg((F.min("confidence") == F.max("confidence")).alias("_flat"))
-        rows = rows.join(flat, [*by, "_slice"])
-        return rows.withColumn("_band", F.when(F.col("_flat"), F.floor(F.col("y") / 64)).otherwise(0))
-
-    bucket = [F.col("_slice"), F.col("_band")]
-    return row_numbers(detections, by, order, bucket, name, limit, prepare=with_bands)
+    sure = F.col("confidence").cast("double")
+    edge = F.lit(2**62)
+    steep = F.floor(F.greatest(F.lit(-(2.0**60)), F.least(F.lit(2.0**60), sure * -4096)))
+    part = F.when(sure.isNull(), edge).when(F.isnan(sure), -edge).otherwise(steep)
+    return row_numbers(detections, list(by), order, [part], name, fine=[-sure, F.floor(F.col("y") / 64)])
 
 
-def assign_ids_by_route(routed: DataFrame, by: Sequence[str] = ("sample_id",), seq: str = "seq", limit: int | None = None) -> DataFrame:
+def assign_ids_by_route(routed: DataFrame, by: Sequence[str] = ("sample_id",), seq: str = "seq") -> DataFrame:
     """Separate counters per route, in detection order."""
-    return row_numbers(routed, [*by, "route"], [F.col(seq)], [F.floor(F.col(seq) / 65536)], "route_id", limit)
+    return row_numbers(routed, [*by, "route"], [F.col(seq)], [F.floor(F.col(seq) / 65536)], "route_id")
 
 
 def detection_counts(routed: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -209,62 +197,91 @@ def split_by_gate(samples: DataFrame, gate: DataFrame, by: Sequence[str] = ("sam
 # --- geometry outliers ------------------------------------------------------
 
 
-def _inverse(cov: pd.Series) -> pd.Series:
-    """Inverse of each flattened, regularised covariance matrix; null when singular."""
+FEATURES = ("length_px", "breadth_px", "lb_ratio", "area", "solidity")
 
-    def one(flat):
-        m = np.asarray(flat, dtype=float).reshape(5, 5)
-        try:
-            return np.linalg.inv(m + np.eye(5) * 1e-6).ravel()
-        except np.linalg.LinAlgError:
-            return None
 
-    return cov.map(one, na_action="ignore")
+def _factor(stats: DataFrame, size: int) -> DataFrame:
+    """Add ``_l..``, the lower triangular factor of the regularised covariances ``_c..``.
 
-
-def geometry_outliers(
+    A matrix that has none (a pivot that is not above 0) gives nulls.
+    """
+    for j in range(size):
+        pivot = F.col(f"_c{j}{j}") + 1e-6
+        for k in range(j):
+            pivot = pivot - F.col(f"_l{j}{k}") * F.col(f"_l{j}{k}")
+        stats = stats.withColumn(f"_l{j}{j}", F.when((pivot > 0) & ~F.isnan(pivot), F.sqrt(pivot)))
+        below = {}
+        for i in range(j + 1, size):
+            rest = F.col(f"_c{j}{i}")
+            for k in range(j):
+                rest = rest - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
+            below[f"_l{i}{j}"] = rest / F.col(f"_l{j}{j}")
+        stats = stats.withColumns(below) if below else stats
+    return stats
+
+
+def geometry_distances(
     instances: DataFrame,
     by: Sequence[str] = ("sample_id",),
-    features: Sequence[Col] = ("length_px", "breadth_px", "lb_ratio", "area", "solidity"),
+    features: Sequence[Col] = FEATURES,
     accepted: Sequence[str] = ("good", "limited"),
     min_n: int = 10,
-    threshold: float = 3.0,
 ) -> DataFrame:
-    """Mahalanobis outliers among accepted, unbroken instances; a diagnostic, never a class.
+    """Accepted, unbroken instances with ``valid_n``, their number, and ``outlier_distance``.
 
-    Means and covariances are algebraic aggregates; only one 5x5 matrix per sample goes
-    through Python, and distances are plain expressions again.
+    The Mahalanobis distance from the sample's mean; null in a sample of fewer than ``min_n``
+    of them or without a usable covariance. Means and covariances are algebraic aggregates;
+    the matrix is factored and the distance found by substitution, all of it in columns.
     """
-    by = list(by)
+    by, size = list(by), len(features)
     fit = F.col("broken_label").isin("whole", "undetermined") & F.col("segmentation_quality").isin(*accepted)
-    f = [f"_f{i}" for i in range(5)]
-    rows = instances.where(fit).select(*by, *[F.coalesce(c(x).cast("double"), F.lit(0.0)).alias(n) for x, n in zip(features, f)])
-    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+    f = [f"_f{i}" for i in range(size)]
+    rows = instances.where(fit).withColumns({n: F.coalesce(c(x).cast("double"), F.lit(0.0)) for x, n in zip(features, f)})
     stats = rows.groupBy(*by).agg(
         F.count("*").alias("valid_n"),
         *[F.avg(n).alias(f"_m{i}") for i, n in enumerate(f)],
-        *[F.covar_samp(f[i], f[j]).alias(f"_c{i}{j}") for i, j in pairs],
-    )
-    flat = F.array(*[F.col(f"_c{min(i, j)}{max(i, j)}") for i in range(5) for j in range(5)])
-    stats = stats.select(
-        *by, "valid_n", *[f"_m{i}" for i in range(5)], F.when(F.col("valid_n") >= min_n, flat).alias("_cov")
+        *[
+            F.when(F.count("*") >= min_n, F.covar_samp(f[i], f[j])).alias(f"_c{i}{j}")
+            for i in range(size)
+            for j in range(i, size)
+        ],
     )
-    enough = stats.where("_cov IS NOT NULL").withColumn(
-        "_inv", F.pandas_udf(_inverse, "array<double>")("_cov")
-    )
-    diff = [F.col(n) - F.col(f"_m{i}") for i, n in enumerate(f)]
+    scored = keyed_join(rows, _factor(stats, size), by)
     square = F.lit(0.0)
-    for i in range(5):
-        for j in range(5):
-            square = square + diff[i] * diff[j] * F.get("_inv", F.lit(5 * i + j))
-    far = F.sqrt(F.greatest(square, F.lit(0.0)))
-    scored = keyed_join(rows, enough.drop("_cov", "valid_n"), by).select(*by, far.alias("_d"))
-    hits = scored.groupBy(*by).agg(
-        F.when(F.count("_d") > 0, F.count_if(F.col("_d") > threshold)).alias("outlier_count"),
-        F.avg(F.when(F.col("_d") > threshold, F.col("_d"))).alias("_far"),
+    for i in range(size):
+        rest = F.col(f[i]) - F.col(f"_m{i}")
+        for k in range(i):
+            rest = rest - F.col(f"_l{i}{k}") * F.col(f"_z{k}")
+        scored = scored.withColumn(f"_z{i}", rest / F.col(f"_l{i}{i}"))
+        square = square + F.col(f"_z{i}") * F.col(f"_z{i}")
+    return scored.select(*instances.columns, "valid_n", F.sqrt(square).alias("outlier_distance"))
+
+
+def outlier_instances(
+    instances: DataFrame, by: Sequence[str] = ("sample_id",), threshold: float = 3.0, **how
+) -> DataFrame:
+    """The instances that ``geometry_outliers`` counts, with their ``outlier_distance``."""
+    found = geometry_distances(instances, by, **how)
+    # A filter would be moved below the steps and spell all of them out; it stays above a generator.
+    once = found.select(*instances.columns, F.explode(F.array("outlier_distance")).alias("outlier_distance"))
+    return once.where(F.col("outlier_distance") > threshold)
+
+
+def geometry_outliers(
+    instances: DataFrame, by: Sequence[str] = ("sample_id",), threshold: float = 3.0, **how
+) -> DataFrame:
+    """Mahalanobis outliers per sample; a diagnostic, never a class.
+
+    ``how``: features, accepted and min_n of ``geometry_distances``.
+    """
+    by, far = list(by), F.col("outlier_distance")
+    hits = geometry_distances(instances, by, **how).groupBy(*by).agg(
+        F.count("*").alias("valid_n"),
+        F.when(F.count(far) > 0, F.count_if(far > threshold)).alias("outlier_count"),
+        F.avg(F.when(far > threshold, far)).alias("_far"),
     )
     totals = instances.groupBy(*by).agg(F.count("*").alias("total_grains"))
-    out = totals.join(stats.select(*by, "valid_n"), by, "left").join(hits, by, "left")
+    out = keyed_join(totals, hits, by, "left")
     valid = F.coalesce("valid_n", F.lit(0))
     reach = F.when(F.col("outlier_count") > 0, F.least(F.lit(1.0), F.col("_far") / threshold)).otherwise(0.5)
     return out.select(

@@ -162,7 +162,7 @@ def link_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 # --- statistics -------------------------------------------------------------
 
 
-def _duration_stats(df: DataFrame, by: Sequence[str], col: str, counts: dict[str, Column], limit: int | None) -> DataFrame:
+def _duration_stats(df: DataFrame, by: Sequence[str], col: str, counts: dict[str, Column]) -> DataFrame:
     """Counts, mean, maximum and exact p50/p95 of whole-millisecond durations."""
     by = list(by)
     df = checkpointed(df)  # reconstructed rows are few beside the events, and read three times
@@ -171,14 +171,14 @@ def _duration_stats(df: DataFrame, by: Sequence[str], col: str, counts: dict[str
         F.coalesce(rnd(F.avg(col)), F.lit(0.0)).alias("avg_duration_ms"),
         F.coalesce(F.max(col), F.lit(0)).cast("long").alias("max_duration_ms"),
     )
-    tails = exact_percentiles(df, by, {"p50": (col, 0.5), "p95": (col, 0.95)}, limit)
+    tails = exact_percentiles(df, by, {"p50": (col, 0.5), "p95": (col, 0.95)})
     joined = base.join(tails, by, "left") if by else base.join(F.broadcast(tails), how="left")
     for p in ("p50", "p95"):
         joined = joined.withColumn(f"{p}_duration_ms", F.coalesce(rnd(p), F.lit(0.0))).drop(p)
     return joined
 
 
-def endpoint_stats(requests: DataFrame, limit: int | None = None) -> DataFrame:
+def endpoint_stats(requests: DataFrame) -> DataFrame:
     """Per route; success needs ``ok`` and a status in [200, 400)."""
     rows = requests.select("route", "ok", "status_code", "duration_ms").withColumn("route", F.coalesce(F.nullif(F.col("route"), F.lit("")), F.lit("/unknown")))
     good = F.col("ok") & F.col("status_code").between(200, 399)
@@ -187,7 +187,6 @@ def endpoint_stats(requests: DataFrame, limit: int | None = None) -> DataFrame:
         ["route"],
         "duration_ms",
         {"request_count": F.count("*"), "success_count": F.count_if(F.coalesce(good, F.lit(False)))},
-        limit,
     )
     return out.withColumns(
         {
@@ -197,10 +196,10 @@ def endpoint_stats(requests: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def request_overview(requests: DataFrame, limit: int | None = None) -> DataFrame:
+def request_overview(requests: DataFrame) -> DataFrame:
     """Service totals; here success is ``ok`` alone."""
     out = _duration_stats(
-        requests.select("ok", "duration_ms"), [], "duration_ms", {"total_requests": F.count("*"), "successful_requests": F.count_if("ok")}, limit
+        requests.select("ok", "duration_ms"), [], "duration_ms", {"total_requests": F.count("*"), "successful_requests": F.count_if("ok")}
     )
     rate = F.coalesce(F.try_divide(F.col("successful_requests").cast("double"), F.col("total_requests")), F.lit(0.0))
     return out.withColumns(
@@ -211,13 +210,12 @@ def request_overview(requests: DataFrame, limit: int | None = None) -> DataFrame
     )
 
 
-def analysis_stats(analyses: DataFrame, limit: int | None = None) -> DataFrame:
+def analysis_stats(analyses: DataFrame) -> DataFrame:
     out = _duration_stats(
         analyses.select("status", "duration_ms"),
         [],
         "duration_ms",
         {"total_analyses": F.count("*"), "successful_analyses": F.count_if(F.col("status") == "success")},
-        limit,
     )
     return out.withColumn("failed_analyses", F.col("total_analyses") - F.col("successful_analyses"))
 

@@ -96,7 +96,7 @@ def sample_reference(
         stats = stats.join(percentiles_of_counts(hist, by, {"sample_median": 0.5}), by)
         if shaped:
             stats = stats.join(
-                exact_medians(part, by, {"med_lb": "lb", "med_solidity": "solidity"}, limit), by
+                exact_medians(part, by, {"med_lb": "lb", "med_solidity": "solidity"}), by
             )
         if units:
             stats = stats.join(part.groupBy(*by).agg(*units), by)

@@ -1,10 +1,10 @@
 """Order statistics and numbering that never put one huge key into one task.
 
-A key (sample, route, request) may hold a third of all rows. Groups are therefore counted
-first. Groups up to ``GROUP_LIMIT`` rows take the direct form: one shuffle and a built-in
-aggregate or window. Larger ones take a form in which rows are counted per (key, bucket),
-the bucket being a monotone function of the ordering; only those counts are accumulated per
-key, and fine-grained work runs inside one bucket. Both forms give the same result.
+A key (sample, route, request) may hold a third of all rows. Rows are therefore counted per
+(key, bucket), the bucket being a monotone function of the ordering; only those counts are
+accumulated per key, and fine-grained work runs inside one bucket. These are plans like any
+other: nothing runs before an action. Operators whose forms for ordinary and huge groups
+differ choose by ``by_group_size``, which counts the groups up to ``GROUP_LIMIT`` rows first.
 """
 
 from __future__ import annotations
@@ -45,7 +45,10 @@ def by_group_size(
 def log_bucket(value: Col, per_octave: int = 4096) -> Column:
     """Monotone bucket of a double, 1/per_octave octave wide: at most a few 100,000 per key."""
     v = c(value).cast("double")
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * per_octave)).cast("long")
+    # Not-a-number is above all numbers; it may share a bucket with infinity.
+    return F.when(F.isnan(v), F.lit(2**63 - 1)).otherwise(
+        (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * per_octave)).cast("long")
+    )
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -66,39 +69,40 @@ def row_numbers(
     order: Sequence[Column],
     bucket: Sequence[Column],
     name: str,
-    limit: int | None = None,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    fine: Sequence[Column] = (),
 ) -> DataFrame:
-    """``row_number() over (partition by by order by order)`` for groups of any size.
+    """``row_number() over (partition by by order by order)``, one plan for groups of any size.
 
-    ``bucket`` columns are non-null and non-decreasing along ``order``, read left to right.
-    ``prepare`` may add columns they need; it is used for large groups only.
+    ``bucket`` columns are non-decreasing along ``order`` (nulls first), read left to right;
+    ``fine`` ones are so inside of one bucket. Rows are counted per key and bucket, only those
+    counts are summed up along the key, and rows are sorted where they share key and bucket.
+    Without ``fine`` columns the counts of a key are one window, with them one per bucket. The
+    input is read twice, the first time only its keys and order. Nothing runs on call.
     """
-
-    def direct(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-
-    def large(rows: DataFrame) -> DataFrame:
-        ready = prepare(rows) if prepare else rows
-        return bucketed_row_number(ready, by, order, bucket, name).select(*df.columns, name)
-
-    return by_group_size(df, by, direct, large, limit)
-
-
-def bucketed_row_number(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Sequence[Column], name: str
-) -> DataFrame:
-    tags = [f"_b{i}" for i in range(len(bucket))]
-    rows = df.withColumns(dict(zip(tags, bucket)))
-    sizes = rows.groupBy(*by, *tags).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(*tags).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, *tags, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    keys = [*by, *tags]
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        keyed_join(rows, starts, keys)
-        .withColumn(name, (F.col("_start") + F.row_number().over(inside)).cast("long"))
-        .drop(*tags, "_start")
+    coarse = {f"_b{i}": column for i, column in enumerate(bucket)}
+    inner = {f"_f{i}": column for i, column in enumerate(fine)}
+    outer_key, key = [*by, *coarse], [*by, *coarse, *inner]
+    rows = df.withColumns(coarse | inner)
+
+    def before(within: Sequence[str], along: Sequence[str]) -> Column:
+        upto = Window.partitionBy(*within).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(upto), F.lit(0))
+
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    totals = sizes.groupBy(*outer_key).agg(F.sum("_n").alias("_n")) if inner else sizes
+    # A structure equals another one with nulls in the same fields, and is never null itself.
+    starts = totals.select(F.struct(*outer_key).alias("_key"), before(by, [*coarse]).alias("_start"))
+    if inner:
+        offsets = sizes.select(
+            F.struct(*key).alias("_fine"), F.struct(*outer_key).alias("_key"), before(outer_key, [*inner]).alias("_offset")
+        )
+        starts = offsets.join(starts, "_key").select(
+            F.col("_fine").alias("_key"), (F.col("_start") + F.col("_offset")).alias("_start")
+        )
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    numbered = rows.withColumn("_key", F.struct(*key)).withColumn(name, place).join(starts, "_key")
+    return numbered.withColumn(name, (F.col(name) + F.col("_start")).cast("long")).select(
+        *[column for column in df.columns if column != name], name
     )
 
 
@@ -129,12 +133,14 @@ def value_counts(df: DataFrame, by: Sequence[str], value: Col) -> DataFrame:
 def percentiles_of_counts(
     counts: DataFrame, by: Sequence[str], probs: Mapping[str, float], per_octave: int = 4096
 ) -> DataFrame:
-    """Linear-interpolation percentiles of (by, v, c) rows by bucket selection; keys non-null.
+    """Linear-interpolation percentiles of (by, v, c) rows by bucket selection.
 
-    ``counts`` is read twice; callers hand in a materialised table.
+    ``counts`` stands in the plan twice: it ends in a shuffle that Spark reuses, or is a table.
+    Null values count for nothing but keep their key: without other values its answer is null.
     """
+    key = [*by, "_b"]
     rows = counts.withColumn("_b", log_bucket("v", per_octave))
-    sizes = rows.groupBy(*by, "_b").agg(F.sum("c").alias("_n"))
+    sizes = rows.groupBy(*key).agg(F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("_n"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     sizes = sizes.withColumns({"_end": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)})
@@ -145,14 +151,15 @@ def percentiles_of_counts(
     # Keep only the buckets that hold a wanted rank: at most two per probability and key.
     picked = (
         sizes.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end"))))
-        .where(F.size("_ranks") > 0)
-        .select(*by, "_b", "_total", "_ranks", (F.col("_end") - F.col("_n")).alias("_start"))
+        .where((F.size("_ranks") > 0) | F.col("_b").isNull())
+        .select(F.struct(*key).alias("_key"), "_total", "_ranks", (F.col("_end") - F.col("_n")).alias("_start"))
     )
-    fine = Window.partitionBy(*by, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = keyed_join(rows, picked, [*by, "_b"]).withColumn("_upto", F.col("_start") + F.sum("c").over(fine))
+    fine = Window.partitionBy("_key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hits = rows.withColumn("_key", F.struct(*key)).join(picked, "_key")
+    hits = hits.withColumn("_upto", F.col("_start") + F.sum("c").over(fine))
     hits = hits.withColumn(
         "_ranks", F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("c")) & (r < F.col("_upto")))
-    ).where(F.size("_ranks") > 0)
+    ).where((F.size("_ranks") > 0) | F.col("v").isNull())
 
     def at(rank: Column) -> Column:
         return F.max(F.when(F.array_contains("_ranks", rank), F.col("v")))
@@ -165,39 +172,28 @@ def percentiles_of_counts(
     def mix(name: str, p: float) -> Column:
         share = last * float(p) - F.floor(last * float(p))
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        return F.when(share == 0.5, (low + high) / 2.0).otherwise(low + (high - low) * share)
+        return F.when(low == high, low).when(share == 0.5, (low + high) / 2.0).otherwise(low + (high - low) * share)
 
     return found.select(*by, *[mix(name, p).alias(name) for name, p in probs.items()])
 
 
-def exact_percentiles(
-    df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[Col, float]], limit: int | None = None
-) -> DataFrame:
-    """Exact percentiles of several columns per key: ``{name: (column, probability)}``."""
-    by = list(by)
-
-    def direct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*by).agg(
-            *[F.percentile(c(col).cast("double"), F.lit(float(p))).alias(name) for name, (col, p) in wanted.items()]
-        )
+def exact_percentiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[Col, float]]) -> DataFrame:
+    """Exact percentiles of several columns per key: ``{name: (column, probability)}``.
 
-    def selected(rows: DataFrame) -> DataFrame:
-        entries = [
-            F.struct(F.lit(name).alias("metric"), c(col).cast("double").alias("v")) for name, (col, _) in wanted.items()
-        ]
-        long = rows.select(*by, F.explode(F.array(*entries)).alias("_m")).select(*by, "_m.metric", "_m.v")
-        counts = checkpointed(value_counts(long, [*by, "metric"], "v"))
-        tagged = {f"p{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
-        tag_of = {p: tag for tag, p in tagged.items()}
-        found = percentiles_of_counts(counts, [*by, "metric"], tagged)
-        out = found.groupBy(*by).agg(
-            *[F.max(F.when(F.col("metric") == name, F.col(tag_of[p]))).alias(name) for name, (_, p) in wanted.items()]
-        )
-        # A key whose values are all null has a row, too.
-        return keyed_join(rows.select(*by).distinct(), out, by, "left") if by else out
-
-    return by_group_size(df, by, direct, selected, limit)
+    One plan for groups of any size, and nothing runs on call: the input is read once into
+    counts of (key, column, value), whose shuffle serves the histogram of buckets that finds
+    the buckets of the wanted ranks as well as the values inside of those.
+    """
+    by, probs = list(by), sorted({p for _, p in wanted.values()})
+    tag_of = {p: f"p{i}" for i, p in enumerate(probs)}
+    entries = [F.struct(F.lit(i).alias("m"), c(col).cast("double").alias("v")) for i, (col, _) in enumerate(wanted.values())]
+    long = df.select(*by, F.explode(F.array(*entries)).alias("_e")).select(*by, F.col("_e.m").alias("_m"), F.col("_e.v").alias("v"))
+    counts = long.groupBy(*by, "_m", "v").agg(F.count("*").alias("c"))
+    found = percentiles_of_counts(counts, [*by, "_m"], {tag: p for p, tag in tag_of.items()})
+    return found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_m") == i, F.col(tag_of[p]))).alias(name) for i, (name, (_, p)) in enumerate(wanted.items())]
+    )
 
 
-def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, Col], limit: int | None = None) -> DataFrame:
-    return exact_percentiles(df, by, {name: (col, 0.5) for name, col in values.items()}, limit)
+def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, Col]) -> DataFrame:
+    return exact_percentiles(df, by, {name: (col, 0.5) for name, col in values.items()})

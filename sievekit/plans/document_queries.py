@@ -152,8 +152,9 @@ def next_run_numbers(spark, sf_dir):
     runs = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("run_at"))
     old = T.table(spark, sf_dir, "part").select(F.concat(F.format_string("%03d", "p_size"), F.lit("_01_01_26")).alias("run_id"))
     order = [F.col("run_at"), F.col("run")]
-    # Days are the buckets; within a day the order key decides.
-    return SK.next_run_numbers(runs, old, order, [F.to_date("run_at")]).select("run", "run_id")
+    # Days are the buckets; a day is split by ranges of the order key.
+    numbered = SK.next_run_numbers(runs, old, order, [F.to_date("run_at")], [F.floor(F.col("run") / 65536)])
+    return numbered.select("run", "run_id")
 
 
 @query(

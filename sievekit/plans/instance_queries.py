@@ -400,31 +400,50 @@ _OUT_LABEL = "CASE WHEN l_suppkey % 6 = 0 THEN 'broken' WHEN l_suppkey % 6 = 1 T
 _OUT_QUALITY = "CASE WHEN l_orderkey % 5 = 0 THEN 'excellent' WHEN l_orderkey % 5 < 3 THEN 'good' ELSE 'limited' END"
 
 
-@query(
-    "geometry_outliers",
-    f"""{INST}, lab AS (SELECT *, {_OUT_LABEL} AS broken_label, {_OUT_QUALITY} AS segmentation_quality,
+_OUTLIER_CTE = f"""{INST}, lab AS (SELECT *, {_OUT_LABEL} AS broken_label, {_OUT_QUALITY} AS segmentation_quality,
   CASE WHEN l_linenumber = 7 AND l_suppkey % 5 = 0 THEN length_px * 2.5 ELSE length_px END AS len FROM instances),
-fit AS (SELECT sample_id, len AS f0, breadth_px AS f1, len / breadth_px AS f2, CAST(area AS DOUBLE) AS f3, solidity AS f4 FROM lab
+fit AS (SELECT sample_id, l_orderkey, l_linenumber, len AS f0, breadth_px AS f1, len / breadth_px AS f2, CAST(area AS DOUBLE) AS f3, solidity AS f4 FROM lab
   WHERE broken_label <> 'broken' AND segmentation_quality <> 'excellent'),
 valid AS (SELECT sample_id, count(*) AS valid_n FROM fit GROUP BY sample_id),
 cov AS (SELECT sample_id, {_MEANS}, {_COV} FROM fit GROUP BY sample_id HAVING count(*) >= 10),
 {_cholesky_sql()},
-hits AS (SELECT sample_id, count(*) FILTER (WHERE sqrt(z0*z0 + z1*z1 + z2*z2 + z3*z3 + z4*z4) > 3) AS outlier_count FROM z4_t GROUP BY sample_id),
+far AS (SELECT *, sqrt(z0*z0 + z1*z1 + z2*z2 + z3*z3 + z4*z4) AS d FROM z4_t)"""
+
+
+def _outlier_input(spark, sf_dir):
+    rows = T.instances(spark, sf_dir).withColumns(
+        {"broken_label": F.expr(_OUT_LABEL), "segmentation_quality": F.expr(_OUT_QUALITY)}
+    )
+    stretched = F.when((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 5 == 0), F.col("length_px") * 2.5)
+    rows = rows.withColumn("length_px", F.coalesce(stretched, "length_px"))
+    return rows.withColumn("lb_ratio", F.col("length_px") / F.col("breadth_px"))
+
+
+@query(
+    "outlier_instances",
+    f"""{_OUTLIER_CTE}
+SELECT sample_id, l_orderkey, l_linenumber, {r('f0')} AS length_px, {r('d', 2)} AS outlier_distance FROM far WHERE d > 3""",
+)
+def outlier_instances(spark, sf_dir):
+    return I.outlier_instances(_outlier_input(spark, sf_dir)).select(
+        "sample_id", "l_orderkey", "l_linenumber", R.rnd("length_px", 4).alias("length_px"),
+        R.rnd("outlier_distance", 2).alias("outlier_distance"),
+    )
+
+
+@query(
+    "geometry_outliers",
+    f"""{_OUTLIER_CTE},
+hits AS (SELECT sample_id, count(*) FILTER (WHERE d > 3) AS outlier_count, avg(d) FILTER (WHERE d > 3) AS mean_far FROM far GROUP BY sample_id),
 totals AS (SELECT sample_id, count(*) AS total_grains FROM lab GROUP BY sample_id)
 SELECT t.sample_id, total_grains, coalesce(valid_n, 0) AS valid_grains_used, outlier_count,
   CASE WHEN outlier_count IS NULL THEN 'insufficient_data' ELSE 'diagnostic_only' END AS outlier_status,
-  {r('outlier_count::DOUBLE / valid_n')} AS outlier_fraction
+  {r('outlier_count::DOUBLE / valid_n')} AS outlier_fraction,
+  CASE WHEN outlier_count IS NOT NULL THEN {r('least(1.0::DOUBLE, valid_n / 50.0::DOUBLE) * CASE WHEN outlier_count > 0 THEN least(1.0::DOUBLE, mean_far / 3) ELSE 0.5::DOUBLE END')} END AS outlier_score
 FROM totals t LEFT JOIN valid v ON t.sample_id = v.sample_id LEFT JOIN hits h ON t.sample_id = h.sample_id""",
 )
 def geometry_outliers(spark, sf_dir):
-    rows = T.instances(spark, sf_dir).withColumns(
-        {"broken_label": F.expr(_OUT_LABEL), "segmentation_quality": F.expr(_OUT_QUALITY)}
-    )
-    stretched = F.when((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 5 == 0), F.col("length_px") * 2.5)
-    rows = rows.withColumn("length_px", F.coalesce(stretched, "length_px")).withColumn(
-        "lb_ratio", F.col("length_px") / F.col("breadth_px")
-    )
-    return I.geometry_outliers(rows).drop("outlier_score", "admixture_status")
+    return I.geometry_outliers(_outlier_input(spark, sf_dir)).drop("admixture_status")
 
 
 # --- quality tier and screening ---------------------------------------------

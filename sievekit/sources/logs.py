@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.functions.rules import Col, c, event_time
-from sievekit.operators.scaling import bucketed_row_number
+from sievekit.operators.scaling import row_numbers
 from sievekit.schemas import LOG_FIELDS
 
 
@@ -96,8 +96,8 @@ def scan_logs(spark: SparkSession, directory: str, max_records: int | None = Non
     events = events.withColumn("seq", F.col("place"))
     if max_records is None:
         return events
-    place = [F.col("place.file_seq"), F.col("place.file"), F.col("place.block")]
-    ranked = bucketed_row_number(events, [], [F.col("place")], place, "_rank")
+    file = [F.col("place.file_seq"), F.col("place.file")]
+    ranked = row_numbers(events, [], [F.col("place")], file, "_rank", fine=[F.col("place.block")])
     return ranked.where(F.col("_rank") <= max_records).drop("_rank")
 
 

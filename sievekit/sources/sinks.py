@@ -115,11 +115,16 @@ def archive_runs(runs: DataFrame, path: str, blob: str = "annotated_image") -> N
     runs.drop(blob).withColumn("run_date", F.to_date("run_at")).write.mode("append").partitionBy("run_date").parquet(path)
 
 
-def next_run_numbers(runs: DataFrame, existing: DataFrame, order: Sequence[Column], bucket: Sequence[Column], limit: int | None = None) -> DataFrame:
-    """Number new runs after the highest existing one: ``NNN_dd_MM_yy``."""
+def next_run_numbers(
+    runs: DataFrame, existing: DataFrame, order: Sequence[Column], bucket: Sequence[Column], fine: Sequence[Column] = ()
+) -> DataFrame:
+    """Number new runs after the highest existing one: ``NNN_dd_MM_yy``.
+
+    ``bucket`` and ``fine`` follow ``order``, as for ``row_numbers``: days, and what splits one.
+    """
     number = F.regexp_extract("run_id", r"^(\d+)_", 1).try_cast("bigint")
     top = existing.agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
-    rows = row_numbers(runs, [], order, bucket, "_n", limit).join(F.broadcast(top))
+    rows = row_numbers(runs, [], order, bucket, "_n", fine).join(F.broadcast(top))
     n = (F.col("_top") + F.col("_n")).cast("string")
     # Three digits at least; longer numbers are kept whole.
     padded = F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)
