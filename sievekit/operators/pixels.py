@@ -173,9 +173,10 @@ def clipping(pixels: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame
 
 
 def illumination_uniformity(
-    pixels: DataFrame, images: DataFrame, by: Sequence[str] = ("sample_id",), min_block: int = 32
+    pixels: DataFrame, images: DataFrame, by: Sequence[str] = ("sample_id",), min_block: int = 32,
+    far_edge: bool = True,
 ) -> DataFrame:
-    """1 minus the spread of block means; blocks that touch the far edge are not used."""
+    """1 minus the spread of block means; ``far_edge`` decides on blocks at the right and lower edge."""
     side = F.greatest(F.lit(min_block), F.floor(F.least("image_w", "image_h") / 8)).cast("int")
     frames = images.select(*by, "image_w", "image_h", side.alias("block"))
     rows = with_gray(pixels.where("mask")).join(frames, list(by))
@@ -183,7 +184,7 @@ def illumination_uniformity(
     inside = (F.col("bx") * F.col("block") < F.col("image_w") - F.col("block")) & (
         F.col("by_") * F.col("block") < F.col("image_h") - F.col("block")
     )
-    means = rows.where(inside).groupBy(*by, "bx", "by_").agg(F.avg("gray").alias("m"))
+    means = (rows if far_edge else rows.where(inside)).groupBy(*by, "bx", "by_").agg(F.avg("gray").alias("m"))
     spread = means.groupBy(*by).agg(F.stddev_pop("m").alias("s"))
     score = 1.0 - F.least(F.lit(1.0), F.col("s") / 50.0)
     return images.select(*by).join(spread, list(by), "left").select(

@@ -127,12 +127,16 @@ def clipping(spark, sf_dir):
 
 @query(
     "illumination_uniformity",
-    f"""{PIX}, m AS (SELECT instance_id, floor(x / 2) AS bx, floor(y / 2) AS yb, avg(gray) AS m FROM pixels WHERE mask AND floor(x / 2) < 3 AND floor(y / 2) < 3 GROUP BY ALL)
-SELECT instance_id, {r('1 - least(1.0, stddev_pop(m) / 50)')} AS illumination FROM m GROUP BY instance_id""",
+    f"""{PIX}, m AS (SELECT instance_id, floor(x / 2) AS bx, floor(y / 2) AS yb, avg(gray) AS m FROM pixels WHERE mask GROUP BY ALL)
+SELECT instance_id, {r('1 - least(1.0, stddev_pop(m) / 50)')} AS illumination,
+  {r('coalesce(1 - least(1.0, stddev_pop(m) FILTER (WHERE bx < 3 AND yb < 3) / 50), 0.5)')} AS inner_illumination FROM m GROUP BY instance_id""",
 )
 def illumination_uniformity(spark, sf_dir):
     images = T.table(spark, sf_dir, "embeddings").selectExpr("vec_id AS instance_id", "8 AS image_w", "8 AS image_h")
-    return PX.illumination_uniformity(T.pixels(spark, sf_dir), images, ("instance_id",), min_block=2)
+    pixels, by = T.pixels(spark, sf_dir), ("instance_id",)
+    inner = PX.illumination_uniformity(pixels, images, by, min_block=2, far_edge=False)
+    every = PX.illumination_uniformity(pixels, images, by, min_block=2)
+    return every.join(inner.withColumnRenamed("illumination", "inner_illumination"), "instance_id")
 
 
 def _lap_sql(value: str) -> str:
