@@ -1,26 +1,33 @@
 """Boxes and masks of one sample against each other: overlap, greedy selection, tiles.
 
 Greedy selection is order dependent: an item stays unless a better one that stays overlaps it
-too much. Samples within the group limit are folded in one task. Larger ones run in rounds
-over "places" (grid cells of a box, pixels of a mask): an item that is the best in all its
-places is safe to keep, and only the one best item of a place can remove others there. No
-pairs are formed, copies vanish in the round their best one wins, and the result is exactly
-that of the fold.
+too much. Samples within the group limit are folded in one task. Boxes of larger ones are folded
+tile by tile: what a tile alone can decide is decided there, and only boxes that hang on a
+neighbouring tile wait for the next round, in which tiles are as large as the rest allows. Masks
+of larger samples run in rounds over pixels, of which only the one best mask removes others. No
+pairs are formed, and the result is exactly that of the fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.functions.rules import box_iou
-from sievekit.operators.scaling import by_group_size, row_numbers
+from sievekit.operators.scaling import by_group_size, keyed_join, row_numbers
 from sievekit.session import checkpointed
 
 # Boxes of one sample that a single task may fold (the fold is quadratic).
 FOLD_LIMIT = 2_000
+# Boxes that one tile should hold at most, and that it compares as undecided ones.
+TILE_LIMIT = 4_000
+# Tile sides to choose from, in pixels.
+TILE_SIDES = tuple(256 << i for i in range(0, 16, 2))
 BOX = ("x", "y", "w", "h")
 
 
@@ -63,6 +70,113 @@ def _too_close(strict: bool, iou: Column, threshold: float) -> Column:
     return iou > threshold if strict else iou >= threshold
 
 
+def _tiled(boxes: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """A row per tile (``side, tx, ty``) that a box reaches into, and whether it is the box's only one.
+
+    Every group has the largest tiles that hold at most ``limit`` boxes, by their first corners.
+    """
+    corner = boxes.select(*by, "x", "y", F.explode(F.lit(list(TILE_SIDES))).alias("side"))
+    full = corner.groupBy(*by, "side", F.floor(F.col("x") / F.col("side")), F.floor(F.col("y") / F.col("side"))).agg(
+        F.count("*").alias("n")
+    )
+    crowd = full.groupBy(*by, "side").agg(F.max("n").alias("n"))
+    sides = crowd.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("n") <= limit, F.col("side"))), F.lit(TILE_SIDES[0])).alias("side"))
+
+    def reached(start: str, length: str) -> Column:
+        last = F.greatest(F.col(start), F.ceil(F.col(start) + F.col(length)) - 1)
+        return F.sequence(F.floor(F.col(start) / F.col("side")), F.floor(last / F.col("side")))
+
+    tiles = keyed_join(boxes, sides, by).withColumns({"tx": reached("x", "w"), "ty": reached("y", "h")})
+    tiles = tiles.withColumn("alone", (F.size("tx") == 1) & (F.size("ty") == 1))
+    return tiles.withColumn("tx", F.explode("tx")).withColumn("ty", F.explode("ty"))
+
+
+class _Tile:
+    """Boxes of one tile in rank order: those that surely stay, and those that may."""
+
+    def __init__(self, threshold: float, strict: bool, limit: int):
+        self.threshold, self.strict, self.limit = threshold, strict, limit
+        self.sure, self.maybe = np.zeros((0, 4)), np.zeros((0, 4))
+        self.n_sure = self.n_maybe = 0
+
+    def _near(self, kept: np.ndarray, b: np.ndarray) -> bool:
+        over = np.minimum(kept[:, :2] + kept[:, 2:], b[:2] + b[2:]) - np.maximum(kept[:, :2], b[:2])
+        shared = np.prod(np.maximum(over, 0), axis=1)
+        meet = shared > 0
+        shared = shared[meet]
+        iou = shared / (kept[meet, 2] * kept[meet, 3] + b[2] * b[3] - shared)
+        return bool((iou > self.threshold if self.strict else iou >= self.threshold).any())
+
+    def judge(self, b: np.ndarray, alone: bool, stays: bool) -> int:
+        """0: goes; 1: nothing in this tile is against it; 2: hangs on a box that may stay."""
+        if not stays:
+            if self._near(self.sure[: self.n_sure], b):
+                return 0
+            # With too many undecided ones the rest waits uncompared; the next round has fewer.
+            if self.n_maybe >= self.limit or self._near(self.maybe[: self.n_maybe], b):
+                self._add("maybe", b)
+                return 2
+        self._add("sure" if stays or alone else "maybe", b)
+        return 1
+
+    def _add(self, name: str, b: np.ndarray) -> None:
+        n, rows = getattr(self, f"n_{name}"), getattr(self, name)
+        if name == "maybe" and n >= self.limit:
+            return
+        if n == len(rows):
+            rows = np.concatenate([rows, np.zeros((max(64, n), 4))])
+            setattr(self, name, rows)
+        rows[n] = b
+        setattr(self, f"n_{name}", n + 1)
+
+
+def _tile_rounds(boxes: DataFrame, by: list[str], threshold: float, strict: bool, limit: int) -> DataFrame:
+    """(by, id) of the boxes (by, rank, BOX) that the greedy selection keeps.
+
+    A round streams every tile in rank order through a task that holds the tile's kept boxes and
+    at most ``limit`` undecided ones. A box that lies in one tile and has nothing against it is
+    kept at once; one that lies in several is kept if none of them has anything against it, and
+    removes others in the next round. The best box left is always decided, so rounds end.
+    """
+    state, kept = boxes.withColumn("stays", F.lit(False)), []
+    names = [*by, "rank", *BOX, "stays", "alone"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = None
+        for batch in batches:
+            sides = [batch.column(batch.schema.get_field_index(f"_{k}")).to_numpy(zero_copy_only=False) for k in BOX]
+            flags = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("alone", "stays", "first")]
+            found = []
+            for b, alone, stays, first in zip(np.column_stack(sides).astype(float), *flags):
+                if first:
+                    tile = _Tile(threshold, strict, limit)
+                found.append(tile.judge(b, alone, stays))
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int32())], [*names, "verdict"])
+
+    while True:
+        tiles = _tiled(state, by, limit)
+        own = Window.partitionBy(*by, "tx", "ty").orderBy("rank")
+        rows = tiles.select(*names, *[F.col(k).cast("double").alias(f"_{k}") for k in BOX], (F.row_number().over(own) == 1).alias("first"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
+        judged = rows.mapInArrow(judge, f"{schema}, verdict int").groupBy(*by, "rank").agg(
+            *[F.first(k).alias(k) for k in (*BOX, "stays", "alone")],
+            F.when(F.min("verdict") == 0, 0).otherwise(F.max("verdict")).alias("verdict"),
+        )
+        done = checkpointed(judged.where("verdict > 0"))
+        kept.append(done.where("verdict = 1 AND NOT stays").select(*by, F.col("rank.id").alias("id")))
+        if done.where("verdict = 2").isEmpty():
+            break
+        # Boxes of one tile have removed all they can; those of several act once more.
+        state = done.where("verdict = 2 OR NOT (stays OR alone)").select(
+            *by, "rank", *BOX, (F.col("verdict") == 1).alias("stays")
+        )
+    result = kept[0]
+    for more in kept[1:]:
+        result = result.unionByName(more)
+    return result
+
+
 def _rounds(places: DataFrame, by: list[str], place: list[str], conflicts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Keys of the items kept. ``places``: by, rank (struct ending in id), place columns, payload.
 
@@ -135,9 +249,9 @@ def greedy_boxes(
         fixed = part.where(~F.col("rank.free"))
         free = part.where(F.col("rank.free"))
         empty = free.where((F.col("w") <= 0) | (F.col("h") <= 0))
-        # Of equal boxes only the best can stay, whatever else happens.
         solid = free.where((F.col("w") > 0) & (F.col("h") > 0))
-        solid = solid.groupBy(*by, *BOX).agg(F.min("rank").alias("rank")).select(*by, "rank", *BOX)
+        if threshold < 1.0 or not strict:  # of equal boxes only the best can stay, whatever else happens
+            solid = solid.groupBy(*by, *BOX).agg(F.min("rank").alias("rank")).select(*by, "rank", *BOX)
         if pinned:
             walls = with_cells(fixed.select(*by, *BOX).distinct(), size)
             walls = walls.withColumnsRenamed({k: f"t_{k}" for k in [*BOX, *by, "cell_x", "cell_y"]})
@@ -148,11 +262,7 @@ def greedy_boxes(
             hit = hit.select(*by, "rank").distinct()
             solid = solid.join(hit, [*by, "rank"], "left_anti")
 
-        def clash(rows: DataFrame) -> DataFrame:
-            iou = box_iou(*BOX, *[f"t_{k}" for k in BOX])
-            return rows.where(_too_close(strict, iou, threshold)).select(*by, F.col("rank.id").alias("id"))
-
-        won = _rounds(with_cells(solid, size), by, ["cell_x", "cell_y"], clash)
+        won = _tile_rounds(solid, by, threshold, strict, TILE_LIMIT)
         always = fixed.unionByName(empty).select(*by, F.col("rank.id").alias("id"))
         return won.unionByName(always).withColumnRenamed("id", key)
 
@@ -169,19 +279,42 @@ def greedy_nms(
     return detections.join(kept, [*by, key], "left_semi")
 
 
+def _fold_masks(pixels: DataFrame, by: list[str], key: str, threshold: float) -> DataFrame:
+    """The masks kept of samples that fit a task, folded in rank order."""
+    order = Window.partitionBy(*by).orderBy(-F.col("confidence"), key)
+    ranked = pixels.select(*by, key, "x", "y", F.dense_rank().over(order).alias("_rank"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = pdf.groupby(["x", "y"], sort=False).ngroup().to_numpy()
+        owners: list[list[int]] = [[] for _ in range(place.max() + 1)]
+        areas: list[int] = []
+        kept = []
+        for _, rows in pdf.assign(_place=place).groupby("_rank", sort=True):
+            own = rows["_place"].to_numpy()
+            shared = np.bincount([k for at in own for k in owners[at]], minlength=len(areas))
+            if (shared / (np.array(areas) + len(own) - shared) > threshold).any():
+                continue
+            for at in own:
+                owners[at].append(len(areas))
+            areas.append(len(own))
+            kept.append(rows.index[0])
+        return pdf.loc[kept, [*by, key]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*by, key).schema.fields)
+    return ranked.groupBy(*by).applyInPandas(fold, schema)
+
+
 def greedy_mask_nms(
-    pixels: DataFrame, by: Sequence[str] = ("sample_id",), key: str = "instance_id", threshold: float = 0.5
+    pixels: DataFrame, by: Sequence[str] = ("sample_id",), key: str = "instance_id", threshold: float = 0.5,
+    limit: int | None = None,
 ) -> DataFrame:
     """(by, key) of the masks that survive, by confidence, at mask IoU above t.
 
-    ``pixels``: by, key, confidence, x, y of mask pixels, unique. Always in rounds: a pixel is
-    a place, and overlap is the number of pixels shared with the one winner there.
+    ``pixels``: by, key, confidence, x, y of mask pixels, unique. Samples of at most ``limit``
+    pixels are folded in a task. Larger ones run in rounds: a pixel is a place, and overlap is
+    the number of pixels shared with the one winner there.
     """
     by = list(by)
-    area = pixels.groupBy(*by, key).agg(F.count("*").alias("area"))
-    places = pixels.join(area, [*by, key]).select(
-        *by, F.struct((-F.col("confidence")).alias("o"), F.col(key).alias("id")).alias("rank"), "area", "x", "y"
-    )
 
     def clash(rows: DataFrame) -> DataFrame:
         shared = rows.groupBy(*by, F.col("rank.id").alias("id"), F.col("t_rank.id").alias("w")).agg(
@@ -190,7 +323,14 @@ def greedy_mask_nms(
         iou = F.try_divide(F.col("n").cast("double"), F.col("a") + F.col("b") - F.col("n"))
         return shared.where(iou > threshold).select(*by, "id")
 
-    return _rounds(places, by, ["x", "y"], clash).withColumnRenamed("id", key)
+    def rounds(part: DataFrame) -> DataFrame:
+        area = part.groupBy(*by, key).agg(F.count("*").alias("area"))
+        places = part.join(area, [*by, key]).select(
+            *by, F.struct((-F.col("confidence")).alias("o"), F.col(key).alias("id")).alias("rank"), "area", "x", "y"
+        )
+        return _rounds(places, by, ["x", "y"], clash).withColumnRenamed("id", key)
+
+    return by_group_size(pixels, by, lambda part: _fold_masks(part, by, key, threshold), rounds, limit)
 
 
 def merge_by_iou(

@@ -72,7 +72,48 @@ def test_merge_keeps_base_and_order(spark, limit):
     assert sorted(tuple(r) for r in got.select("sample_id", "foreign_id", "origin", "seq").collect()) == sorted(want)
 
 
-def test_mask_nms(spark):
+def greedy(rows, threshold):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if all(iou(r[3:], k[3:]) <= threshold for k in kept):
+            kept.append(r)
+    return {r[1] for r in kept}
+
+
+def test_nms_over_many_tiles(spark, monkeypatch):
+    """Boxes across tile borders, boxes larger than a tile, tiles with more undecided boxes than they compare."""
+    monkeypatch.setattr(B, "TILE_LIMIT", 12)
+    monkeypatch.setattr(B, "TILE_SIDES", (32, 64, 128))
+    rng = random.Random(7)
+    rows = [
+        ("s", i, rng.randrange(6) / 8, rng.randrange(-90, 200), rng.randrange(150), rng.randrange(4, 150), rng.randrange(4, 60))
+        for i in range(260)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["id"] for r in B.greedy_nms(df, threshold=0.2, limit=5).collect()}
+    assert got == greedy(rows, 0.2)
+
+
+def test_chain_ends_in_few_jobs(spark):
+    """Every box hangs on the one before it; the rounds follow tiles, not the chain."""
+    rows = [("s", i, 1.0 - i / 8192, 6 * i, 0, 10, 10) for i in range(5000)]
+    tracker, group = spark.sparkContext.statusTracker(), "box-chain"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {r["id"] for r in B.greedy_nms(spark.createDataFrame(rows, SCHEMA), threshold=0.2).collect()}
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == set(range(0, 5000, 2))
+    assert jobs < 40, jobs
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_equal_boxes_stay_at_threshold_one(spark, limit):
+    rows = [("s", i, 0.5, 3, 3, 9, 9) for i in range(4)] + [("s", 9, 0.9, 5, 5, 9, 9)]
+    assert B.greedy_nms(spark.createDataFrame(rows, SCHEMA), threshold=1.0, limit=limit).count() == 5
+
+
+@pytest.mark.parametrize("limit", [None, 10])
+def test_mask_nms(spark, limit):
     rng = random.Random(5)
     masks = {i: {(rng.randrange(6), rng.randrange(6)) for _ in range(20)} for i in range(30)}
     masks[30] = masks[31] = masks[32] = masks[3]
@@ -83,7 +124,7 @@ def test_mask_nms(spark):
             kept.append(i)
     rows = [("s", i, conf[i], x, y) for i, m in masks.items() for x, y in m]
     df = spark.createDataFrame(rows, "sample_id string, instance_id long, confidence double, x int, y int")
-    assert sorted(r["instance_id"] for r in B.greedy_mask_nms(df).collect()) == sorted(kept)
+    assert sorted(r["instance_id"] for r in B.greedy_mask_nms(df, limit=limit).collect()) == sorted(kept)
 
 
 def test_keep_overlapping(spark):
