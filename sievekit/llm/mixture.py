@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievekit.session import checkpointed
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -103,19 +106,39 @@ def plan(sizes: Sequence[tuple[str | None, int]], wanted: Sequence[float], block
     return found
 
 
-def _split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """A multinomial draw of ``take`` slots, given that all draws together make ``counts``."""
-    out, left = np.zeros_like(counts), int(counts.sum())
-    for i, k in enumerate(counts.tolist()):
-        other = left - k
-        if k and take:
-            if left < 10**9:
-                x = int(rng.hypergeometric(k, other, take)) if other else take
-            else:  # too many for the exact law: a binomial draw within what is possible
-                x = min(max(int(rng.binomial(take, k / left)), take - other), k, take)
-            out[i], take = x, take - x
-        left = other
-    return out
+def _drawn_of(good: int, other: int, take: int, u: float) -> int:
+    """How many of ``take`` draws without return are among ``good``: the hypergeometric law by inversion.
+
+    Chances come from their ratios, outward from the likeliest value. What lies more than 12 standard
+    deviations and 40 from it is below the precision of a double.
+    """
+    low, high = max(0, take - other), min(good, take)
+    total = good + other
+    mode = min(max((take + 1) * (good + 1) // (total + 2), low), high)
+    spread = (take * (good / total) * (other / total) * ((total - take) / max(total - 1, 1))) ** 0.5
+    reach = int(12 * spread) + 40
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    rise = np.log(good - up) + np.log(take - up) - np.log(up + 1) - np.log(other - take + up + 1)
+    fall = np.log(down) + np.log(other - take + down) - np.log(good - down + 1) - np.log(take - down + 1)
+    chance = np.exp(np.concatenate([np.cumsum(fall)[::-1], [0.0], np.cumsum(rise)]))
+    below = np.cumsum(chance)
+    return mode - len(down) + int(np.searchsorted(below, u * below[-1], side="right"))
+
+
+@lru_cache(maxsize=1 << 14)
+def _split(counts: tuple[int, ...], take: int, seed: tuple[int, ...]) -> tuple[int, ...]:
+    """A multinomial draw of ``take`` slots, given that all draws together make ``counts``.
+
+    One law for all sizes. Shards of a task share most halves above them, hence the cache.
+    """
+    rng = np.random.default_rng(seed)
+    out, left = [], sum(counts)
+    for k in counts:
+        x = _drawn_of(k, left - k, take, rng.random()) if k and take else 0
+        out.append(x)
+        take, left = take - x, left - k
+    return tuple(out)
 
 
 def shard_counts(counts: np.ndarray, shard: int, shards: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +150,8 @@ def shard_counts(counts: np.ndarray, shard: int, shards: int, size: int, seed: i
     low, high, start = 0, shards, np.zeros_like(counts)
     while high - low > 1:
         middle = (low + high) // 2
-        left = _split(counts, (middle - low) * size, np.random.default_rng([seed, low, high]))
+        drawn = _split(tuple(counts.tolist()), (middle - low) * size, (seed, low, high))
+        left = np.array(drawn, np.int64)
         if shard < middle:
             counts, high = left, middle
         else:
@@ -151,12 +175,14 @@ def mixing_plan(
     block: int = 64,
     shard_slots: int = 4096,
     seed: int = 11,
+    with_text: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """The laid-out records and the drawn slots of a mix; see ``mix_sources``.
 
     Records: ``key, source, text, number, size, source_size, target, start`` (``start``: place
     of the first word among the words of its source). Slots: ``shard, place, number, block,
     take``; ``take`` words of that block of that source, all but for the last slot of a source.
+    Without ``with_text`` the texts are read once, for sizes and places, and left out of the records.
     """
     spark = records.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
@@ -164,6 +190,8 @@ def mixing_plan(
         F.col(key).alias("key"), F.col(source).cast("string").alias("source"), value.alias("text"),
         F.regexp_count(value, F.lit(_WORD)).cast("long").alias("size"),
     ).withColumn("mark", F.xxhash64("key", "text"))
+    if not with_text:
+        rows = checkpointed(rows.drop("text"))
     totals = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     sizes = sorted(((r["source"], r["n"]) for r in totals), key=lambda x: (x[0] is None, x[0] or ""))
     sources = plan(sizes, targets(sizes, weights, share, most), block, seed)
@@ -182,7 +210,7 @@ def mixing_plan(
     before = Window.partitionBy("number", "bucket").orderBy("mark", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(heights, ["number", "bucket"])
     laid = laid.select(
-        "key", "source", "text", "number", "size", "source_size", "target", (F.col("base") + F.col("before")).alias("start")
+        "key", "source", *(["text"] if with_text else []), "number", "size", "source_size", "target", (F.col("base") + F.col("before")).alias("start")
     )
 
     counts = np.array([s.slots for s in sources], np.int64)
@@ -255,8 +283,7 @@ def mix_sources(
     and null keys too. Only the named columns are read, so other names cannot clash. An empty
     table gives an empty result. The driver sees one row per source.
     """
-    laid, slots = mixing_plan(records, key, text, source, block=block, **options)
-    laid = laid.drop("text")
+    laid, slots = mixing_plan(records, key, text, source, block=block, with_text=False, **options)
     uses = slots.groupBy("number", "block").agg(
         F.count_if(F.col("take") == block).alias("whole"), F.max(F.when(F.col("take") < block, F.col("take"))).alias("part")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -204,6 +205,34 @@ def test_mix_sources(spark):
     assert mixture.mix_sources(df.limit(0)).count() == 0
 
 
+def test_taken_words_are_those_of_the_mixed_blocks(spark):
+    """Every word names its record, so the mix itself says how many words of which record it holds."""
+    rng = random.Random(12)
+    sizes = {i: rng.choice([0, 1, 5, 63, 64, 65, rng.randint(0, 700)]) for i in range(120)}
+    rows = [(i, " ".join(f"{i}:{j}" for j in range(n)), rng.choice(["a", "a", "b", None])) for i, n in sizes.items()]
+    df = spark.createDataFrame(rows, "request_id long, error_message string, route string")
+    words = [w for r in mixture.mixed_blocks(df, shard_slots=16).collect() for w in r["words"]]
+    held = Counter(int(w.split(":")[0]) for w in words)
+    assert {r["request_id"]: r["taken"] for r in mixture.mix_sources(df, shard_slots=16).collect()} == {i: held[i] for i in sizes}
+    assert max(Counter(words).values()) <= 2
+
+
+def test_draws_follow_the_exact_law_at_every_size():
+    for good, other, take in ((5, 7, 4), (3, 200, 60), (40, 2, 30), (1, 0, 1), (500, 900, 13)):
+        ways = [math.comb(good, x) * math.comb(other, take - x) if take >= x else 0 for x in range(good + 1)]
+        edges, whole, below = [], sum(ways), 0
+        for x, n in enumerate(ways):
+            if n / whole > 1e-12:  # just above and below each step of the distribution
+                edges += [(x, below / whole + n / whole * 1e-3), (x, below / whole + n / whole * 0.999)]
+            below += n
+        assert all(mixture._drawn_of(good, other, take, u) == x for x, u in edges)
+    good, other, take = 3 * 10**9, 5 * 10**9, 4 * 10**9
+    rng = np.random.default_rng(4)
+    drawn = np.array([mixture._drawn_of(good, other, take, u) for u in rng.random(200)], float)
+    spread = (take * 3 / 8 * 5 / 8 * 0.5) ** 0.5
+    assert abs(drawn.mean() - take * 3 / 8) < 4 * spread / 200**0.5 and 0.8 < drawn.std() / spread < 1.2
+
+
 def test_pipeline_stages(spark):
     """Each stage on a small corpus; whole corpora: the check of every stage's operator above."""
     pipeline = pytest.importorskip("corpus_pipeline")
