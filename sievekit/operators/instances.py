@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.fixed import DEFECT_LABELS, QUALITY_NOTES, THRESHOLDS
+from sievekit.fixed import DEFECT_LABELS, GATE_MESSAGES, QUALITY_NOTES, THRESHOLDS
 from sievekit.functions.rules import Col, c, rnd, safe_percent
 from sievekit.operators.scaling import exact_medians, keyed_join, row_numbers
 
@@ -133,13 +133,17 @@ def assign_ids_by_route(routed: DataFrame, by: Sequence[str] = ("sample_id",), s
     return row_numbers(routed, [*by, "route"], [F.col(seq)], [F.floor(F.col(seq) / 65536)], "route_id")
 
 
-def detection_counts(routed: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
+def detection_counts(
+    routed: DataFrame, by: Sequence[str] = ("sample_id",), touching: Col = "is_touching"
+) -> DataFrame:
+    """Detections per sample and route, uncertain ones, and those that may be several merged ones (touching)."""
     grain = F.col("route") == "grain"
     return routed.groupBy(*by).agg(
         F.count_if(grain).alias("grain_count"),
         F.count_if(F.col("route") == "foreign").alias("foreign_count"),
         F.count_if(F.col("route") == "unresolved").alias("unresolved_count"),
         F.count_if(grain & F.col("confidence_band").isin("LOW", "MEDIUM")).alias("uncertain_count"),
+        F.count_if(grain & c(touching)).alias("merged_count"),
     )
 
 
@@ -161,29 +165,63 @@ def class_id_lookup(df: DataFrame, class_map: DataFrame, name: str = "class_name
     )
 
 
-def gate_rollup(detections: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Is there anything of the target kind in each sample? Sparse crowds only warn."""
-    gate = THRESHOLDS["rice_gate"]
+def gate_rollup(
+    detections: DataFrame, by: Sequence[str] = ("sample_id",), samples: DataFrame | None = None
+) -> DataFrame:
+    """Is there anything of the target kind in each sample? Sparse crowds only warn.
+
+    ``samples`` names all samples, so that those without a detection have a row, too. It may have
+    ``has_target_class`` (false: the detector knows no target class, so its detections say
+    nothing) and ``analysable_count`` (0: nothing was left to measure behind the gate). Nulls
+    there, and samples that are only in ``detections`` without a ``samples`` table, count as usual.
+    """
+    by, gate = list(by), THRESHOLDS["rice_gate"]
     hit = F.when(F.col("is_target"), F.col("confidence"))
-    out = detections.groupBy(*by).agg(
-        F.count("*").alias("total_detections"),
-        F.count_if("is_target").alias("target_detections"),
-        F.coalesce(rnd(F.avg(hit), 4), F.lit(0.0)).alias("confidence_mean"),
-        F.coalesce(rnd(F.max(hit), 4), F.lit(0.0)).alias("confidence_max"),
+    found = detections.groupBy(*by).agg(
+        F.count("*").alias("_total"), F.count_if("is_target").alias("_target"), F.avg(hit).alias("_mean"), F.max(hit).alias("_max")
     )
-    share = F.coalesce(F.try_divide(F.col("target_detections").cast("double"), F.col("total_detections")), F.lit(0.0))
-    found = F.col("target_detections") > 0
-    crowded = F.col("total_detections") >= gate["min_objects_for_fraction_rule"]
-    sparse = found & crowded & (share < gate["min_rice_fraction_of_detections"])
-    return out.withColumns(
+    optional = {"has_target_class": F.lit(True), "analysable_count": F.lit(None).cast("long")}
+    if samples is None:
+        out = found.withColumns(optional)
+    else:
+        known = [F.col(n).alias(n) if n in samples.columns else default.alias(n) for n, default in optional.items()]
+        out = keyed_join(samples.select(*by, *known), found, by, "left")
+    able = F.coalesce("has_target_class", F.lit(True))
+
+    def counted(name: str, zero: Column) -> Column:
+        return F.coalesce(F.when(able, F.col(name)), zero)
+
+    total, target = counted("_total", F.lit(0)), counted("_target", F.lit(0))
+    share = F.coalesce(F.try_divide(target.cast("double"), total), F.lit(0.0))
+    crowded = total >= gate["min_objects_for_fraction_rule"]
+    sparse = (target > 0) & crowded & (share < gate["min_rice_fraction_of_detections"])
+    status = (
+        F.when(~able, "NO_RICE_CLASS")
+        .when(target == 0, "NOT_RICE")
+        .when(F.col("analysable_count") == 0, "NO_ANALYSABLE_RICE")
+        .otherwise("RICE")
+    )
+    texts = F.create_map(*[F.lit(x) for pair in GATE_MESSAGES.items() for x in pair])
+    return out.select(
+        *by,
+        total.alias("total_detections"),
+        target.alias("target_detections"),
+        counted("_mean", F.lit(0.0)).alias("confidence_mean"),
+        counted("_max", F.lit(0.0)).alias("confidence_max"),
+        (total - target).alias("foreign_detections"),
+        rnd(share, 4).alias("target_fraction"),
+        F.when(crowded, gate["min_rice_fraction_of_detections"]).alias("min_fraction_required"),
+        status.alias("status"),
+        F.when(sparse, "low_object_rice_fraction_warning")
+        .when(target > 0, "rice_detected")
+        .otherwise("no_rice_class_detections")
+        .alias("reason"),
+    ).withColumns(
         {
-            "foreign_detections": F.col("total_detections") - F.col("target_detections"),
-            "target_fraction": rnd(share, 4),
-            "min_fraction_required": F.when(crowded, gate["min_rice_fraction_of_detections"]),
-            "status": F.when(found, "RICE").otherwise("NOT_RICE"),
-            "reason": F.when(sparse, "low_object_rice_fraction_warning")
-            .when(found, "rice_detected")
-            .otherwise("no_rice_class_detections"),
+            "confidence_mean": rnd("confidence_mean", 4),
+            "confidence_max": rnd("confidence_max", 4),
+            "analysis_stopped": F.col("status") != "RICE",
+            "message": texts[F.col("status")],
         }
     )
 

@@ -231,9 +231,19 @@ def resolve_reference(
     """Profile first, then the sample's own reference, then unavailable.
 
     ``derived`` comes from :func:`sample_reference` plus ``measurement_unit``; ``profiles``
-    and ``calibrations`` hold at most one row per key.
+    and ``calibrations`` hold at most one row per key. Where the answer comes from is told by
+    ``profile_name``, ``profile_source`` (of the profiles' ``source``, if they have one),
+    ``reference_data_status`` and ``calibration_status`` (the ``mode`` of the calibration, if
+    there is one).
     """
     by = list(by)
+    if "source" not in profiles.columns:
+        profiles = profiles.withColumn("source", F.lit(None).cast("string"))
+    profiles = profiles.withColumnRenamed("source", "profile_source")
+    if "mode" in by or "mode" not in calibrations.columns:
+        calibrations = calibrations.withColumn("_mode", F.lit(None).cast("string"))
+    else:
+        calibrations = calibrations.withColumnRenamed("mode", "_mode")
     facts = derived.join(profiles, by, "left").join(calibrations, by, "left")
     verdict = profile_verdict()
     usable = F.col("whole_kernel_length").isNotNull() & verdict["ok"]
@@ -290,6 +300,12 @@ def resolve_reference(
         .when(derived_ok, F.col("candidate_count"))
         .cast("long")
         .alias("reference_count"),
+        F.when(F.col("tier") != "derived", F.col("profile_name")).alias("profile_name"),
+        F.when(from_profile, F.col("profile_source")).alias("profile_source"),
+        F.when(F.col("tier") != "derived", F.coalesce(F.nullif("data_status", F.lit("")), F.lit("Proxy")))
+        .when(derived_ok, "Sample-Derived")
+        .alias("reference_data_status"),
+        F.coalesce(F.when(F.col("_mode") != "none", F.col("_mode")), F.lit("unavailable")).alias("calibration_status"),
         "scale_ratio",
         F.when(F.col("tier") == "mm_blocked", blocked)
         .when((F.col("tier") == "derived") & ~derived_ok, F.col("reason"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievekit.fixed import DEFECT_LABELS, GATE_FEATURES, SCREENED
+from sievekit.fixed import DEFECT_LABELS, GATE_FEATURES, GATE_MESSAGES, SCREENED
 from sievekit.functions import colour as C
 from sievekit.functions import rules as R
 from sievekit.functions import scores as P
@@ -226,10 +226,11 @@ def route_detections(spark, sf_dir):
     "detection_counts",
     f"""{INST}, {ROUTED_CTE} SELECT sample_id, count(*) FILTER (WHERE route = 'grain') AS grain_count,
   count(*) FILTER (WHERE route = 'foreign') AS foreign_count, count(*) FILTER (WHERE route = 'unresolved') AS unresolved_count,
-  count(*) FILTER (WHERE route = 'grain' AND conf < 0.8) AS uncertain_count FROM routed GROUP BY sample_id""",
+  count(*) FILTER (WHERE route = 'grain' AND conf < 0.8) AS uncertain_count, count(*) FILTER (WHERE route = 'grain' AND parts > 1) AS merged_count FROM routed GROUP BY sample_id""",
 )
 def detection_counts(spark, sf_dir):
-    return I.detection_counts(routed(spark, sf_dir).withColumn("confidence_band", R.confidence_band("conf")))
+    rows = routed(spark, sf_dir).withColumn("confidence_band", R.confidence_band("conf"))
+    return I.detection_counts(rows, touching=F.col("parts") > 1)
 
 
 @query(
@@ -637,14 +638,23 @@ def accept_target(spark, sf_dir):
 
 @query(
     "gate_rollup",
-    f"""{INST}, {GATE_CTE} SELECT * REPLACE ({r('confidence_mean', 2)} AS confidence_mean), total_detections - target_detections AS foreign_detections,
-  {r('target_detections::DOUBLE / total_detections')} AS target_fraction, CASE WHEN total_detections >= 25 THEN 0.05::DOUBLE END AS min_fraction_required,
-  CASE WHEN target_detections > 0 THEN 'RICE' ELSE 'NOT_RICE' END AS status,
-  CASE WHEN target_detections > 0 AND total_detections >= 25 AND target_detections::DOUBLE / total_detections < 0.05 THEN 'low_object_rice_fraction_warning'
-    WHEN target_detections > 0 THEN 'rice_detected' ELSE 'no_rice_class_detections' END AS reason FROM rollup_t""",
+    f"""{INST}, {GATE_CTE}, s AS (SELECT unnest([p_partkey, -p_partkey]) AS sample_id, p_size % 7 <> 0 AS able, p_size % 3 AS left_n FROM part),
+t AS (SELECT s.sample_id, able, left_n, CASE WHEN able THEN coalesce(total_detections, 0) ELSE 0 END AS n, CASE WHEN able THEN coalesce(target_detections, 0) ELSE 0 END AS hits,
+  CASE WHEN able THEN coalesce(confidence_mean, 0.0) ELSE 0.0 END AS mean, CASE WHEN able THEN coalesce(confidence_max, 0.0) ELSE 0.0 END AS top FROM s LEFT JOIN rollup_t USING (sample_id)),
+u AS (SELECT *, CASE WHEN NOT able THEN 'NO_RICE_CLASS' WHEN hits = 0 THEN 'NOT_RICE' WHEN left_n = 0 THEN 'NO_ANALYSABLE_RICE' ELSE 'RICE' END AS status FROM t)
+SELECT sample_id, n AS total_detections, hits AS target_detections, {r('mean', 2)} AS confidence_mean, top AS confidence_max, n - hits AS foreign_detections,
+  CASE WHEN n = 0 THEN 0.0 ELSE {r('hits::DOUBLE / n')} END AS target_fraction, CASE WHEN n >= 25 THEN 0.05::DOUBLE END AS min_fraction_required, status,
+  CASE WHEN hits > 0 AND n >= 25 AND hits::DOUBLE / n < 0.05 THEN 'low_object_rice_fraction_warning'
+    WHEN hits > 0 THEN 'rice_detected' ELSE 'no_rice_class_detections' END AS reason, status <> 'RICE' AS analysis_stopped,
+  CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in GATE_MESSAGES.items())} END AS message FROM u""",
 )
 def gate_rollup(spark, sf_dir):
-    return I.gate_rollup(gated(spark, sf_dir)).withColumn("confidence_mean", R.rnd("confidence_mean"))
+    """Half of the samples have no detection; some detectors know no target, some samples have nothing left to measure."""
+    samples = T.table(spark, sf_dir, "part").select(
+        F.explode(F.array(F.col("p_partkey"), -F.col("p_partkey"))).alias("sample_id"),
+        (F.col("p_size") % 7 != 0).alias("has_target_class"), (F.col("p_size") % 3).alias("analysable_count"),
+    )
+    return I.gate_rollup(gated(spark, sf_dir), samples=samples).withColumn("confidence_mean", R.rnd("confidence_mean"))
 
 
 @query(
@@ -765,13 +775,23 @@ def flatten_limits(spark, sf_dir):
 
 @query(
     "load_class_map",
-    """SELECT p_partkey AS model, CAST(i AS INT) AS class_id, CASE i WHEN 0 THEN 'background' WHEN 1 THEN 'Rice_Grain' ELSE 'foreign_rice' END AS class_name, i = 1 AS is_target
-FROM part, (VALUES (0), (1), (2)) t(i)""",
+    """WITH n AS (SELECT p_partkey AS model, unnest(range(1 + p_size % 4)) AS i, p_brand, p_type FROM part),
+c AS (SELECT model, CAST(i AS INT) AS class_id, CASE i % 4 WHEN 0 THEN p_type WHEN 1 THEN concat('Rice ', p_brand) WHEN 2 THEN concat('FOREIGN rice ', p_brand) ELSE concat('rice ', p_type) END AS class_name FROM n)
+SELECT *, contains(lower(class_name), 'rice') AND NOT contains(lower(class_name), 'foreign') AS is_target FROM c""",
 )
 def load_class_map(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("model"),
-        F.lit('{"0":"background","1":"Rice_Grain","2":"foreign_rice","note":"x"}').alias("value"),
+    """A model document per part, of one to four classes, with an entry whose id is no number."""
+    i, brand, kind = F.col("i"), F.col("p_brand"), F.col("p_type")
+    name = (
+        F.when(i % 4 == 0, kind).when(i % 4 == 1, F.concat(F.lit("Rice "), brand))
+        .when(i % 4 == 2, F.concat(F.lit("FOREIGN rice "), brand)).otherwise(F.concat(F.lit("rice "), kind))
+    )
+    entries = T.table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", "p_type", F.explode(F.sequence(F.lit(0), F.col("p_size") % 4)).alias("i")
+    )
+    names = F.map_from_entries(F.collect_list(F.struct(i.cast("string"), name)))
+    docs = entries.groupBy(F.col("p_partkey").alias("model")).agg(
+        F.to_json(F.map_concat(names, F.create_map(F.lit("note"), F.first("p_type")))).alias("value")
     )
     return RD.load_class_map(docs)
 

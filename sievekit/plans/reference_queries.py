@@ -148,7 +148,7 @@ _RESOLVED_CTE = f"""
 checked AS (SELECT *, {_VALIDITY} AS validity FROM calibrations),
 facts AS (
   SELECT d.*, p.reference_unit AS profile_unit, p.whole_kernel_length AS wl, p.production_eligible, p.reference_count,
-         c.validity, CASE WHEN c.validity = 'valid' THEN 'mm' ELSE 'pixels' END AS measurement_unit,
+         p.profile_name, p.data_status, c.mode, c.validity, CASE WHEN c.validity = 'valid' THEN 'mm' ELSE 'pixels' END AS measurement_unit,
          p.whole_kernel_length > 0 AND p.whole_kernel_lb_ratio > 0 AND p.data_status <> 'Guessed'
            AND NOT (p.reference_unit = 'mm' AND p.production_eligible AND p.reference_count < 3) AS usable
   FROM derived d LEFT JOIN profiles p ON d.sample_id = p.sample_id LEFT JOIN checked c ON d.sample_id = c.sample_id),
@@ -169,7 +169,10 @@ resolved AS (
     CASE WHEN tier = 'mm' THEN true WHEN tier IN ('px', 'mm_blocked') THEN production_eligible ELSE false END AS production_eligible,
     CASE WHEN tier IN ('mm', 'px') THEN CAST(reference_count AS BIGINT)
       WHEN tier = 'derived' AND reference_length IS NOT NULL THEN candidate_count END AS reference_count,
-    validity AS calibration_validity
+    validity AS calibration_validity, CASE WHEN tier <> 'derived' THEN profile_name END AS profile_name,
+    CASE WHEN tier IN ('mm', 'px') THEN concat('table of ', profile_name) END AS profile_source,
+    CASE WHEN tier <> 'derived' THEN data_status WHEN reference_length IS NOT NULL THEN 'Sample-Derived' END AS reference_data_status,
+    CASE WHEN mode <> 'none' THEN mode ELSE 'unavailable' END AS calibration_status
   FROM tiers)"""
 
 
@@ -178,15 +181,17 @@ def resolved(spark, sf_dir):
     cal = T.calibrations(spark, sf_dir).withColumn(
         "_v", R.calibration_validity("pixels_per_mm", "marker_count", "mode")
     )
-    cal = cal.select("sample_id", F.col("_v.validity").alias("validity"), F.col("_v.reason").alias("validity_reason"))
+    cal = cal.select("sample_id", F.col("_v.validity").alias("validity"), F.col("_v.reason").alias("validity_reason"), "mode")
     unit = cal.select(
         "sample_id", F.when(F.col("validity") == "valid", "mm").otherwise("pixels").alias("measurement_unit")
     )
-    return ref.resolve_reference(derived.join(unit, "sample_id"), T.profiles(spark, sf_dir), cal)
+    profiles = T.profiles(spark, sf_dir).withColumn("source", F.concat(F.lit("table of "), "profile_name"))
+    return ref.resolve_reference(derived.join(unit, "sample_id"), profiles, cal)
 
 
 _RESOLVED_OUT = f"""SELECT sample_id, {R4.format('reference_length')} AS reference_length, reference_source, reference_status,
-  reference_unit, production_eligible, reference_count, calibration_validity FROM resolved"""
+  reference_unit, production_eligible, reference_count, calibration_validity, profile_name, profile_source, reference_data_status, calibration_status
+FROM resolved"""
 
 
 @query(
@@ -203,6 +208,10 @@ def resolve_reference(spark, sf_dir):
         "production_eligible",
         "reference_count",
         "calibration_validity",
+        "profile_name",
+        "profile_source",
+        "reference_data_status",
+        "calibration_status",
     )
 
 
