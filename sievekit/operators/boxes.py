@@ -43,24 +43,62 @@ def with_cells(boxes: DataFrame, size: int = 64) -> DataFrame:
     return solid.withColumn("cell_x", span("x", "w")).withColumn("cell_y", span("y", "h"))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _bits(low: Column, high: Column) -> Column:
+    """A long with the bits from ``low`` to ``high`` (0 to 63) set."""
+    full = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (F.lit(63) - (high - low)).cast("int"))
+    return F.call_function("shiftleft", full, low.cast("int"))
+
+
+def _clipped(boxes: DataFrame) -> DataFrame:
+    """A row per 64-pixel cell of every box: the columns it covers there as bits, and its first and last row."""
+    def inside(cell: str, place: Column) -> Column:
+        return F.least(F.greatest(place - F.col(cell) * 64, F.lit(0)), F.lit(63)).cast("int")
+
+    cells = with_cells(boxes, 64)
+    return cells.select(
+        "*",
+        _bits(inside("cell_x", F.col("x")), inside("cell_x", F.col("x") + F.col("w") - 1)).alias("bits"),
+        inside("cell_y", F.col("y")).alias("top"),
+        inside("cell_y", F.col("y") + F.col("h") - 1).alias("bottom"),
+    ).drop(*BOX)
+
+
 def keep_overlapping(
     instances: DataFrame, detections: DataFrame, by: Sequence[str] = ("sample_id",), key: str = "grain_id", size: int = 64
 ) -> DataFrame:
-    """Instances that overlap a target detection; all of a sample without any detection."""
+    """Instances that overlap a target detection; all of a sample without any detection.
+
+    Boxes of whole pixels: the targets of a 64-pixel cell, however many, become 64 rows of 64
+    bits, and an instance asks the cells it reaches into; no pairs are formed. Other boxes meet
+    the targets of their ``size``-pixel cells one by one.
+    """
     by = list(by)
     place = [*by, "cell_x", "cell_y"]
-    targets = with_cells(detections.where("is_target").select(*by, *BOX).distinct(), size)
-    targets = targets.withColumnsRenamed({k: f"t_{k}" for k in [*BOX, *place]})
-    mine = with_cells(instances.select(*by, key, *BOX), size)
-    same = [F.col(k) == F.col(f"t_{k}") for k in place]
-    meets = (
-        (F.least(F.col("x") + F.col("w"), F.col("t_x") + F.col("t_w")) > F.greatest("x", "t_x"))
-        & (F.least(F.col("y") + F.col("h"), F.col("t_y") + F.col("t_h")) > F.greatest("y", "t_y"))
-    )
-    hits = mine.join(targets, [*same, meets], "left_semi").select(*by, key).distinct()
+    targets = detections.where("is_target").select(*by, *BOX)
+    mine = instances.select(*by, key, *BOX)
+    if all(df.schema[k].dataType.simpleString() in _WHOLE for df in (targets, mine) for k in BOX):
+        covered = _clipped(targets).distinct().withColumn("row", F.explode(F.sequence("top", "bottom")))
+        covered = covered.groupBy(*place, "row").agg(F.bit_or("bits").alias("bits"))
+        rows = covered.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("row", "bits"))).alias("rows"))
+
+        def shared(row: Column) -> Column:
+            return F.coalesce(F.col("rows")[row], F.lit(0)).bitwiseAND(F.col("bits")) != 0
+
+        hits = _clipped(mine).join(rows, place).where(F.exists(F.sequence("top", "bottom"), shared))
+    else:
+        cells = with_cells(targets.distinct(), size).withColumnsRenamed({k: f"t_{k}" for k in [*BOX, *place]})
+        same = [F.col(k) == F.col(f"t_{k}") for k in place]
+        meets = (
+            (F.least(F.col("x") + F.col("w"), F.col("t_x") + F.col("t_w")) > F.greatest("x", "t_x"))
+            & (F.least(F.col("y") + F.col("h"), F.col("t_y") + F.col("t_h")) > F.greatest("y", "t_y"))
+        )
+        hits = with_cells(mine, size).join(cells, [*same, meets], "left_semi")
     seen = detections.select(*by).distinct()
     free = instances.join(seen, by, "left_anti")
-    return instances.join(hits, [*by, key], "left_semi").unionByName(free)
+    return instances.join(hits.select(*by, key).distinct(), [*by, key], "left_semi").unionByName(free)
 
 
 # --- greedy selection -------------------------------------------------------

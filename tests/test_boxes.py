@@ -127,13 +127,15 @@ def test_mask_nms(spark, limit):
     assert sorted(r["instance_id"] for r in B.greedy_mask_nms(df, limit=limit).collect()) == sorted(kept)
 
 
-def test_keep_overlapping(spark):
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_keep_overlapping(spark, kind):
     rng = random.Random(9)
-    rand = lambda: (rng.randrange(300), rng.randrange(300), rng.randrange(5, 90), rng.randrange(5, 90))
+    cast = int if kind == "long" else float
+    rand = lambda: tuple(cast(rng.randrange(*r)) for r in ((-80, 300), (-80, 300), (90,), (1, 90)))
     inst = [(s, i, *rand()) for s in ("a", "none", "foreign") for i in range(40)]
     det = [("a", rng.random() < 0.4, *rand()) for _ in range(12)] + [("foreign", False, *rand())]
-    idf = spark.createDataFrame(inst, "sample_id string, grain_id long, x long, y long, w long, h long")
-    ddf = spark.createDataFrame(det, "sample_id string, is_target boolean, x long, y long, w long, h long")
+    idf = spark.createDataFrame(inst, f"sample_id string, grain_id long, x {kind}, y {kind}, w {kind}, h {kind}")
+    ddf = spark.createDataFrame(det, f"sample_id string, is_target boolean, x {kind}, y {kind}, w {kind}, h {kind}")
     want = {("none", i) for i in range(40)}
     for s, i, *b in inst:
         if s == "a" and any(t and iou(b, d) > 0 for k, t, *d in det if k == "a"):
@@ -141,6 +143,15 @@ def test_keep_overlapping(spark):
     assert {(r[0], r[1]) for r in B.keep_overlapping(idf, ddf).select("sample_id", "grain_id").collect()} == want
 
 
+def test_a_crowded_cell_is_one_row(spark):
+    """10^5 instances and 10^5 targets in one cell: the targets become one row before anything meets them."""
+    rows = spark.range(100_000).selectExpr("'s' AS sample_id", "id AS grain_id", "id % 40 AS x", "id % 7 AS y", "id % 5 + 1 AS w", "3L AS h")
+    targets = rows.selectExpr("sample_id", "true AS is_target", "x % 20 + 50 AS x", "y + 5 AS y", "4L AS w", "h")
+    wide = rows.withColumn("w", F.when(F.col("grain_id") % 1000 == 7, 60).otherwise(F.col("w")))
+    want = wide.where("x + w > 50 AND y + h > 5").count()
+    assert 0 < want == B.keep_overlapping(wide, targets).count()
+
+
 def test_touching(spark):
     rng = random.Random(4)
     px = {(i, 12 * (i % 4) + rng.randrange(9), 12 * (i // 4) + rng.randrange(12)) for i in range(16) for _ in range(12)}
