@@ -8,7 +8,7 @@ from sievekit.functions import rules as R
 from sievekit.operators import logs as L
 from sievekit.plans import testbed as T
 from sievekit.plans.registry import query
-from sievekit.session import checkpointed, scratch_path
+from sievekit.session import checkpointed, discard, scratch_path
 from sievekit.sources import logs as S
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -185,15 +185,18 @@ def stage_timings(spark, sf_dir):
     return L.stage_timings(T.log_events(spark, sf_dir), "duration_ms")
 
 
-@query(
-    "error_summary",
-    f"""WITH {T.EVENTS_CTE},
+_ERRORS = """
 dims AS (
   SELECT 'endpoint' AS dimension, coalesce(route, path, 'unknown') AS value, ord FROM ordered_events WHERE event = 'request_failed'
   UNION ALL SELECT 'stage', coalesce(failed_stage, 'unknown'), ord FROM ordered_events WHERE event = 'analysis_failed'
   UNION ALL SELECT 'type', coalesce(error_type, 'Unknown'), ord FROM ordered_events WHERE event IN ('request_failed', 'analysis_failed')),
-counted AS (SELECT dimension, value, count(*) AS n, min(ord) AS first FROM dims GROUP BY dimension, value)
-SELECT dimension, value, n FROM counted QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY n DESC, first) <= 10""",
+counted AS (SELECT dimension, value, count(*) AS n, min(ord) AS first FROM dims GROUP BY dimension, value),
+error_summary AS (SELECT dimension, value, n FROM counted QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY n DESC, first) <= 10)"""
+
+
+@query(
+    "error_summary",
+    f"WITH {T.EVENTS_CTE}, {_ERRORS} SELECT * FROM error_summary",
 )
 def error_summary(spark, sf_dir):
     return L.error_summary(T.log_events(spark, sf_dir))
@@ -445,6 +448,40 @@ def scan_logs(spark, sf_dir):
     return events.groupBy("file_seq", "event").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"))
 
 
+def logged_events(spark, sf_dir):
+    """The events as the service leaves them: written in order, rotated once, and read back from the folder."""
+    folder = scratch_path(spark, "service-log")
+    events = T.log_events(spark, sf_dir)
+    half = events.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for name, part in (("app.log.1", events.where(F.col("seq") <= half)), ("app.log", events.where(F.col("seq") > half))):
+        S.emit_events(part.orderBy("seq"), f"{folder}/{name}")
+    found = checkpointed(S.scan_logs(spark, folder).drop("raw", "value"))  # parsed once for all that a dashboard shows
+    discard(spark, folder)
+    return found
+
+
+@query(
+    "log_dashboard",
+    f"""WITH {REQUESTS_CTE}, {ENDPOINTS_SQL}, {_ERRORS}, {_CURVE}
+SELECT 'endpoint' AS section, route AS name, request_count AS n, success_rate AS rate FROM endpoint_stats
+UNION ALL SELECT concat('error ', dimension), value, n, NULL FROM error_summary
+UNION ALL SELECT 'concurrency', 'peak', greatest(max(open), 0), NULL FROM curve
+UNION ALL SELECT 'concurrency', 'current', arg_max(open, ts), NULL FROM curve""",
+)
+def log_dashboard(spark, sf_dir):
+    """From lines on disk to what the dashboard shows of endpoints, errors and concurrency."""
+    events = logged_events(spark, sf_dir)
+    requests = checkpointed(L.reconstruct_requests(events))
+    ends = L.endpoint_stats(requests).select(
+        F.lit("endpoint").alias("section"), F.col("route").alias("name"), F.col("request_count").alias("n"), F.col("success_rate").alias("rate")
+    )
+    errors = L.error_summary(events).select(
+        F.concat(F.lit("error "), "dimension"), "value", "n", F.lit(None).cast("double")
+    )
+    open_now = L.concurrency(requests).select(F.explode(F.create_map(F.lit("peak"), "peak", F.lit("current"), "current")))
+    return ends.union(errors).union(open_now.select(F.lit("concurrency"), "key", "value", F.lit(None).cast("double")))
+
+
 @query(
     "parse_audit",
     f"""WITH {T.EVENTS_CTE} SELECT CAST(2 AS BIGINT) AS files_read, count(*) AS lines_read, count(*) FILTER (WHERE {_GOOD}) AS records_loaded,
